@@ -4,7 +4,7 @@ from cargoscope.plans.catalog.base import CTE
 
 CTE["economies"] = """
 SELECT n_nationkey, 'N' || chr(65 + CAST(floor(n_nationkey / 5) AS INT)) || chr(65 + n_nationkey % 5) AS iso3,
-       n_name AS display_name, CAST(n_nationkey AS VARCHAR) AS comtrade_code, r_name AS region,
+       n_name AS display_name, CAST(n_nationkey + 100 AS VARCHAR) AS comtrade_code, r_name AS region,
        'RG' || chr(65 + n_regionkey) AS region_code
 FROM nation JOIN region ON n_regionkey = r_regionkey
 """

@@ -55,7 +55,7 @@ class Snapshot:
                 "n_nationkey",
                 nation_code("n_nationkey").alias("iso3"),
                 F.col("n_name").alias("display_name"),
-                F.col("n_nationkey").cast("string").alias("comtrade_code"),
+                (F.col("n_nationkey") + 100).cast("string").alias("comtrade_code"),
                 F.col("r_name").alias("region"),
                 region_code("n_regionkey").alias("region_code"),
             ),
