@@ -28,6 +28,11 @@ def money_sum(x) -> Column:
     return F.sum(c(x).cast("decimal(18,4)")).cast("double")
 
 
+def money_over(x, window) -> Column:
+    """``money_sum`` over a window."""
+    return F.sum(c(x).cast("decimal(18,4)")).over(window).cast("double")
+
+
 def money_sum0(x) -> Column:
     """As ``money_sum`` but 0 when no value is present."""
     return F.coalesce(money_sum(x), F.lit(0.0))
