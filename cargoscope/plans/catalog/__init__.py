@@ -5,6 +5,7 @@ from cargoscope.plans.catalog import (  # noqa: F401
     dependency_queries,
     flow_queries,
     macro_queries,
+    network_queries,
     year_queries,
 )
 from cargoscope.plans.catalog.base import QUERIES, SQL  # noqa: F401

@@ -39,7 +39,7 @@ def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return body.strip()
     head = ",\n".join(f"{n} AS (\n{pool[n].strip()}\n)" for n in order)
-    return f"WITH {head}\n{body.strip()}"
+    return f"WITH RECURSIVE {head}\n{body.strip()}"
 
 
 def query(name: str, sql: str | None = None):
