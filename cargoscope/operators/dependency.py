@@ -17,14 +17,14 @@ from cargoscope.operators.clean import eligible_imports, import_audit  # noqa: F
 GROUP = ("reporter_iso3", "hs_code")
 
 
-def links(eligible: DataFrame) -> DataFrame:
-    """Import value per reporter, supplier and commodity.
+def links(eligible: DataFrame, by=()) -> DataFrame:
+    """Import value per reporter, supplier and commodity (and any key in ``by``).
 
     The exact median of GDP is over the years of one link, so its state is tiny.
     """
     gdp = "reporter_gdp_current_usd"
     median = F.percentile(E.finite(gdp), 0.5) if gdp in eligible.columns else F.max(E.null_double())
-    return eligible.groupBy("reporter_iso3", "partner_iso3", "hs_code").agg(
+    return eligible.groupBy(*by, "reporter_iso3", "partner_iso3", "hs_code").agg(
         F.min("reporter_name").alias("reporter_name"), F.min("partner_name").alias("partner_name"),
         F.min("commodity_description").alias("commodity_description"),
         F.min("year").alias("year_start"), F.max("year").alias("year_end"),
@@ -33,13 +33,13 @@ def links(eligible: DataFrame) -> DataFrame:
     ).where("partner_import_value > 0")
 
 
-def shares(link_rows: DataFrame) -> DataFrame:
+def shares(link_rows: DataFrame, by=()) -> DataFrame:
     """Supplier's part of the group total and its rank by value, then code.
 
     After ``links`` a (reporter, commodity) group has one row per supplier code, so
     both windows share one short sort.
     """
-    group = W.partitionBy(*GROUP)
+    group = W.partitionBy(*by, *GROUP)
     ranked = group.orderBy(F.desc("partner_import_value"), F.asc("partner_iso3"))
     out = link_rows.withColumns({
         "supplier_rank": F.row_number().over(ranked),
@@ -82,10 +82,10 @@ def _largest(key: str, by: str, *ties: str) -> Column:
     return F.min_by(key, F.when(F.col(by).isNotNull(), order))
 
 
-def group_concentration(share_rows: DataFrame) -> DataFrame:
+def group_concentration(share_rows: DataFrame, by=()) -> DataFrame:
     """Concentration of suppliers per reporter and commodity."""
     share = F.when(F.col("partner_share") > 0, F.col("partner_share"))
-    out = share_rows.groupBy(*GROUP).agg(
+    out = share_rows.groupBy(*by, *GROUP).agg(
         F.min("reporter_name").alias("reporter_name"),
         F.min("commodity_description").alias("commodity_description"),
         F.max("reporter_commodity_total").alias("reporter_commodity_total"),
@@ -107,12 +107,12 @@ def group_concentration(share_rows: DataFrame) -> DataFrame:
     })
 
 
-def add_importance(groups: DataFrame) -> DataFrame:
+def add_importance(groups: DataFrame, by=()) -> DataFrame:
     """Each commodity's part of its reporter's imports.
 
     One row per commodity code remains per reporter, so the window is short.
     """
-    total = E.money_over("reporter_commodity_total", W.partitionBy("reporter_iso3"))
+    total = E.money_over("reporter_commodity_total", W.partitionBy(*by, "reporter_iso3"))
     out = groups.withColumn("reporter_total_imports", total)
     return out.withColumn(
         "commodity_import_share",

@@ -6,6 +6,7 @@ from cargoscope.plans.catalog import (  # noqa: F401
     flow_queries,
     macro_queries,
     network_queries,
+    whatif_queries,
     year_queries,
 )
 from cargoscope.plans.catalog.base import QUERIES, SQL  # noqa: F401

@@ -41,6 +41,14 @@ class Snapshot:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
+        self._memo: dict[str, object] = {}
+
+    def memo(self, key: str, make):
+        """A derived result several queries read, made on first use."""
+        if key not in self._memo:
+            self._memo[key] = make()
+        return self._memo[key]
+
     def raw(self, name: str) -> DataFrame:
         return src.scan(self.spark, f"{self.folder}/{name}.parquet")
 
