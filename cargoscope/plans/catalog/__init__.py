@@ -5,6 +5,7 @@ from cargoscope.plans.catalog import (  # noqa: F401
     dependency_queries,
     flow_queries,
     macro_queries,
+    monthly_queries,
     network_queries,
     whatif_queries,
     year_queries,
