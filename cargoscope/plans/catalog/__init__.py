@@ -7,6 +7,7 @@ from cargoscope.plans.catalog import (  # noqa: F401
     macro_queries,
     monthly_queries,
     network_queries,
+    source_queries,
     whatif_queries,
     year_queries,
 )
