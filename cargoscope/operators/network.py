@@ -7,6 +7,7 @@ each step, so no plan grows with the rounds and a lost executor costs one step.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -196,20 +197,50 @@ def distance(edges: DataFrame, floor: float = 1.0) -> DataFrame:
     return edges.withColumn("distance", F.when(w.isNotNull(), 1 / F.greatest(w / top, F.lit(float(floor)) / top)))
 
 
-def pagerank(edges: DataFrame, directed: bool = True, damping: float = 0.85, tol: float = 1e-10,
-             max_rounds: int = 200, rounds_per_job: int = 8) -> DataFrame:
+DENSE_VERTICES = 256
+
+
+def pagerank(edges: DataFrame, directed: bool = True, damping: float = 0.85, tol: float = 1e-10) -> DataFrame:
     """Weighted PageRank, summing to one.
 
     With uniform teleport the mass of dangling vertices only rescales the solution of
     x = d P'x + 1/n, so no round needs a global sum; one division at the end does.
-    Sums per target combine before the shuffle, so a hub vertex is no hot spot.
+    Few vertices are solved by doubling, many by rounds.
     """
-    links = pairs(edges, directed).where("w > 0")
+    links = pairs(stored(edges.select("from_iso3", "to_iso3", VALUE), "links"), directed).where("w > 0")
     out_weight = links.groupBy("src").agg(F.sum("w").alias("out_w"))
-    moves = stored(links.join(out_weight, "src").select("src", "dst", (damping * F.col("w") / F.col("out_w")).alias("p")), "moves")
-    vertices = stored(endpoints(edges).select("iso3"), "vertices")
-    base = 1.0 / max(1, vertices.count())
-    start = vertices.withColumn("x", F.lit(base))
+    vertices = links.select(F.explode(F.array("src", "dst")).alias("iso3")).distinct()
+    moves = links.join(out_weight, "src").select("src", "dst", (damping * F.col("w") / F.col("out_w")).alias("p"))
+    n = vertices.count()
+    solve = _by_doubling if n <= DENSE_VERTICES else _by_rounds
+    ranks = solve(moves, vertices, 1.0 / max(1, n), damping, tol)
+    return ranks.select("iso3", (F.col("x") / ranks.agg(F.sum("x")).scalar()).alias("pagerank"))
+
+
+def _by_doubling(moves: DataFrame, vertices: DataFrame, base: float, damping: float, tol: float) -> DataFrame:
+    """Sum of the powers of the move matrix by repeated squaring.
+
+    The start vector rides along as one more column, so each squaring doubles the number
+    of summed powers.  The square table is dense, hence the bound on vertices.
+    """
+    all_ = F.lit("*")
+    table = moves.select(F.col("dst").alias("i"), F.col("src").alias("k"), F.col("p").alias("a")).unionByName(
+        vertices.select(F.col("iso3").alias("i"), all_.alias("k"), F.lit(base).alias("a"))).unionByName(
+        vertices.sparkSession.range(1).select(all_.alias("i"), all_.alias("k"), F.lit(1.0).alias("a")))
+    table = stored(table, "powers")
+    for _ in range(math.ceil(math.log2(math.log(tol) / math.log(damping))) + 1):
+        right = table.select(F.col("i").alias("k"), F.col("k").alias("j"), F.col("a").alias("b"))
+        table = stored(table.join(right, "k").groupBy("i", F.col("j")).agg(F.sum(F.col("a") * F.col("b")).alias("a"))
+                       .withColumnRenamed("j", "k"), "powers")
+    return table.where((F.col("k") == "*") & (F.col("i") != "*")).select(F.col("i").alias("iso3"), F.col("a").alias("x"))
+
+
+def _by_rounds(moves: DataFrame, vertices: DataFrame, base: float, damping: float, tol: float,
+               max_rounds: int = 200, rounds_per_job: int = 8) -> DataFrame:
+    """One join and one sum per round; sums per target combine before the shuffle, so a hub
+    is no hot spot.  Several rounds make one job; its result is stored."""
+    moves = stored(moves, "moves")
+    start = stored(vertices, "vertices").withColumn("x", F.lit(base))
     ranks = start
     for _ in range(0, max_rounds, rounds_per_job):
         nxt = ranks
@@ -224,7 +255,7 @@ def pagerank(edges: DataFrame, directed: bool = True, damping: float = 0.85, tol
         ranks = nxt
         if moved < tol:
             break
-    return ranks.select("iso3", (F.col("x") / ranks.agg(F.sum("x")).scalar()).alias("pagerank"))
+    return ranks
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,15 +302,17 @@ def communities(edges: DataFrame, rounds: int = 6) -> DataFrame:
     one = edges.where("from_iso3 <> to_iso3").groupBy(
         F.least("from_iso3", "to_iso3").alias("src"), F.greatest("from_iso3", "to_iso3").alias("dst")
     ).agg(E.money_sum0(VALUE).alias("w"))
-    nb = stored(both_ways(one), "neighbours")
-    own = stored(nb.groupBy("src").agg(F.max("w").alias("w")), "own")
-    labels = endpoints(edges).select("iso3", F.col("iso3").alias("community"))
+    nb = both_ways(one)
+    own = nb.groupBy("src").agg(F.max("w").alias("w")).withColumn("dst", F.col("src"))
+    alone = endpoints(edges).select(F.col("iso3").alias("src"), F.lit(0.0).alias("w"), F.col("iso3").alias("dst"))
+    # A vertex hears its neighbours, itself, and, so that none is lost, itself at no weight.
+    heard = stored(nb.unionByName(own).unionByName(alone), "heard")
+    labels = heard.where("src = dst").select(F.col("src").alias("iso3"), F.col("src").alias("community")).distinct()
     for _ in range(int(rounds)):
-        heard = nb.join(labels.withColumnRenamed("iso3", "dst"), "dst").select(F.col("src").alias("iso3"), "community", "w")
-        kept = own.join(labels.withColumnRenamed("iso3", "src"), "src").select(F.col("src").alias("iso3"), "community", "w")
-        votes = heard.unionByName(kept).groupBy("iso3", "community").agg(E.money_sum0("w").alias("w"))
-        best = votes.groupBy("iso3").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("best"))
-        labels = stored(labels.join(best, "iso3", "left").select("iso3", F.coalesce("best", "community").alias("community")), "labels")
+        votes = heard.join(labels.withColumnRenamed("iso3", "dst"), "dst").groupBy(F.col("src").alias("iso3"), "community").agg(
+            E.money_sum0("w").alias("w"))
+        labels = votes.groupBy("iso3").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community"))
+        labels = stored(labels, "labels")
     return labels
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cargoscope.functions import expr as E
 from cargoscope.operators import dependency as dep
-from cargoscope.session import small, stored
+from cargoscope.session import stored
 
 # Scenario fields, type and default; a list default is an empty list.
 FIELDS = {
@@ -148,7 +148,7 @@ def baseline(cube: DataFrame, periods: DataFrame, universe_version: str | None =
              status: str = "partial", **criteria) -> DataFrame:
     """Supplier edges with shares and concentration, once per distinct baseline period."""
     years = periods.select(*PERIOD).distinct().withColumn("year", F.explode(F.sequence(*PERIOD)))
-    rows = dep.eligible_imports(cube, **criteria).join(small(years), "year")
+    rows = dep.eligible_imports(cube, **criteria).join(years, "year")
     shares = dep.shares(dep.links(rows, PERIOD), PERIOD)
     groups = dep.add_importance(dep.group_concentration(shares, PERIOD), PERIOD).select(
         *PERIOD, *GROUP, "supplier_count", "supplier_hhi", "top_1_share", "top_3_share", "commodity_import_share",
@@ -190,7 +190,7 @@ def direct(base: DataFrame, scenarios: DataFrame, hit: DataFrame) -> DataFrame:
     touched = hit.select(SID, *PERIOD, *GROUP).distinct()
     flagged = hit.select(SID, *EDGE).withColumn("is_targeted", F.lit(True))
     edges = base.join(touched, [*PERIOD, *GROUP]).join(flagged, [SID, *EDGE], "left").join(
-        small(scenarios.select(SID, *SETTINGS)), SID)
+        scenarios.select(SID, *SETTINGS), SID)
     hit_now = F.coalesce("is_targeted", F.lit(False))
     value = F.col("baseline_import_value_usd")
     loss = F.when(hit_now, F.greatest(F.lit(0.0), value * F.col("shock_size_pct") / 100)).otherwise(0.0)
@@ -270,7 +270,7 @@ def propagate(groups: DataFrame, base: DataFrame, scenarios: DataFrame) -> DataF
         SID, *PERIOD, F.col("reporter_iso3").alias("source_node"), "hs_code", "original_shocked_supplier",
         F.col("residual_unmet_value_usd").alias("residual"), F.col("residual_unmet_value_usd").alias("cumulative"),
         F.concat_ws("|", "reporter_iso3", "hs_code").alias("order_key"), F.lit(None).cast("string").alias("parent"),
-    ).join(small(rules), SID).where("max_depth >= 1")
+    ).join(rules, SID).where("max_depth >= 1")
     out_edges = base.select(*PERIOD, F.col("supplier_iso3").alias("source_node"), "hs_code",
                             F.col("reporter_iso3").alias("affected_reporter"), "baseline_import_value_usd", "supplier_share")
     visited, found = None, []
@@ -372,7 +372,7 @@ def _zero_fill(df: DataFrame, names) -> DataFrame:
 
 def _every(scenarios: DataFrame, per_code: DataFrame) -> DataFrame:
     """Every scenario with every code of its period; both tables are code lists."""
-    return per_code.join(small(scenarios.select(SID, *PERIOD, "include_macro_normalisation")), list(PERIOD))
+    return per_code.join(scenarios.select(SID, *PERIOD, "include_macro_normalisation"), list(PERIOD))
 
 
 def reporter_impacts(edges: DataFrame, base: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -555,7 +555,7 @@ def preview(base: DataFrame, scenarios: DataFrame) -> DataFrame:
         F.count_distinct("hs_code").alias("n_commodities"), F.count_distinct("supplier_iso3").alias("n_suppliers"),
         E.money_sum0(value).alias("targeted_baseline_value_usd"))
     touched = hit.select(SID, *PERIOD, *GROUP).distinct()
-    rules = small(scenarios.select(SID, "target_supplier_iso3", "substitution_mode", "substitution_capacity_pct", "shock_size_pct"))
+    rules = scenarios.select(SID, "target_supplier_iso3", "substitution_mode", "substitution_capacity_pct", "shock_size_pct")
     others = base.join(touched, [*PERIOD, *GROUP]).join(rules, SID).where(
         ~F.array_contains("target_supplier_iso3", F.col("supplier_iso3")) & (value > 0))
     of_others = others.groupBy(SID).agg(F.count("*").alias("eligible_substitute_supplier_rows"), E.money_sum0(value).alias("_v"))
@@ -701,11 +701,11 @@ def run(cube: DataFrame, raw_scenarios: DataFrame, status: str | None = None, ch
     validation = stored(validate(every, base, status, checksum, force_stale), "validation")
     good = stored(every.join(validation.where("ok"), SID, "left_semi"), "scenarios")
     edges = stored(substitute(direct(base, good, targets(base, good))), "edges")
-    groups = stored(group_summary(edges), "groups")
+    groups = group_summary(edges)
     paths = propagate(groups, base, good)
-    final = stored(apply_paths(edges, paths, base, good), "edges")
-    reporters = stored(reporter_impacts(final, base, good), "reporters")
-    commodities = stored(commodity_impacts(final, base, good), "commodities")
+    final = edges.drop(*SETTINGS) if paths.isEmpty() else stored(apply_paths(edges, paths, base, good), "edges")
+    reporters = reporter_impacts(final, base, good)
+    commodities = commodity_impacts(final, base, good)
     return WhatIf(
         good, validation, base, final, groups, paths, reporters, commodities, supplier_impacts(final, base, good),
         post_concentration(final), kpis(final, reporters, commodities, paths, good),

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every job relies on. Sizes are per task, so they hold for any cluster.
 DEFAULTS = {
@@ -60,8 +59,3 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, limit: int = 20_000) -> DataFrame:
-    """Hint a broadcast only when ``df`` has at most ``limit`` rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
