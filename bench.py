@@ -75,7 +75,7 @@ def dependency_groups(s):
 
 def pair_balance(s):
     drain(s.shipments.groupBy("year", "c_nationkey", "s_nationkey").agg(
-        F.sum(F.when(F.col("flow_code") == "X", F.col("value"))).alias("x"), F.sum(F.when(F.col("flow_code") == "M", F.col("value"))).alias("m")))
+        F.sum(F.when(F.col("flow_code") == "X", F.col("cents"))).alias("x"), F.sum(F.when(F.col("flow_code") == "M", F.col("cents"))).alias("m")))
 
 
 def monthly_quality(s):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,14 +24,26 @@ def finite(x) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
 
 
+def _units(x) -> Column:
+    """Money in whole ten-thousandths.  The usual sizes take the cheap way over a long;
+    larger ones are converted digit by digit, and a value that is no number fails."""
+    v = c(x)
+    exact = (v.cast("decimal(28,4)") * F.lit(10_000)).cast("decimal(24,0)")
+    return F.when(F.abs(v) < 9e11, F.floor(v * 10_000 + 0.5).cast("decimal(24,0)")).otherwise(exact)
+
+
+def _money(total: Column) -> Column:
+    return (total * F.lit(Decimal("0.0001"))).cast("double")
+
+
 def money_sum(x) -> Column:
-    """Order-independent sum of a money column; NULL when no value is present."""
-    return F.sum(c(x).cast("decimal(18,4)")).cast("double")
+    """Sum of a money column that does not depend on row order; NULL when no value is present."""
+    return _money(F.sum(_units(x)))
 
 
 def money_over(x, window) -> Column:
     """``money_sum`` over a window."""
-    return F.sum(c(x).cast("decimal(18,4)")).over(window).cast("double")
+    return _money(F.sum(_units(x)).over(window))
 
 
 def money_sum0(x) -> Column:
@@ -38,6 +51,15 @@ def money_sum0(x) -> Column:
     return F.coalesce(money_sum(x), F.lit(0.0))
 
 
+def cents(x) -> Column:
+    """Prices quoted in cents as whole numbers; their sums are exact and cheap."""
+    return F.floor(c(x) * 100 + 0.5)
+
+
+def from_cents(x: Column) -> Column:
+    return x / F.lit(100.0)
+
+
 def sum_if(cond: Column, x) -> Column:
     return money_sum(F.when(cond, c(x)))
 

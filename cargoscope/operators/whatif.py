@@ -698,7 +698,7 @@ def run(cube: DataFrame, raw_scenarios: DataFrame, status: str | None = None, ch
     """The whole chain for every valid scenario; invalid ones appear only in ``validation``."""
     every = stored(normalize(raw_scenarios), "scenarios")
     base = stored(baseline(cube, every, checksum, status or "partial"), "baseline")
-    validation = stored(validate(every, base, status, checksum, force_stale), "validation")
+    validation = validate(every, base, status, checksum, force_stale)
     good = stored(every.join(validation.where("ok"), SID, "left_semi"), "scenarios")
     edges = stored(substitute(direct(base, good, targets(base, good))), "edges")
     groups = group_summary(edges)

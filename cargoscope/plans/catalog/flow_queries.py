@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cargoscope.functions import expr as E
 from cargoscope.operators import clean, flows
 from cargoscope.plans.catalog.base import CTE, query, rounded
 
@@ -199,21 +200,17 @@ FROM shipments
 def raw_trade(s):
     q = F.col("quantity")
     return s.shipments.select(
-        E_period("ship_date").alias("period"),
+        E.period_token("ship_date").alias("period"),
         F.when(F.col("l_linenumber") % 3 != 0, F.col("year").cast("string")).alias("ref_year"),
         (F.col("c_nationkey") + 100).cast("string").alias("reporter_code"),
         (F.col("s_nationkey") + 100).cast("string").alias("partner_code"), "flow_code",
         F.col("hs_code").alias("cmd_code"),
-        F.when(q < 3, -F.col("value")).otherwise(F.col("value")).cast("double").cast("string").alias("primary_value"),
+        E.from_cents(F.when(q < 3, -F.col("cents")).otherwise(F.col("cents"))).cast("string").alias("primary_value"),
         F.date_format("ship_date", "yyyy-MM-dd").alias("ingested_at"),
         F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber")).alias("request_id"),
     )
 
 
-def E_period(x):
-    return F.date_format(F.col(x), "yyyyMM")
-
-
 def dims(s):
     # Nation 24 and brand 25 are left out, so that some codes stay unmatched.
     countries = s.economies.where("n_nationkey <> 24")

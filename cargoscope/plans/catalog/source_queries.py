@@ -31,7 +31,7 @@ CTE["lines"] = LINES
 def lines(s):
     return s.shipments.select(
         "l_orderkey", "l_linenumber", "c_nationkey", "s_nationkey", "hs_code", "flow_code", "ship_date", "year",
-        F.col("value").cast("double").alias("value"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 10).alias("k"))
+        E.from_cents(F.col("cents")).alias("value"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 10).alias("k"))
 
 
 def request_id():

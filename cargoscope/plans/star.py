@@ -94,7 +94,7 @@ class Snapshot:
                 F.when(F.col("l_linestatus") == "O", "M").otherwise("X").alias("flow_code"),
                 F.to_date("l_shipdate").alias("ship_date"),
                 F.year("l_shipdate").alias("year"),
-                F.col("l_extendedprice").cast("decimal(18,2)").alias("value"),
+                E.cents("l_extendedprice").alias("cents"),
                 F.col("l_quantity").alias("quantity"),
             )
         )
@@ -105,7 +105,7 @@ class Snapshot:
         return self._keep(
             self.shipments.groupBy(
                 "ship_date", "year", "c_nationkey", "s_nationkey", "flow_code", "hs_code"
-            ).agg(F.sum("value").alias("value"), F.count("*").alias("n_lines")),
+            ).agg(F.sum("cents").alias("cents"), F.count("*").alias("n_lines")),
             "daily",
         )
 
@@ -120,7 +120,7 @@ class Snapshot:
                   F.col("o_custkey") == F.col("c_custkey"))
             .groupBy("c_nationkey", "year")
             .agg(
-                F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("gdp_current_usd"),
+                E.from_cents(F.sum(E.cents("o_totalprice"))).alias("gdp_current_usd"),
                 F.count("*").cast("double").alias("cpi_index"),
             )
         )
@@ -146,7 +146,7 @@ class Snapshot:
         rows = (
             self.daily.groupBy("year", "c_nationkey", "s_nationkey", "flow_code", "hs_code")
             .agg(
-                F.sum("value").cast("double").alias("trade_value_usd"),
+                E.from_cents(F.sum("cents")).alias("trade_value_usd"),
                 F.sum("n_lines").alias("n_lines"),
                 F.date_format(F.max("ship_date"), "yyyy-MM-dd").alias("ingested_at"),
             )
@@ -203,12 +203,12 @@ class Snapshot:
         partner = names.select(F.col("n_nationkey").alias("s_nationkey"), F.col("region_code").alias("partner_iso3"))
         month = F.trunc("ship_date", "month")
         totals = self.daily.groupBy(month.alias("date"), "c_nationkey", "s_nationkey", "flow_code").agg(
-            F.sum("value").alias("value"), F.sum("n_lines").alias("n_lines")
+            F.sum("cents").alias("cents"), F.sum("n_lines").alias("n_lines")
         )
         return self._keep(
             totals.join(reporter, "c_nationkey").join(partner, "s_nationkey")
             .groupBy("date", "reporter_iso3", "partner_iso3", "flow_code")
-            .agg(F.sum("value").cast("double").alias("trade_value_usd"),
+            .agg(E.from_cents(F.sum("cents")).alias("trade_value_usd"),
                  F.sum("n_lines").alias("n_lines"))
             .select(
                 "reporter_iso3", "partner_iso3", F.lit("8500").alias("hs_code"), "flow_code",
