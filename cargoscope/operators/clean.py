@@ -257,6 +257,13 @@ def conform_trade(raw: DataFrame, countries: DataFrame, flows: DataFrame, commod
     }
 
 
+def append_batch(existing: DataFrame, batch: DataFrame, keys, *order) -> DataFrame:
+    """Existing rows and those of a batch whose key is new; within each side the first in
+    ``order`` (descending) stands."""
+    both = existing.withColumn("_side", F.lit(1)).unionByName(batch.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    return latest_first(both, list(keys), F.col("_side"), *order).drop("_side")
+
+
 def payload_to_global(records: DataFrame) -> DataFrame:
     """Payload rows -> country totals: chapter 85 at level 2 against World, one row per key."""
     rows = records.select(

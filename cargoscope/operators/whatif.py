@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -96,6 +96,12 @@ def normalize(raw: DataFrame) -> DataFrame:
     return df.withColumn(SID, F.coalesce(own, F.concat(F.lit("scn_"), F.substring("scenario_hash", 1, 16))))
 
 
+def read_scenarios(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Scenario files, one document per file or one per line, with defaults filled in."""
+    ddl = ", ".join(f"{name} {kind}" for name, (kind, _default) in FIELDS.items())
+    return normalize(spark.read.schema(ddl).option("multiLine", one_per_file).json(path))
+
+
 def _outside(name: str, lo: float, hi: float | None = None) -> Column:
     v = F.col(name)
     bad = v.isNull() | F.isnan(v.cast("double")) | (v < lo)

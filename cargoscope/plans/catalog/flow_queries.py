@@ -306,6 +306,16 @@ def _(s):
     )
 
 
+@query("append_batch", """
+SELECT year, reporter_iso3, partner_iso3, flow_code, hs_code, CASE WHEN year <= 1998 THEN trade_value_usd ELSE 2 * trade_value_usd END AS trade_value_usd FROM cube
+""")
+def _(s):
+    keys = ["year", "reporter_iso3", "partner_iso3", "flow_code", "hs_code"]
+    rows = s.cube.select(*keys, "trade_value_usd")
+    batch = rows.where("year >= 1997").withColumn("trade_value_usd", 2 * F.col("trade_value_usd"))
+    return clean.append_batch(rows.where("year <= 1998"), batch, keys, F.col("trade_value_usd"))
+
+
 @query("payload_to_cube", """
 SELECT year, reporter_code, reporter_iso3, partner_code, partner_iso3, flow_code, hs_code, trade_value_usd,
        'uv_test' AS universe_checksum

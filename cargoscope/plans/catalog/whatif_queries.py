@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from cargoscope import session
 from cargoscope.operators import whatif as wi
 from cargoscope.plans.catalog.base import CTE, query, rounded
 from cargoscope.plans.catalog.flow_queries import money
-from cargoscope.session import stored
 
 MODES = ["none", "proportional", "capacity_constrained", "diversification"]
 
@@ -98,6 +98,16 @@ def _(s):
         "shock_size_pct", "propagation_mode", "include_macro_normalisation")
 
 
+@query("whatif_scenario_files", """
+SELECT scenario_id, size AS shock_size_pct, mode AS substitution_mode, supplier AS suppliers, 'Loss of ' || display_name AS scenario_name FROM scn JOIN economies ON iso3 = supplier
+""")
+def _(s):
+    path = session.scratch_path(s.spark, "scenarios")
+    raw_scenarios(s).write.json(path)
+    return wi.read_scenarios(s.spark, path, one_per_file=False).select(
+        "scenario_id", "shock_size_pct", "substitution_mode", F.array_join("target_supplier_iso3", ",").alias("suppliers"), "scenario_name")
+
+
 @query("whatif_scenario_hashes", "SELECT COUNT(*) AS n_scenarios, COUNT(*) AS n_hashes, true AS order_free FROM scn")
 def _(s):
     plain = wi.normalize(raw_scenarios(s)).select("scenario_id", "scenario_hash")

@@ -139,3 +139,11 @@ def test_compare(spark, make_cube):
     r = wi.run(make_cube(WHATIF), scenarios(spark, {"target_reporter_iso3": ["DEU"]}, {"target_reporter_iso3": ["IND"]}))
     got = by(wi.compare_reporters(r.reporters, "s0", "s1"), "reporter_iso3")
     assert got["IND",].newly_affected and got["DEU",].no_longer_affected and not got["KOR",].newly_affected
+
+
+def test_scenario_file(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n "scenario_id": "CHN 8542!", "baseline_year_start": 2023, "baseline_year_end": 2019,\n'
+                                     ' "target_supplier_iso3": ["CHN", "CHN"], "target_hs_codes": ["8542"], "shock_size_pct": 40}')
+    r = wi.read_scenarios(spark, str(tmp_path)).first()
+    assert r.scenario_id == "CHN_8542" and (r.baseline_year_start, r.baseline_year_end) == (2019, 2023)
+    assert r.target_supplier_iso3 == ["CHN"] and r.substitution_mode == "capacity_constrained" and r.maximum_propagation_steps == 1
