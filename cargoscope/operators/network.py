@@ -227,11 +227,13 @@ def _by_doubling(moves: DataFrame, vertices: DataFrame, base: float, damping: fl
     table = moves.select(F.col("dst").alias("i"), F.col("src").alias("k"), F.col("p").alias("a")).unionByName(
         vertices.select(F.col("iso3").alias("i"), all_.alias("k"), F.lit(base).alias("a"))).unionByName(
         vertices.sparkSession.range(1).select(all_.alias("i"), all_.alias("k"), F.lit(1.0).alias("a")))
+    def square(t):
+        right = t.select(F.col("i").alias("k"), F.col("k").alias("j"), F.col("a").alias("b"))
+        return t.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("a")).withColumnRenamed("j", "k")
+
     table = stored(table, "powers")
-    for _ in range(math.ceil(math.log2(math.log(tol) / math.log(damping))) + 1):
-        right = table.select(F.col("i").alias("k"), F.col("k").alias("j"), F.col("a").alias("b"))
-        table = stored(table.join(right, "k").groupBy("i", F.col("j")).agg(F.sum(F.col("a") * F.col("b")).alias("a"))
-                       .withColumnRenamed("j", "k"), "powers")
+    for _ in range(math.ceil(math.log2(math.log(tol) / math.log(damping)) / 2)):
+        table = stored(square(square(table)), "powers")
     return table.where((F.col("k") == "*") & (F.col("i") != "*")).select(F.col("i").alias("iso3"), F.col("a").alias("x"))
 
 

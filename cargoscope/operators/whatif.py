@@ -132,13 +132,22 @@ def validate(scenarios: DataFrame, baseline_rows: DataFrame | None = None, statu
         stale = ~F.coalesce(F.col("universe_version") == checksum, F.lit(False))
         (warnings if force_stale else checks).append((stale, "universe_version differs from the active one"))
     if baseline_rows is not None:
-        for field, col in (("target_supplier_iso3", "supplier_iso3"), ("target_hs_codes", "hs_code"),
-                           ("target_reporter_iso3", "reporter_iso3")):
-            known = baseline_rows.select(*PERIOD, F.col(col).alias("code")).distinct()
-            found = scenarios.select(SID, *PERIOD, F.explode(field).alias("code")).join(
-                known, [*PERIOD, "code"], "left_semi").select(SID).distinct().withColumn(f"_{col}", F.lit(True))
-            df = df.join(found, SID, "left")
-            checks.append(((F.size(field) > 0) & F.col(f"_{col}").isNull(), f"no {field} in the baseline"))
+        fields = {"target_supplier_iso3": "supplier_iso3", "target_hs_codes": "hs_code", "target_reporter_iso3": "reporter_iso3"}
+
+        def tagged(field, code):
+            return F.struct(F.lit(field).alias("field"), code.alias("code"))
+
+        def listed_codes(field):
+            return F.transform(field, lambda x: tagged(field, x))
+
+        asked = scenarios.select(SID, *PERIOD, F.explode(F.concat(*[listed_codes(f) for f in fields])).alias("t")).select(
+            SID, *PERIOD, "t.*")
+        known = baseline_rows.select(*PERIOD, F.explode(F.array(
+            *[tagged(f, F.col(col)) for f, col in fields.items()])).alias("t")).select(*PERIOD, "t.*").distinct()
+        found = asked.join(known, [*PERIOD, "field", "code"], "left_semi").groupBy(SID).agg(F.collect_set("field").alias("_found"))
+        df = df.join(found, SID, "left")
+        seen = F.coalesce("_found", F.array().cast("array<string>"))
+        checks += [((F.size(f) > 0) & ~F.array_contains(seen, f), f"no {f} in the baseline") for f in fields]
 
     def listed(rules):
         messages = F.array(*[F.when(cond, F.lit(text)) for cond, text in rules]) if rules else F.array().cast("array<string>")
@@ -368,6 +377,14 @@ def _sums() -> list[Column]:
     ]
 
 
+def _total(value: str, *keys: str) -> Column:
+    """Sum per key next to each edge; dropped from the plan when nobody asks for it.
+
+    A key holds at most one edge per remaining code.
+    """
+    return F.sum(value).over(W.partitionBy(*keys))
+
+
 def _affected() -> Column:
     return (F.col("direct_disrupted_value_usd") > 0) | (F.col("residual_unmet_value_usd") > 0)
 
@@ -389,15 +406,15 @@ def reporter_impacts(edges: DataFrame, base: DataFrame, scenarios: DataFrame) ->
         F.min("production_status").alias("production_status"), F.min("universe_version").alias("universe_version"),
     )
     keys = [SID, "reporter_iso3"]
-    hit = edges.groupBy(*keys).agg(
+    hit = edges.withColumns({
+        "_h": _total("residual_unmet_value_usd", *keys, "hs_code"), "_s": _total("residual_unmet_value_usd", *keys, "supplier_iso3"),
+    }).groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(F.col("is_targeted"), F.col("baseline_import_value_usd"))), F.lit(0.0)).alias("targeted_baseline_imports_usd"),
         *_sums(),
         F.count_distinct(F.when(_affected(), F.col("supplier_iso3"))).alias("affected_supplier_count"),
         F.count_distinct(F.when(_affected(), F.col("hs_code"))).alias("affected_hs4_count"),
+        F.max("_h").alias("highest_commodity_residual_usd"), F.max("_s").alias("highest_supplier_residual_usd"),
     )
-    for key, name in (("hs_code", "highest_commodity_residual_usd"), ("supplier_iso3", "highest_supplier_residual_usd")):
-        inner = edges.groupBy(*keys, key).agg(F.sum("residual_unmet_value_usd").alias("r"))
-        hit = hit.join(inner.groupBy(*keys).agg(F.max("r").alias(name)), keys)
     out = _every(scenarios, own).join(hit, keys, "left")
     out = _zero_fill(out, [n for n in hit.columns if n not in keys])
     r = "residual_unmet_value_usd"
@@ -417,15 +434,17 @@ def commodity_impacts(edges: DataFrame, base: DataFrame, scenarios: DataFrame) -
         F.min("reporter_iso3").alias("_r"), F.min("supplier_iso3").alias("_s"),
     )
     keys = [SID, "hs_code"]
-    hit = edges.groupBy(*keys).agg(
+    def largest(code, total):
+        return F.min_by(code, F.when(F.col(total) > 0, F.struct(-F.col(total), F.col(code))))
+
+    hit = edges.withColumns({
+        "_tr": _total("residual_unmet_value_usd", *keys, "reporter_iso3"), "_ts": _total("direct_disrupted_value_usd", *keys, "supplier_iso3"),
+    }).groupBy(*keys).agg(
         *_sums(), F.count_distinct(F.when(_affected(), F.col("reporter_iso3"))).alias("affected_reporter_count"),
         F.count_distinct(F.when(F.col("direct_disrupted_value_usd") > 0, F.col("supplier_iso3"))).alias("affected_supplier_count"),
+        largest("reporter_iso3", "_tr").alias("largest_affected_reporter"), largest("supplier_iso3", "_ts").alias("largest_affected_supplier"),
     )
-    numbers = [n for n in hit.columns if n not in keys]
-    for key, col, name in (("reporter_iso3", "residual_unmet_value_usd", "largest_affected_reporter"),
-                           ("supplier_iso3", "direct_disrupted_value_usd", "largest_affected_supplier")):
-        inner = edges.groupBy(*keys, key).agg(F.sum(col).alias("r")).where("r > 0")
-        hit = hit.join(inner.groupBy(*keys).agg(F.min_by(key, F.struct(-F.col("r"), F.col(key))).alias(name)), keys, "left")
+    numbers = [n for n in hit.columns if n not in keys and not n.startswith("largest")]
     out = _zero_fill(_every(scenarios, own).join(hit, keys, "left"), numbers)
     base_value = F.col("baseline_imports_usd")
     # Where nothing is lost the first code stands, as for any other tie.

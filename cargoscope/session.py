@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Plans here are built from many small columns; recording each one's call site costs more than it tells.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _LOCAL_FOLDERS: dict[str, str] = {}
