@@ -35,8 +35,8 @@ CTE["conc_reporter"] = f"""
 SELECT reporter_iso3, MIN(reporter_name) AS reporter_name, MAX(reporter_total_imports) AS reporter_total_imports, COUNT(*) AS commodity_count,
        SUM(commodity_import_share * top_1_share) AS weighted_top_1_share, SUM(commodity_import_share * top_3_share) AS weighted_top_3_share,
        SUM(commodity_import_share * supplier_hhi) AS weighted_hhi,
-       arg_max(hs_code, supplier_hhi) AS most_concentrated_hs, arg_max(hs_code, reporter_commodity_total) AS largest_hs,
-       arg_max(top_partner_iso3, reporter_commodity_total) AS largest_supplier_iso3 FROM conc_w GROUP BY 1
+       arg_min(hs_code, (-supplier_hhi, hs_code)) AS most_concentrated_hs, arg_min(hs_code, (-reporter_commodity_total, hs_code)) AS largest_hs,
+       arg_min(top_partner_iso3, (-reporter_commodity_total, hs_code)) AS largest_supplier_iso3 FROM conc_w GROUP BY 1
 """
 
 
@@ -101,7 +101,7 @@ def _(s):
 SELECT hs_code, MIN(commodity_description) AS commodity_description, {money('reporter_commodity_total')} AS total_import_value,
        COUNT(DISTINCT reporter_iso3) AS reporter_count, ROUND(quantile_cont(top_1_share, 0.5), 9) AS median_top_1_share,
        ROUND(quantile_cont(supplier_hhi, 0.5), 9) AS median_hhi, ROUND(MAX(supplier_hhi), 9) AS max_hhi,
-       arg_max(reporter_iso3, supplier_hhi) AS max_hhi_reporter FROM conc GROUP BY 1
+       arg_min(reporter_iso3, (-supplier_hhi, reporter_iso3)) AS max_hhi_reporter FROM conc GROUP BY 1
 """)
 def _(s):
     return rounded(dep.commodity_concentration(groups(s)), "median_top_1_share", "median_hhi", "max_hhi", digits=9)
