@@ -37,17 +37,22 @@ def raw_scenarios(s, propagate=False):
     }).drop("n_nationkey")
 
 
-CTE["scn"] = """
+CTE["scn_all"] = """
 SELECT 'scn_' || iso3 AS scenario_id, n_nationkey AS k, iso3 AS supplier, CASE WHEN n_nationkey % 2 = 0 THEN 2000 ELSE 1997 END AS y0,
        CASE WHEN n_nationkey % 2 = 0 THEN 2000 ELSE 1999 END AS y1, n_nationkey % 3 = 0 AS all_hs, n_nationkey % 5 <> 0 AS all_rep,
        CAST(10 + 3 * n_nationkey AS DOUBLE) AS size, ['none', 'proportional', 'capacity_constrained', 'diversification'][n_nationkey % 4 + 1] AS mode,
        CAST(CASE WHEN n_nationkey % 8 < 4 THEN 25 ELSE 5 END AS DOUBLE) AS cap, CAST(CASE WHEN n_nationkey % 16 = 6 THEN 0.3 ELSE 1 END AS DOUBLE) AS max_share
 FROM economies
 """
+# A scenario whose supplier does not trade in its period is invalid and does not run.
+CTE["scn"] = """
+SELECT * FROM scn_all s WHERE EXISTS (SELECT 1 FROM cube c WHERE c.flow_code = 'M' AND c.partner_iso3 = s.supplier AND c.reporter_iso3 <> c.partner_iso3
+   AND c.trade_value_usd > 0 AND c.year BETWEEN s.y0 AND s.y1)
+"""
 CTE["wi_base0"] = f"""
 SELECT y0, y1, reporter_iso3, partner_iso3 AS supplier_iso3, hs_code, {money()} AS v, COUNT(*) AS n_obs, MIN(reporter_name) AS reporter_name,
        MIN(partner_name) AS supplier_name, quantile_cont(reporter_gdp_current_usd, 0.5) AS gdp
-FROM cube JOIN (SELECT DISTINCT y0, y1 FROM scn) ON year BETWEEN y0 AND y1
+FROM cube JOIN (SELECT DISTINCT y0, y1 FROM scn_all) ON year BETWEEN y0 AND y1
 WHERE flow_code = 'M' AND reporter_iso3 <> partner_iso3 AND trade_value_usd > 0 GROUP BY 1, 2, 3, 4, 5
 """
 CTE["wi_base"] = """
@@ -89,7 +94,7 @@ def propagated(s):
 @query("whatif_scenarios", """
 SELECT scenario_id, CAST(y0 AS INT) AS baseline_year_start, CAST(y1 AS INT) AS baseline_year_end, supplier AS suppliers,
        CASE WHEN all_hs THEN '' ELSE '8501,8507,8512' END AS items, CASE WHEN all_rep THEN '' ELSE 'NAA,NBB,NCC' END AS reporters,
-       size AS shock_size_pct, 'direct_only' AS propagation_mode, true AS include_macro_normalisation FROM scn
+       size AS shock_size_pct, 'direct_only' AS propagation_mode, true AS include_macro_normalisation FROM scn_all
 """)
 def _(s):
     return wi.normalize(raw_scenarios(s)).select(
@@ -99,7 +104,7 @@ def _(s):
 
 
 @query("whatif_scenario_files", """
-SELECT scenario_id, size AS shock_size_pct, mode AS substitution_mode, supplier AS suppliers, 'Loss of ' || display_name AS scenario_name FROM scn JOIN economies ON iso3 = supplier
+SELECT scenario_id, size AS shock_size_pct, mode AS substitution_mode, supplier AS suppliers, 'Loss of ' || display_name AS scenario_name FROM scn_all JOIN economies ON iso3 = supplier
 """)
 def _(s):
     path = session.scratch_path(s.spark, "scenarios")
@@ -108,7 +113,7 @@ def _(s):
         "scenario_id", "shock_size_pct", "substitution_mode", F.array_join("target_supplier_iso3", ",").alias("suppliers"), "scenario_name")
 
 
-@query("whatif_scenario_hashes", "SELECT COUNT(*) AS n_scenarios, COUNT(*) AS n_hashes, true AS order_free FROM scn")
+@query("whatif_scenario_hashes", "SELECT COUNT(*) AS n_scenarios, COUNT(*) AS n_hashes, true AS order_free FROM scn_all")
 def _(s):
     plain = wi.normalize(raw_scenarios(s)).select("scenario_id", "scenario_hash")
     turned = raw_scenarios(s).withColumn("target_hs_codes", F.reverse("target_hs_codes")).withColumn("scenario_name", F.lit("other"))
@@ -119,7 +124,7 @@ def _(s):
 
 @query("whatif_validation", """
 SELECT scenario_id, CASE WHEN k % 7 = 0 THEN 'shock_size_pct outside 0..100' WHEN k % 7 = 1 THEN 'unsupported substitution_mode'
-   WHEN k % 7 = 2 THEN 'no target_supplier_iso3 in the baseline' ELSE '' END AS errors, k % 7 > 2 AS ok FROM scn
+   WHEN k % 7 = 2 THEN 'no target_supplier_iso3 in the baseline' ELSE '' END AS errors, k % 7 > 2 AS ok FROM scn_all
 """)
 def _(s):
     k = F.col("n_nationkey")
