@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cargoscope.llm import minhash
+from cargoscope.llm import minhash, packing, pieces
 from cargoscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,13 @@ def query(fn):
 @query
 def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op8_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.written_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
