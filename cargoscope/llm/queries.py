@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cargoscope.llm import minhash, packing, pieces
+from cargoscope.llm import minhash, packing, phrases, pieces, sql
 from cargoscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,11 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     return packing.written_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
+
+
+@query
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("item_ids")
+
+
+SQL["op9_decontamination"] = sql.OP9
