@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cargoscope.llm import minhash, packing, phrases, pieces, sql
+from cargoscope.llm import lines, minhash, packing, phrases, pieces, sql
 from cargoscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +41,11 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op9_decontamination"] = sql.OP9
+
+
+@query
+def op6_line_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.drop_repeats(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+SQL["op6_line_passages"] = sql.OP6

@@ -17,3 +17,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+OP6 = """
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+h AS (SELECT doc_id, l, list_transform(l, lambda s: CAST('0x' || substr(md5(s), 1, 7) AS BIGINT)) AS h,
+      list_transform(l, lambda s: length(s) - length(replace(s, ' ', '')) >= 49) AS g FROM d),
+e AS (SELECT doc_id, l, g, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR (coalesce(h[CASE WHEN i > 1 THEN i - 1 END], 0) * 1009 + h[i]) % 3 = 0
+      OR g[i] OR coalesce(g[i + 1], FALSE)) AS e FROM h),
+c AS (SELECT doc_id, l, g, k, CASE WHEN k > 1 THEN e[k - 1] + 1 ELSE 1 END AS a, e[k] AS b,
+      CASE WHEN k > 2 THEN e[k - 2] + 1 ELSE 1 END AS low, coalesce(e[k + 1], len(l)) AS high
+      FROM (SELECT *, unnest(range(1, len(e) + 1)) AS k FROM e)),
+o AS (SELECT doc_id, a, b, l[a:b] AS own, list_reverse(CASE WHEN a > low THEN l[low:a - 1] ELSE [] END) AS bef,
+      CASE WHEN high > b THEN l[b + 1:high] ELSE [] END AS aft FROM c WHERE (b > a OR g[a]) AND trim(array_to_string(l[a:b], '')) <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY doc_id, a) AS nth, first_value(bef) OVER (PARTITION BY own ORDER BY doc_id, a) AS bef0,
+      first_value(aft) OVER (PARTITION BY own ORDER BY doc_id, a) AS aft0 FROM o),
+x AS (SELECT doc_id, a - list_min(list_filter(range(0, least(len(bef), len(bef0)) + 1), lambda i: i = least(len(bef), len(bef0)) OR bef[i + 1] <> bef0[i + 1])) AS lo,
+      b + list_min(list_filter(range(0, least(len(aft), len(aft0)) + 1), lambda i: i = least(len(aft), len(aft0)) OR aft[i + 1] <> aft0[i + 1])) AS hi FROM r WHERE nth > 1),
+z AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(lo, hi + 1)) AS i FROM x) GROUP BY 1)
+SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(l) END AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       CASE WHEN gone IS NULL THEN sha256(text) ELSE sha256(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(gone, i)), lambda i: l[i]), chr(10))) END AS text_sha256
+FROM d LEFT JOIN z USING (doc_id)
+"""
