@@ -89,3 +89,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         "n_removed", F.coalesce(F.size("_repeats_gone"), F.lit(0)).cast("long"))
     left = F.array_join(F.filter(_lines(), lambda s, i: ~F.array_contains("_repeats_gone", i)), "\n")
     return joined.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))).select(*own.columns, "n_lines", "n_removed")
+
+
+def without_emptied(docs: DataFrame) -> DataFrame:
+    """``docs`` after ``drop_repeats``, less the documents of which no line is left."""
+    done = drop_repeats(docs).where("n_removed = 0 or n_removed < n_lines")
+    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done.select(*docs.columns)

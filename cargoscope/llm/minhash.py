@@ -261,4 +261,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     verdict = near_duplicates(docs)
     gone = verdict.where("n_shingles > 0 and not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(session.stored(gone, "not-kept"), "doc_id", "left_anti").select(*docs.columns)

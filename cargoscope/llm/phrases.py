@@ -134,3 +134,12 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 5) -> DataFrame:
     near = at.join(spots, ["key", "term", "reach", "cell"]).where("abs(pos - p) <= reach").select("key", "item", "item_id", "p", "term").distinct()
     full = near.groupBy("key", "item", "item_id", "p").agg(F.count("*").alias("n")).join(need, "item").where("n = need")
     return full.join(postings.where("pos = -1").select("key", "doc_id"), "key").select("doc_id", "item_id", F.col("p").alias("pos"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows of ``docs``, all columns, whose document is not contaminated.
+
+    Rows that share a doc_id go together; rows with a null doc_id stay.
+    """
+    bad = contamination(docs, items, window).where("contaminated and doc_id is not null").select("doc_id").distinct()
+    return docs.join(session.stored(bad, "contaminated"), "doc_id", "left_anti").select(*docs.columns)

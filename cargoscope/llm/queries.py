@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import lines, minhash, packing, phrases, pieces, sql
+from cargoscope.llm import lines, minhash, packing, phrases, pieces, sql, toxic
 from cargoscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,9 @@ def op6_line_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op6_line_passages"] = sql.OP6
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxic.score(docs, toxic.train(docs, table(spark, folder, "labels")))
