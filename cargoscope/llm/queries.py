@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import lines, minhash, packing, phrases, pieces, sql, toxic
+from cargoscope.llm import aliases, lines, minhash, packing, phrases, pieces, sql, toxic
 from cargoscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,16 @@ SQL["op6_line_passages"] = sql.OP6
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxic.score(docs, toxic.train(docs, table(spark, folder, "labels")))
+
+
+# The rules of the contract.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op5_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return aliases.verdicts(table(spark, folder, "pages"), rules)
+
+
+SQL["op5_url_verdicts"] = sql.op5(URL_RULES)

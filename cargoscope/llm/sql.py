@@ -38,3 +38,27 @@ SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(l) END AS BIGINT) AS
        CASE WHEN gone IS NULL THEN sha256(text) ELSE sha256(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(gone, i)), lambda i: l[i]), chr(10))) END AS text_sha256
 FROM d LEFT JOIN z USING (doc_id)
 """
+
+
+def op5(rules: list[tuple[str, str, str]]) -> str:
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
+    host = "translate(regexp_extract({0}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = "regexp_extract({0}, '^[^/?#]*(/[^?#]*)?', 1)"
+    rest = "CASE WHEN strpos({0}, '://') > 0 THEN substr({0}, strpos({0}, '://') + 3) ELSE '' END"
+    tag = "regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<{0}\\b[^>]*\\b{1}\\s*=\\s*[\"'']?{2}\\b[^>]*>'), '(?is)\\b{3}\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)"
+    return f"""
+WITH RECURSIVE rules(rh, rp, rv) AS (VALUES {values}),
+p AS (SELECT page_id, {host.format("r")} AS host, {path.format("r")} AS path FROM (SELECT page_id, {rest.format("url")} AS r FROM pages)),
+l AS (SELECT url, unnest([{tag.format("link", "rel", "canonical", "href")}, {tag.format("meta", "http-equiv", "refresh", "url")}]) AS t FROM pages),
+t AS (SELECT {rest.format("url")} AS r, CASE WHEN contains(t, '://') THEN {rest.format("t")} WHEN starts_with(t, '//') THEN substr(t, 3)
+      WHEN starts_with(t, '/') THEN concat(regexp_extract({rest.format("url")}, '^([^/?#]*)', 1), t) ELSE '' END AS s FROM l WHERE t <> ''),
+e AS (SELECT {host.format("r")} AS h1, {path.format("r")} AS p1, {host.format("s")} AS h2, {path.format("s")} AS p2 FROM t),
+b AS (SELECT h1, p1, h2, p2 FROM e WHERE h1 <> '' AND h2 <> '' UNION SELECT h2, p2, h1, p1 FROM e WHERE h1 <> '' AND h2 <> ''),
+n AS (SELECT host, path FROM p UNION SELECT h1, p1 FROM b),
+fit AS (SELECT host, path, rh || rp AS rule, rv, row_number() OVER (PARTITION BY host, path ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
+        FROM n JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+ruled AS (SELECT * FROM fit WHERE k = 1),
+bad(host, path) AS (SELECT host, path FROM ruled WHERE rv = 'block' UNION SELECT h2, p2 FROM bad JOIN b ON host = h1 AND path = p1)
+SELECT page_id, p.host, p.path, rule, coalesce(rv, CASE WHEN bad.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN ruled ON p.host = ruled.host AND p.path = ruled.path LEFT JOIN (SELECT DISTINCT * FROM bad) bad ON p.host = bad.host AND p.path = bad.path
+"""
