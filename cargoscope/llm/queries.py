@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import aliases, lines, minhash, packing, phrases, pieces, sql, toxic
+from cargoscope.llm import aliases, cover, lines, minhash, packing, phrases, pieces, sql, toxic
 from cargoscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,11 @@ def op5_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op5_url_verdicts"] = sql.op5(URL_RULES)
+
+
+@query
+def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return cover.top_k(table(spark, folder, "embeddings"))
+
+
+SQL["op2_top_k"] = sql.OP2
