@@ -46,50 +46,70 @@ def vocabulary(items: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Postings (key, doc_id, n_words, word, term, pos) of the vocabulary, stored.
+    """Postings (key, doc_id, n_words, term, pos, prev, next) of the vocabulary, stored.
 
-    Each row of ``docs`` has one posting at position -1 that carries its id and length.
+    ``prev`` and ``next`` are one-byte hashes of the neighbouring words.  Each row of ``docs`` has
+    one posting at position -1 that carries its id and length.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(_key().alias("key"), "doc_id", words("text").alias("words"))
-    tokens = texts.select("key", "doc_id", F.size("words").cast("long").alias("n_words"),
-                          F.posexplode(F.concat(F.array(F.lit(_START)), F.col("words"))).alias("pos", "word"))
-    found = tokens.join(vocab, "word").select("key", "doc_id", "n_words", "term", (F.col("pos") - 1).alias("pos"))
-    return session.stored(found, "postings")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
+        _key().alias("key"), "doc_id", F.concat(F.array(F.lit(_START)), words("text")).alias("words"))
+    hashed = texts.withColumn("h", F.transform("words", _byte))
+    tokens = hashed.select("key", "doc_id", (F.size("words") - 1).cast("long").alias("n_words"), F.posexplode(F.arrays_zip(
+        F.col("words").alias("word"), F.concat(F.array(F.lit(None).cast("byte")), "h").alias("prev"), F.slice("h", F.lit(2), F.size("h")).alias("next"))).alias("pos", "t"))
+    found = tokens.where("t.word is not null").select("key", "doc_id", "n_words", (F.col("pos") - 1).alias("pos"), "t.word", "t.prev", "t.next")
+    return session.stored(found.join(vocab, "word").drop("word"), "postings")
+
+
+def _byte(word: Column) -> Column:
+    return (F.pmod(F.hash(word), F.lit(251)) - 125).cast("byte")
 
 
 def anchors(items: DataFrame, vocab: DataFrame, postings: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(term, item, at): for each window of an item the place of its rarest word."""
+    """(term, item, at, prev, next): for each window of an item the place of its rarest word.
+
+    ``prev`` and ``next`` hash the neighbours inside the window, null at its ends.
+    """
     counts = postings.where("pos >= 0").groupBy("term").agg(F.count("*").alias("df"))
     known = vocab.join(counts, "term").select("word", "term", "df")
     placed = items.select("item", F.size("words").alias("m"), F.posexplode("words").alias("at", "word")).join(known, "word", "left").groupBy("item", "m").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("places"))
+        F.array_sort(F.collect_list(F.struct("at", F.coalesce("df", F.lit(0)).alias("df"), "term", _byte(F.col("word")).alias("h")))).alias("places"))
     width = F.least(F.col("m"), F.lit(window))
-    rarest = placed.select("item", F.explode(F.transform(
+    rarest = placed.select("item", "places", width.alias("width"), F.posexplode(F.transform(
         F.sequence(F.lit(0), F.col("m") - width),
-        lambda s: F.array_min(F.transform(F.slice("places", s + 1, width), lambda p: F.struct(p["df"].alias("df"), p["at"].alias("at"), p["term"].alias("term")))))).alias("a"))
-    return rarest.where("a.df > 0").select("item", "a.at", "a.term").distinct()
+        lambda s: F.array_min(F.transform(F.slice("places", s + 1, width), lambda p: F.struct(p["df"].alias("df"), p["at"].alias("at"), p["term"].alias("term")))))).alias("start", "a"))
+    beside = lambda step, inside: F.when(inside, F.get("places", F.col("a.at") + step)["h"])
+    return rarest.where("a.df > 0").select(
+        "item", "a.at", "a.term", beside(-1, F.expr("a.at > start")).alias("prev"), beside(1, F.expr("a.at < start + width - 1")).alias("next")).distinct()
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(words: Column, part: Column, ahead: Column, width: Column) -> Column:
+    """Stretches (a, b) of at least ``width`` places at which ``words`` equals ``part``, which starts ``ahead`` places later."""
+    miss = F.filter(F.sequence(F.lit(0), F.size(words)), lambda j: ~F.coalesce((j >= ahead) & (F.get(part, j - ahead) == F.get(words, j)), F.lit(False)))
+    between = lambda ends: F.zip_with(ends, F.slice(ends, F.lit(2), F.size(ends)), lambda a, b: F.struct((a + 1).alias("a"), (b - 1).alias("b")))
+    runs = _let(F.concat(F.array(F.lit(-1)), miss), between)
+    return F.filter(runs, lambda r: r["b"] - r["a"] + 1 >= width)
 
 
 def alignments(docs: DataFrame, items: DataFrame, postings: DataFrame, rare: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, item_id, hits): positions of the words in windows of an item, per shift with any."""
-    shifts = session.stored(
-        postings.where("pos >= 0").select("key", "term", "pos").join(rare, "term").select("key", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "shifts")
-    per_doc = shifts.groupBy("key").agg(F.collect_list(F.struct("item", "shift")).alias("tries"))
+    rare = rare.select("term", "item", "at", F.col("prev").alias("p0"), F.col("next").alias("n0"))
+    met = postings.where("pos >= 0").join(rare, "term").where("coalesce(prev = p0, p0 is null) and coalesce(next = n0, n0 is null)")
+    shifts = session.stored(met.select("key", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "shifts")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", _key()).join(
         shifts.select("key").distinct(), "key", "left_semi").select("key", words("text").alias("doc")).dropDuplicates(["key"])
-    tried = texts.join(per_doc, "key").select("key", "doc", F.explode("tries").alias("t")).select("key", "doc", "t.item", "t.shift")
+    per_doc = shifts.groupBy("key").agg(F.collect_list(F.struct("item", "shift")).alias("tries"))
+    tried = texts.join(per_doc, "key").select("key", "doc", F.explode("tries").alias("t")).select("key", "doc", "t.item", "t.shift").join(items, "item")
     # Only the stretch of the document that the item covers goes on.
-    cut = tried.join(items, "item").select(
-        "key", "item_id", "shift", "words", F.size("words").alias("m"),
-        F.slice("doc", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("words") + F.least(F.col("shift"), F.lit(0))).alias("part"))
-    width = F.least(F.col("m"), F.lit(window))
-    ahead = F.greatest(-F.col("shift"), F.lit(0))
-    miss = F.filter(F.transform(F.col("words"), lambda w, j: F.when(F.get("part", j - ahead).eqNullSafe(w) & (j >= ahead), F.lit(None).cast("int")).otherwise(j)), lambda j: j.isNotNull())
-    ends = F.concat(F.array(F.lit(-1)), F.col("miss"), F.array(F.col("m")))
-    runs = F.filter(F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda i: F.struct(
-        (F.get("ends", i - 1) + 1).alias("a"), (F.get("ends", i) - 1).alias("b"))), lambda r: r["b"] - r["a"] + 1 >= width)
-    return cut.withColumn("miss", miss).withColumn("ends", ends).select("key", "item_id", "shift", runs.alias("runs")).where("size(runs) > 0").select(
-        "key", "item_id", F.flatten(F.transform("runs", lambda r: F.sequence(F.col("shift") + r["a"], F.col("shift") + r["b"]))).alias("hits"))
+    m, shift = F.size("words"), F.col("shift")
+    part = F.slice("doc", F.greatest(shift, F.lit(0)) + 1, m + F.least(shift, F.lit(0)))
+    runs = _let(part, lambda x: _runs(F.col("words"), x, F.greatest(-shift, F.lit(0)), F.least(m, F.lit(window))))
+    hits = F.flatten(F.transform(runs, lambda r: F.sequence(shift + r["a"], shift + r["b"])))
+    return tried.select("key", "item_id", hits.alias("hits")).where("size(hits) > 0")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
