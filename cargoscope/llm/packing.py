@@ -27,6 +27,9 @@ REMEMBERED = 1_000_000  # words a worker remembers
 PART = 1 << 21  # characters handled at a time
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _RUN = re.compile(r"\s ")
+_RUNS = [c + " " for c in map(chr, range(128)) if c.isspace()]
+_MARKS = ".,;:!?"
+BARE, MARK, BREAK = "\udc00", "\udc01", "\udc02"  # cannot occur in a text
 FILE = "shard int, block int, first long, bits int, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary"
 
 
@@ -70,8 +73,9 @@ class Encoder:
     """A tokenizers vocabulary with a memory of words.
 
     The byte-level splitter always ends a token where a space follows a non-space, so what lies
-    between two such places is encoded once.  Unknown words go to the library as one text; the
-    tokens that begin with a space tell where each word's ids start.
+    between two such places is encoded once; a line break between words and a mark behind a letter
+    are ends as well.  Unknown words go to the library as one text; tokens that begin with a space
+    (or are a line break) tell where each word's ids start.
     """
 
     def __init__(self, path: str):
@@ -81,53 +85,86 @@ class Encoder:
         n = self.library.get_vocab_size()
         self.bits = width(n)
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
-        self.memory: dict[str, bytes] = {}  # ids of a space and the word
+        self.memory: dict[str, bytes] = {}  # ids of a space and the word, or of the word alone behind BARE
+        self.fixed = {BREAK: self.whole("\n"), BARE: b""} | {MARK + m: self.whole(m) for m in _MARKS}
+        self.memory.update(self.fixed)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
+    def _library(self, text: str, opens, n: int) -> list[bytes]:
+        """Ids of ``n`` words of a text, each of which starts with a token that opens one."""
+        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        starts = np.flatnonzero(opens(ids)).tolist()
+        if len(starts) != n:
+            raise ValueError("words and tokens do not line up")
+        data = ids.tobytes()
+        return [data[4 * a:4 * b] for a, b in zip(starts, starts[1:] + [len(ids)])]
+
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        plain = [w for w in new if w and " " not in w and not w[-1].isspace()]
-        out = {}
-        if plain:
-            ids = np.array(self.library.encode(" " + " ".join(plain), add_special_tokens=False).ids, np.uint32)
-            starts = np.flatnonzero(self.opens[ids]).tolist()
-            if len(starts) != len(plain):
-                raise ValueError("words and tokens do not line up")
-            data = ids.tobytes()
-            out = {w: data[4 * a:4 * b] for w, a, b in zip(plain, starts, starts[1:] + [len(ids)])}
-        if len(out) < len(new):
-            odd = [w for w in new if w not in out]
-            for w, e in zip(odd, self.library.encode_batch([" " + w for w in odd], add_special_tokens=False)):
-                out[w] = np.array(e.ids, np.uint32).tobytes()
-        return out
+        memory = self.memory
+        split = {w: _atoms(w) for w in new}
+        atoms = list({a for x in split.values() for a in x if a not in memory})
+        plain = [a for a in atoms if a[:1] != BARE and a and " " not in a and not a[-1].isspace()]
+        bare = [a for a in atoms if a[:1] == BARE and len(a) > 1 and not any(map(str.isspace, a))]
+        known = dict(zip(plain, self._library(" " + " ".join(plain), self.opens.__getitem__, len(plain)))) if plain else {}
+        if bare and len(self.fixed[BREAK]) == 4:
+            end = np.frombuffer(self.fixed[BREAK], np.uint32)[0]
+            found = self._library("\n" + "\n".join(a[1:] for a in bare), end.__eq__, len(bare))
+            known.update((a, x[4:]) for a, x in zip(bare, found))
+        for a in atoms:
+            if a not in known:
+                known[a] = self.whole(a[1:] if a[:1] == BARE else " " + a)
+        if len(memory) < REMEMBERED:
+            memory.update((a, x) for a, x in known.items() if len(a) <= 64)
+        return {w: b"".join([known[a] if a in known else memory[a] for a in x]) for w, x in split.items()}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = []
+        words, ends = [], []
         for t in texts:
-            if _RUN.search(t):
-                words = _BEFORE_SPACE.split(t)
-                parts.append((words[0], [w[1:] for w in words[1:]]))
+            if _has_run(t):
+                part = _BEFORE_SPACE.split(t)
+                part[1:] = [w[1:] for w in part[1:]]
             else:
-                words = t.split(" ")
-                parts.append((words[0], words[1:]))
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        new: set[str] = set()
-        for _, words in parts:
-            new.update(set(words).difference(memory))
-        extra = {}
+                part = t.split(" ")
+            part[0] = BARE + part[0]
+            words += part
+            ends.append(len(words))
+        ids = list(map(self.memory.get, words))
+        new = {w for w, x in zip(words, ids) if x is None}
+        if len(new) * 3 > len(words) and len(self.memory) >= REMEMBERED:
+            self.memory.clear()  # full of words that no longer come
+            self.memory.update(self.fixed)
         if new:
             learnt = self.learn(list(new))
-            memory.update((w, x) for w, x in learnt.items() if len(w) <= 64)
-            extra = {w: x for w, x in learnt.items() if len(w) > 64}
-        out = []
-        for first, words in parts:
-            rest = [memory[w] if w in memory else extra[w] for w in words] if extra else map(memory.__getitem__, words)
-            out.append((self.whole(first) if first else b"") + b"".join(rest))
-        return out
+            if len(self.memory) < REMEMBERED:
+                self.memory.update((w, x) for w, x in learnt.items() if len(w) <= 64)
+            for i, x in enumerate(ids):
+                if x is None:
+                    ids[i] = learnt[words[i]]
+        return [b"".join(ids[a:b]) for a, b in zip([0] + ends, ends)]
+
+
+def _has_run(text: str) -> bool:
+    """Whether white space stands before a space, where the splitter looks at the whole run."""
+    if text.isascii():
+        return any(x in text for x in _RUNS)
+    return _RUN.search(text) is not None
+
+
+def _atoms(word: str) -> list[str]:
+    """Parts of a word that are encoded by themselves."""
+    if "\n" not in word:
+        return _unmarked(word)
+    parts = word.split("\n")
+    if not all(p and p != BARE and not p[0].isspace() and not p[-1].isspace() for p in parts):
+        return [word]
+    return _unmarked(parts[0]) + [a for p in parts[1:] for a in (BREAK, *_unmarked(BARE + p))]
+
+
+def _unmarked(word: str) -> list[str]:
+    return [word[:-1], MARK + word[-1]] if len(word) > 2 and word[-1] in _MARKS and word[-2].isalpha() else [word]
 
 
 @lru_cache(maxsize=2)
