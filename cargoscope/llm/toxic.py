@@ -26,6 +26,7 @@ TRAIN_DOCS = 4000  # labelled texts to learn from, at most
 TRAIN_WINDOWS = 48  # windows of each of them, evenly spaced, at most
 CLEAN_WINDOWS = 8  # of those, windows of a text without label 1 that enter the loss
 EPOCHS = (2, 4)  # with every toxic text's windows, and with those found toxic
+BATCH, STEPS = 512, (80, 160)  # windows of a step at most, and steps of either kind at least
 DROP = 0.3  # share of words that show only their characters in a step
 MIN_DOCS = 3  # training texts a word must occur in to have a vector of its own
 REMEMBERED = 300_000  # words a worker remembers
@@ -245,11 +246,13 @@ def fit(texts: list[list[list[str]]], labels: list[int], seed: int = 7) -> Netwo
         at = np.flatnonzero(chosen)
         target = toxic[at].astype(np.float32)
         weight = np.where(target > 0, (target == 0).sum() / max(target.sum(), 1), 1).astype(np.float32)
+        size = int(np.clip(len(at) // 40, 32, BATCH))
+        epochs = max(epochs, -(-STEPS[stage] * size // len(at)))
         for epoch in range(epochs):
             order = rng.permutation(len(at))
-            for i in range(0, len(order), 512):
-                o = order[i:i + 512]
-                trainer.step([every[k] for k in at[o]], target[o], weight[o], 0.02 if not stage else 0.01 / (1 + epoch))
+            for i in range(0, len(order), size):
+                o = order[i:i + size]
+                trainer.step([every[k] for k in at[o]], target[o], weight[o], 0.02 if not stage else 0.01 * (1 - epoch / epochs))
     value = logits(net, [w for x in test for w in x])
     ends = np.cumsum([len(x) for x in test])
     best = np.array([value[e - len(x):e].max() if x else np.nan for x, e in zip(test, ends)])
