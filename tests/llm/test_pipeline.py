@@ -47,7 +47,7 @@ def test_stages_find_planted_documents(spark, tmp_path):
 
 
 def test_held_out_accuracy(spark):
-    folder = "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else SF
+    folder = "/root/testdata/sf0.1" if os.path.isdir("/root/testdata/sf0.1") else SF
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     got = [r for r in queries.QUERIES["op7_toxicity"](spark, folder).collect() if r.doc_id in labels and r.held_out]
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
