@@ -1,11 +1,12 @@
 """Repeated passages of whole lines, by content-defined chunks.
 
-A hash of each line, rolled over two lines, decides where a chunk ends, so lines inserted or lost
-elsewhere leave the other boundaries in place.  A line of fifty words or more is a chunk of its
-own.  Chunks of two or more lines, and those long lines, are counted over all documents; of a
-chunk found more than once the first place (least doc_id, then earliest line) stays.  Every other
-place is compared with the first byte by byte and grows over neighbouring lines as long as they
-too equal those around the first.  Everything is DataFrame functions.
+A hash of each line, rolled over two lines, decides after which lines a chunk may end, so lines
+inserted or lost elsewhere leave those places where they were.  A chunk starts behind each such
+place and runs to the first that leaves it two lines or more; a line of fifty words or more is a
+chunk of its own.  Chunks are counted over all documents; of a chunk found more than once the
+first place (least doc_id, then earliest line) stays.  Every other place is compared with the
+first byte by byte and grows over a few neighbouring lines as long as they too equal those around
+the first.  Everything is DataFrame functions; texts meet their spans in merge joins at any size.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from cargoscope import session
 
-ROLL = 3  # one boundary in so many lines, on average
-MULTIPLIER = 1009
+ROLL, MULTIPLIER = 4, 1009  # of the rolling hash: one line in so many can't end a chunk
+REACH = 2  # lines on either side over which a repeated chunk may grow
 LONG = 50  # words of a line that counts as a passage by itself
 LAST = 2**63 - 1  # stands for a null doc_id
 
@@ -30,22 +31,23 @@ def _lines() -> Column:
 
 
 def _split(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, chunk) per chunk; ``chunk`` holds its first and last line and the reach of its neighbours."""
+    """(key, doc_id, a, b, k1, k2) per chunk: its first and last line and two hashes of them."""
     rows = docs.select(_key().alias("key"), "doc_id", _lines().alias("lines")).select(
         "key", "doc_id", "lines",
         F.transform("lines", lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("long")).alias("hashes"),
         F.transform("lines", lambda s: F.char_length(s) - F.char_length(F.replace(s, F.lit(" "), F.lit(""))) >= LONG - 1).alias("long"))
     last = F.size("lines") - 1
-    rolled = lambda i: F.pmod(F.coalesce(F.get("hashes", i - 1), F.lit(0)) * MULTIPLIER + F.get("hashes", i), F.lit(ROLL)) == 0
+    rolled = lambda i: F.pmod(F.coalesce(F.get("hashes", i - 1), F.lit(0)) * MULTIPLIER + F.get("hashes", i), F.lit(ROLL)) != 0
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | rolled(i) | F.get("long", i) | F.coalesce(F.get("long", i + 1), F.lit(False)))
     rows = rows.withColumn("ends", ends)
-    after = lambda k: F.coalesce(F.get("ends", k - 1) + 1, F.lit(0))  # noqa: E731  first line of chunk k
-    chunk = F.transform(F.sequence(F.lit(0), F.size("ends") - 1), lambda k: F.struct(
-        after(k).alias("a"), F.get("ends", k).alias("b"), after(k - 1).alias("low"), F.coalesce(F.get("ends", k + 1), last).alias("high"), F.get("long", after(k)).alias("long")))
+    starts = F.concat(F.array(F.lit(0)), F.transform(F.filter("ends", lambda e: e < last), lambda e: e + 1))
+    # Few ends lie within two lines of a start, so the next two or three are looked at.
+    until = lambda a, k: F.when(F.get("long", a) | (F.get("ends", k) > a), F.get("ends", k)).otherwise(F.coalesce(F.get("ends", k + 1), last))
+    chunk = F.transform(starts, lambda a, k: F.struct(a.alias("a"), F.when(until(a, k) == last - 1, F.when(F.get("long", a) | F.get("long", last), until(a, k)).otherwise(last)).otherwise(until(a, k)).alias("b"), F.get("long", a).alias("long")))
     return rows.select("key", "doc_id", "lines", F.explode(chunk).alias("c")).where("c.b > c.a or c.long").select(
-        "key", "doc_id", "c.a", "c.b", "c.low", "c.high", F.slice("lines", F.col("c.a") + 1, F.col("c.b") - F.col("c.a") + 1).alias("own")).where(
+        "key", "doc_id", "c.a", "c.b", F.slice("lines", F.col("c.a") + 1, F.col("c.b") - F.col("c.a") + 1).alias("own")).where(
         "trim(array_join(own, '')) <> ''").select(
-        "key", "doc_id", "a", "b", "low", "high", F.xxhash64("own").alias("k1"), F.hash("own").alias("k2"))
+        "key", "doc_id", "a", "b", F.xxhash64("own").alias("k1"), F.hash("own").alias("k2"))
 
 
 def _common(left: str, right: str) -> Column:
@@ -61,13 +63,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     chunks = session.stored(_split(docs), "chunks")
     first = chunks.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "key", "a")).alias("first")).where("n > 1")
     places = session.stored(chunks.join(first, ["k1", "k2"]).select(
-        "key", "a", "b", "low", "high", "k1", "k2", ((F.col("first.key") == F.col("key")) & (F.col("first.a") == F.col("a"))).alias("stays")), "repeated-chunks")
-    spans = places.groupBy("key").agg(F.collect_set(F.struct("a", "b", "low", "high", "k1", "k2", "stays")).alias("spans"))
-    texts = docs.select(_key().alias("key"), "text").join(spans, "key").dropDuplicates(["key"]).select("key", _lines().alias("lines"), F.explode("spans").alias("s"))
+        "key", "a", "b", "k1", "k2", ((F.col("first.key") == F.col("key")) & (F.col("first.a") == F.col("a"))).alias("stays")), "repeated-chunks")
+    spans = places.groupBy("key").agg(F.collect_set(F.struct("a", "b", "k1", "k2", "stays")).alias("spans"))
+    texts = docs.select(_key().alias("key"), "text").join(spans.hint("merge"), "key").dropDuplicates(["key"]).select("key", _lines().alias("lines"), F.explode("spans").alias("s"))
     cut = lambda low, high: F.slice("lines", low + 1, high - low + 1)
     parts = session.stored(texts.select(
-        "key", "s.*", cut(F.col("s.a"), F.col("s.b")).alias("own"), F.reverse(cut(F.col("s.low"), F.col("s.a") - 1)).alias("before"),
-        cut(F.col("s.b") + 1, F.col("s.high")).alias("after")).drop("low", "high"), "passages")
+        "key", "s.*", cut(F.col("s.a"), F.col("s.b")).alias("own"), F.reverse(cut(F.greatest(F.col("s.a") - REACH, F.lit(0)), F.col("s.a") - 1)).alias("before"),
+        cut(F.col("s.b") + 1, F.col("s.b") + REACH).alias("after")), "passages")
     kept = parts.where("stays").select("k1", "k2", *(F.col(c).alias(f"{c}0") for c in ("own", "before", "after")))
     same = parts.where("not stays").join(kept, ["k1", "k2"]).where("own = own0").select(
         "key", F.sequence(F.col("a") - _common("before", "before0"), F.col("b") + _common("after", "after0")).alias("gone"))
@@ -81,7 +83,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     line; an empty one has one line.  Rows equal in doc_id and text are one document; rows with a
     null doc_id come last in the order of places.  Columns of the names given are replaced.
     """
-    gone = session.stored(repeats(docs), "gone").withColumnsRenamed({"key": "_repeats_key", "gone": "_repeats_gone"})
+    gone = session.stored(repeats(docs), "gone").withColumnsRenamed({"key": "_repeats_key", "gone": "_repeats_gone"}).hint("merge")
     own = docs.drop("n_lines", "n_removed")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
     joined = own.withColumn("_own_key", key).join(gone, F.col("_own_key") == F.col("_repeats_key"), "left").withColumn(

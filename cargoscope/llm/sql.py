@@ -22,13 +22,13 @@ OP6 = """
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 h AS (SELECT doc_id, l, list_transform(l, lambda s: CAST('0x' || substr(md5(s), 1, 7) AS BIGINT)) AS h,
       list_transform(l, lambda s: length(s) - length(replace(s, ' ', '')) >= 49) AS g FROM d),
-e AS (SELECT doc_id, l, g, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR (coalesce(h[CASE WHEN i > 1 THEN i - 1 END], 0) * 1009 + h[i]) % 3 = 0
+e AS (SELECT doc_id, l, g, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR (coalesce(h[CASE WHEN i > 1 THEN i - 1 END], 0) * 1009 + h[i]) % 4 <> 0
       OR g[i] OR coalesce(g[i + 1], FALSE)) AS e FROM h),
-c AS (SELECT doc_id, l, g, k, CASE WHEN k > 1 THEN e[k - 1] + 1 ELSE 1 END AS a, e[k] AS b,
-      CASE WHEN k > 2 THEN e[k - 2] + 1 ELSE 1 END AS low, coalesce(e[k + 1], len(l)) AS high
-      FROM (SELECT *, unnest(range(1, len(e) + 1)) AS k FROM e)),
-o AS (SELECT doc_id, a, b, l[a:b] AS own, list_reverse(CASE WHEN a > low THEN l[low:a - 1] ELSE [] END) AS bef,
-      CASE WHEN high > b THEN l[b + 1:high] ELSE [] END AS aft FROM c WHERE (b > a OR g[a]) AND trim(array_to_string(l[a:b], '')) <> ''),
+s AS (SELECT *, unnest(list_concat([1], list_transform(list_filter(e, lambda i: i < len(l)), lambda i: i + 1))) AS a FROM e),
+c AS (SELECT doc_id, l, g, a, CASE WHEN u = len(l) - 1 AND NOT g[a] AND NOT g[len(l)] THEN len(l) ELSE u END AS b
+      FROM (SELECT *, CASE WHEN g[a] THEN a ELSE coalesce(list_min(list_filter(e, lambda i: i > a)), len(l)) END AS u FROM s)),
+o AS (SELECT doc_id, a, b, l[a:b] AS own, list_reverse(CASE WHEN a > 1 THEN l[greatest(a - 2, 1):a - 1] ELSE [] END) AS bef,
+      CASE WHEN b < len(l) THEN l[b + 1:b + 2] ELSE [] END AS aft FROM c WHERE (b > a OR g[a]) AND trim(array_to_string(l[a:b], '')) <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY doc_id, a) AS nth, first_value(bef) OVER (PARTITION BY own ORDER BY doc_id, a) AS bef0,
       first_value(aft) OVER (PARTITION BY own ORDER BY doc_id, a) AS aft0 FROM o),
 x AS (SELECT doc_id, a - list_min(list_filter(range(0, least(len(bef), len(bef0)) + 1), lambda i: i = least(len(bef), len(bef0)) OR bef[i + 1] <> bef0[i + 1])) AS lo,
