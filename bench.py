@@ -57,7 +57,7 @@ def snapshot_load(s):
 
 
 def whatif_one(s):
-    wi.run(s.cube, raw_scenarios(s).where("scenario_id = 'scn NAC'"), checksum="uv_test").kpis.collect()
+    wi.run(s.cube, raw_scenarios(s).where("scenario_id = 'loss of the supply of one trading economy: NAC'"), checksum="uv_test").kpis.collect()
 
 
 def whatif_many(s):

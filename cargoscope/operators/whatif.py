@@ -90,10 +90,10 @@ def normalize(raw: DataFrame) -> DataFrame:
         "target_reporter_iso3": codes("target_reporter_iso3", ("", "__ALL__", "ALL")),
         "created_at": F.coalesce("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
     })
-    token = F.substring(F.regexp_replace(F.regexp_replace(SID, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""), 1, 40)
     df = df.withColumn("scenario_hash", scenario_hash())
-    own = F.when(E.has_text(SID), F.coalesce(E.blank_to_null(token), F.lit("scn")))
-    return df.withColumn(SID, F.coalesce(own, F.concat(F.lit("scn_"), F.substring("scenario_hash", 1, 16))))
+    # The id is kept as given: it is a key of every join, so nothing may make two ids one.
+    own = F.when(E.has_text(SID), F.trim(SID))
+    return df.withColumn(SID, F.coalesce(own, F.concat(F.lit("scn_"), "scenario_hash")))
 
 
 def read_scenarios(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
@@ -127,7 +127,9 @@ def validate(scenarios: DataFrame, baseline_rows: DataFrame | None = None, statu
     ]
     if status == "partial":
         checks.append((~F.col("acknowledge_partial_coverage"), "partial coverage not acknowledged"))
-    df, warnings = scenarios, []
+    uses = scenarios.groupBy(SID).agg((F.count("*") > 1).alias("_repeated"))
+    df, warnings = scenarios.join(uses, SID), []
+    checks.append((F.col("_repeated"), "scenario_id is not unique"))
     if checksum:
         stale = ~F.coalesce(F.col("universe_version") == checksum, F.lit(False))
         (warnings if force_stale else checks).append((stale, "universe_version differs from the active one"))
@@ -153,7 +155,7 @@ def validate(scenarios: DataFrame, baseline_rows: DataFrame | None = None, statu
         messages = F.array(*[F.when(cond, F.lit(text)) for cond, text in rules]) if rules else F.array().cast("array<string>")
         return F.filter(messages, lambda m: m.isNotNull())
 
-    out = df.select(SID, listed(checks).alias("errors"), listed(warnings).alias("warnings"))
+    out = df.select(SID, listed(checks).alias("errors"), listed(warnings).alias("warnings")).distinct()
     return out.withColumn("ok", F.size("errors") == 0)
 
 
@@ -307,7 +309,7 @@ def propagate(groups: DataFrame, base: DataFrame, scenarios: DataFrame) -> DataF
             "position": position, "total_out": F.sum(edge_value).over(w),
         }).withColumn("propagated_value_usd", F.least(F.col("shock_input_value_usd") * edge_value / F.col("total_out"), edge_value))
         claimed = stored(claimed.withColumn(
-            "path_id", F.concat("order_key", F.lit("/"), F.lpad(F.col("position").cast("string"), 6, "0"))), "paths")
+            "path_id", F.concat("order_key", F.lit("/"), F.lpad(F.col("position").cast("string"), 12, "0"))), "paths")
         if claimed.isEmpty():
             break
         expanded = claimed.select(*node).distinct()
@@ -611,7 +613,7 @@ def allocation_summary(suppliers: DataFrame) -> DataFrame:
 
 
 def filter_paths(paths: DataFrame, depth_max: int | None = None, reporters=None, hs_codes=None, min_value: float = 0,
-                 cap: int | None = 500) -> DataFrame:
+                 cap: int | None = None) -> DataFrame:
     """Paths to show, largest first."""
     rules = [F.col("propagated_value_usd") >= float(min_value)]
     if depth_max is not None:

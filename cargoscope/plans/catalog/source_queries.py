@@ -500,9 +500,9 @@ def _(s):
     return rounded(out.select("scenario_id", "status", "residual_unmet_value_usd", "supplier", "hs_scope", "shock_size_pct"), "residual_unmet_value_usd", digits=5)
 
 
-@query("whatif_reload", "SELECT scenario_id, reporter_iso3, supplier_iso3, hs_code, ROUND(residual, 5) AS residual_unmet_value_usd FROM wi_edges WHERE scenario_id = 'scn_NAC'")
+@query("whatif_reload", "SELECT scenario_id, reporter_iso3, supplier_iso3, hs_code, ROUND(residual, 5) AS residual_unmet_value_usd FROM wi_edges WHERE scenario_id = 'loss of the supply of one trading economy: NAC'")
 def _(s):
-    edges = sinks.load_result(s.spark, whatif_store(s), "scn_NAC")["edge_impacts"]
+    edges = sinks.load_result(s.spark, whatif_store(s), "loss of the supply of one trading economy: NAC")["edge_impacts"]
     return rounded(edges.select("scenario_id", *wi.EDGE, "residual_unmet_value_usd"), "residual_unmet_value_usd", digits=5)
 
 

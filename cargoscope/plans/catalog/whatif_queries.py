@@ -15,7 +15,7 @@ def raw_scenarios(s, propagate=False):
     k = F.col("n_nationkey")
     empty = F.array().cast("array<string>")
     df = s.economies.select(
-        F.concat(F.lit("scn "), "iso3").alias("scenario_id"), F.concat(F.lit("Loss of "), "display_name").alias("scenario_name"),
+        F.concat(F.lit("loss of the supply of one trading economy: "), "iso3").alias("scenario_id"), F.concat(F.lit("Loss of "), "display_name").alias("scenario_name"),
         F.when(k % 2 == 0, 2000).otherwise(1999).alias("baseline_year_start"),
         F.when(k % 2 == 0, 2000).otherwise(1997).alias("baseline_year_end"),
         F.array("iso3", "iso3", F.lit("")).alias("target_supplier_iso3"),
@@ -29,7 +29,7 @@ def raw_scenarios(s, propagate=False):
     )
     if not propagate:
         return df
-    keys = s.economies.select(F.concat(F.lit("scn "), "iso3").alias("scenario_id"), "n_nationkey")
+    keys = s.economies.select(F.concat(F.lit("loss of the supply of one trading economy: "), "iso3").alias("scenario_id"), "n_nationkey")
     return df.join(keys, "scenario_id").withColumns({
         "propagation_mode": F.when(k % 3 == 0, "multi_step").when(k % 3 == 1, "first_order").otherwise("direct_only"),
         "maximum_propagation_steps": F.lit(3), "propagation_decay": F.lit(0.5), "propagation_pass_through": F.lit(0.8),
@@ -38,7 +38,7 @@ def raw_scenarios(s, propagate=False):
 
 
 CTE["scn_all"] = """
-SELECT 'scn_' || iso3 AS scenario_id, n_nationkey AS k, iso3 AS supplier, CASE WHEN n_nationkey % 2 = 0 THEN 2000 ELSE 1997 END AS y0,
+SELECT 'loss of the supply of one trading economy: ' || iso3 AS scenario_id, n_nationkey AS k, iso3 AS supplier, CASE WHEN n_nationkey % 2 = 0 THEN 2000 ELSE 1997 END AS y0,
        CASE WHEN n_nationkey % 2 = 0 THEN 2000 ELSE 1999 END AS y1, n_nationkey % 3 = 0 AS all_hs, n_nationkey % 5 <> 0 AS all_rep,
        CAST(10 + 3 * n_nationkey AS DOUBLE) AS size, ['none', 'proportional', 'capacity_constrained', 'diversification'][n_nationkey % 4 + 1] AS mode,
        CAST(CASE WHEN n_nationkey % 8 < 4 THEN 25 ELSE 5 END AS DOUBLE) AS cap, CAST(CASE WHEN n_nationkey % 16 = 6 THEN 0.3 ELSE 1 END AS DOUBLE) AS max_share
@@ -123,17 +123,20 @@ def _(s):
 
 
 @query("whatif_validation", """
-SELECT scenario_id, CASE WHEN k % 7 = 0 THEN 'shock_size_pct outside 0..100' WHEN k % 7 = 1 THEN 'unsupported substitution_mode'
-   WHEN k % 7 = 2 THEN 'no target_supplier_iso3 in the baseline' ELSE '' END AS errors, k % 7 > 2 AS ok FROM scn_all
+SELECT scenario_id, array_to_string(list_filter(errors, lambda e: e IS NOT NULL), '; ') AS errors, len(list_filter(errors, lambda e: e IS NOT NULL)) = 0 AS ok FROM (
+  SELECT scenario_id, [CASE WHEN k % 7 = 1 THEN 'unsupported substitution_mode' END, CASE WHEN k % 7 = 0 THEN 'shock_size_pct outside 0..100' END,
+    CASE WHEN k % 7 = 2 OR scenario_id NOT IN (SELECT scenario_id FROM scn) THEN 'no target_supplier_iso3 in the baseline' END] AS errors FROM scn_all
+  UNION ALL SELECT 'twin', ['scenario_id is not unique', CASE WHEN scenario_id NOT IN (SELECT scenario_id FROM scn) THEN 'no target_supplier_iso3 in the baseline' END] FROM scn_all WHERE k = 3)
 """)
 def _(s):
     k = F.col("n_nationkey")
-    keys = s.economies.select(F.concat(F.lit("scn "), "iso3").alias("scenario_id"), "n_nationkey")
+    keys = s.economies.select(F.concat(F.lit("loss of the supply of one trading economy: "), "iso3").alias("scenario_id"), "n_nationkey")
     odd = raw_scenarios(s).join(keys, "scenario_id").withColumns({
         "shock_size_pct": F.when(k % 7 == 0, 120.0).otherwise(F.col("shock_size_pct")),
         "substitution_mode": F.when(k % 7 == 1, "magic").otherwise(F.col("substitution_mode")),
         "target_supplier_iso3": F.when(k % 7 == 2, F.array(F.lit("QQQ"))).otherwise(F.col("target_supplier_iso3"))})
-    out = wi.validate(wi.normalize(odd), result(s).baseline)
+    twin = odd.where("n_nationkey = 3").withColumn("scenario_id", F.lit("twin"))
+    out = wi.validate(wi.normalize(odd.unionByName(twin).unionByName(twin)), result(s).baseline)
     return out.select("scenario_id", F.array_join("errors", "; ").alias("errors"), "ok")
 
 
@@ -346,10 +349,10 @@ def _(s):
 @query("whatif_compare_reporters", """
 SELECT reporter_iso3, ROUND(a.residual, 5) AS residual_a, ROUND(b.residual, 5) AS residual_b, ROUND(b.residual - a.residual, 5) AS residual_diff,
        a.residual <= 0 AND b.residual > 0 AS newly_affected, a.residual > 0 AND b.residual <= 0 AS no_longer_affected
-FROM (SELECT * FROM wi_rep WHERE scenario_id = 'scn_NAA') a FULL JOIN (SELECT * FROM wi_rep WHERE scenario_id = 'scn_NBE') b USING (reporter_iso3)
+FROM (SELECT * FROM wi_rep WHERE scenario_id = 'loss of the supply of one trading economy: NAA') a FULL JOIN (SELECT * FROM wi_rep WHERE scenario_id = 'loss of the supply of one trading economy: NBE') b USING (reporter_iso3)
 """)
 def _(s):
-    out = wi.compare_reporters(result(s).reporters, "scn_NAA", "scn_NBE").select(
+    out = wi.compare_reporters(result(s).reporters, "loss of the supply of one trading economy: NAA", "loss of the supply of one trading economy: NBE").select(
         "reporter_iso3", F.col("residual_unmet_value_usd_a").alias("residual_a"), F.col("residual_unmet_value_usd_b").alias("residual_b"),
         "residual_diff", "newly_affected", "no_longer_affected")
     return rounded(out, "residual_a", "residual_b", "residual_diff", digits=5)
@@ -359,27 +362,27 @@ def _(s):
 SELECT m AS metric, ROUND(CASE m WHEN 'direct_disrupted_imports_usd' THEN a.d WHEN 'substitution_allocated_usd' THEN a.a WHEN 'residual_unmet_imports_usd' THEN a.r
    WHEN 'affected_reporters' THEN a.n_rep ELSE a.n_item END, 5) AS value_a, ROUND(CASE m WHEN 'direct_disrupted_imports_usd' THEN b.d WHEN 'substitution_allocated_usd' THEN b.a
    WHEN 'residual_unmet_imports_usd' THEN b.r WHEN 'affected_reporters' THEN b.n_rep ELSE b.n_item END, 5) AS value_b
-FROM (SELECT * FROM wi_kpi WHERE scenario_id = 'scn_NAA') a, (SELECT * FROM wi_kpi WHERE scenario_id = 'scn_NBE') b,
+FROM (SELECT * FROM wi_kpi WHERE scenario_id = 'loss of the supply of one trading economy: NAA') a, (SELECT * FROM wi_kpi WHERE scenario_id = 'loss of the supply of one trading economy: NBE') b,
  (SELECT unnest(['direct_disrupted_imports_usd', 'substitution_allocated_usd', 'residual_unmet_imports_usd', 'affected_reporters', 'affected_commodities']) AS m)
 """)
 def _(s):
-    return rounded(wi.compare_kpis(result(s).kpis, "scn_NAA", "scn_NBE").select("metric", "value_a", "value_b"), "value_a", "value_b", digits=5)
+    return rounded(wi.compare_kpis(result(s).kpis, "loss of the supply of one trading economy: NAA", "loss of the supply of one trading economy: NBE").select("metric", "value_a", "value_b"), "value_a", "value_b", digits=5)
 
 
 @query("whatif_compare_parameters", """
 SELECT m AS parameter, CASE m WHEN 'shock_size_pct' THEN CAST(a.size AS VARCHAR) WHEN 'substitution_mode' THEN a.mode ELSE CAST(a.y0 AS VARCHAR) END AS scenario_a,
        CASE m WHEN 'shock_size_pct' THEN CAST(b.size AS VARCHAR) WHEN 'substitution_mode' THEN b.mode ELSE CAST(b.y0 AS VARCHAR) END AS scenario_b
-FROM (SELECT * FROM scn WHERE scenario_id = 'scn_NAA') a, (SELECT * FROM scn WHERE scenario_id = 'scn_NBE') b,
+FROM (SELECT * FROM scn WHERE scenario_id = 'loss of the supply of one trading economy: NAA') a, (SELECT * FROM scn WHERE scenario_id = 'loss of the supply of one trading economy: NBE') b,
      (SELECT unnest(['shock_size_pct', 'substitution_mode', 'baseline_year_start']) AS m)
 """)
 def _(s):
-    out = wi.compare_parameters(result(s).scenarios, "scn_NAA", "scn_NBE")
+    out = wi.compare_parameters(result(s).scenarios, "loss of the supply of one trading economy: NAA", "loss of the supply of one trading economy: NBE")
     return out.where(F.col("parameter").isin("shock_size_pct", "substitution_mode", "baseline_year_start"))
 
 
-@query("whatif_compatibility", "SELECT true AS ok, CASE WHEN a.y0 <> b.y0 OR a.y1 <> b.y1 THEN 'baseline period differs' ELSE '' END AS warnings FROM scn a, scn b WHERE a.scenario_id = 'scn_NAA' AND b.scenario_id = 'scn_NBE'")
+@query("whatif_compatibility", "SELECT true AS ok, CASE WHEN a.y0 <> b.y0 OR a.y1 <> b.y1 THEN 'baseline period differs' ELSE '' END AS warnings FROM scn a, scn b WHERE a.scenario_id = 'loss of the supply of one trading economy: NAA' AND b.scenario_id = 'loss of the supply of one trading economy: NBE'")
 def _(s):
-    out = wi.compatibility(result(s).scenarios, "scn_NAA", "scn_NBE")
+    out = wi.compatibility(result(s).scenarios, "loss of the supply of one trading economy: NAA", "loss of the supply of one trading economy: NBE")
     return out.select("ok", F.array_join("warnings", "; ").alias("warnings"))
 
 

@@ -126,6 +126,15 @@ def test_hash_ignores_order_and_label(spark):
     assert ia.scenario_id == ib.scenario_id and ia.scenario_id.startswith("scn_")
 
 
+def test_long_and_odd_ids_stay_apart(spark, make_cube):
+    ids = ["x" * 40 + "1", "x" * 40 + "2", "a-b", "a.b", " padded "]
+    n = wi.normalize(scenarios(spark, *[{"scenario_id": i} for i in ids]))
+    assert {r.scenario_id for r in n.collect()} == {i.strip() for i in ids}
+    twice = wi.normalize(scenarios(spark, {"scenario_id": "a"}, {"scenario_id": "a"}, {"scenario_id": "b"}))
+    got = {r.scenario_id: r for r in wi.validate(twice).collect()}
+    assert "scenario_id is not unique" in got["a"].errors and "scenario_id is not unique" not in got["b"].errors
+
+
 def test_swapped_years_and_validation(spark, make_cube):
     n = wi.normalize(scenarios(spark, {"baseline_year_start": 2024, "baseline_year_end": 2020})).first()
     assert (n.baseline_year_start, n.baseline_year_end) == (2020, 2024)
@@ -145,5 +154,5 @@ def test_scenario_file(spark, tmp_path):
     (tmp_path / "a.json").write_text('{\n "scenario_id": "CHN 8542!", "baseline_year_start": 2023, "baseline_year_end": 2019,\n'
                                      ' "target_supplier_iso3": ["CHN", "CHN"], "target_hs_codes": ["8542"], "shock_size_pct": 40}')
     r = wi.read_scenarios(spark, str(tmp_path)).first()
-    assert r.scenario_id == "CHN_8542" and (r.baseline_year_start, r.baseline_year_end) == (2019, 2023)
+    assert r.scenario_id == "CHN 8542!" and (r.baseline_year_start, r.baseline_year_end) == (2019, 2023)
     assert r.target_supplier_iso3 == ["CHN"] and r.substitution_mode == "capacity_constrained" and r.maximum_propagation_steps == 1
