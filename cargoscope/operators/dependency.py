@@ -305,7 +305,7 @@ def wide(cells: DataFrame, row: str, col: str, value: str, columns: list[str]) -
     return cells.groupBy(row).pivot(col, columns).agg(F.max(value))
 
 
-def active_nodes(share_rows: DataFrame, max_nodes: int | None = K.DEPENDENCY_NODE_CAP) -> DataFrame:
+def active_nodes(share_rows: DataFrame, max_nodes: int | None = None) -> DataFrame:
     """Country-commodity nodes by value as importer plus value as supplier."""
     value = F.col("partner_import_value")
     roles = F.explode(F.array(E.node_id("reporter_iso3", "hs_code"), E.node_id("partner_iso3", "hs_code")))
@@ -322,7 +322,7 @@ class NodeGraph:
     summary: DataFrame
 
 
-def commodity_graph(share_rows: DataFrame, max_nodes: int | None = K.DEPENDENCY_NODE_CAP,
+def commodity_graph(share_rows: DataFrame, max_nodes: int | None = None,
                     weight: str = "partner_share") -> NodeGraph:
     """Dependency edges between the most active country-commodity nodes."""
     all_edges = share_rows.where("partner_share > 0").select(

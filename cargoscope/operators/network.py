@@ -7,7 +7,6 @@ each step, so no plan grows with the rounds and a lost executor costs one step.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -67,7 +66,7 @@ def edge_order():
     return [F.desc(VALUE), F.asc("from_iso3"), F.asc("to_iso3")]
 
 
-def top_edges(edges: DataFrame, top_n: int | None = K.NETWORK_TOP_EDGES, min_value: float | None = None) -> Top:
+def top_edges(edges: DataFrame, top_n: int | None = None, min_value: float | None = None) -> Top:
     kept = edges.where(F.col(VALUE) >= float(min_value)) if min_value and min_value > 0 else edges
     if top_n and top_n > 0:
         kept = kept.orderBy(*edge_order()).limit(int(top_n))
@@ -82,9 +81,9 @@ class Edges:
     loops: DataFrame
 
 
-def build_edges(cube: DataFrame, mode: str = "exports", top_n: int | None = K.NETWORK_TOP_EDGES,
+def build_edges(cube: DataFrame, mode: str = "exports", top_n: int | None = None,
                 min_value: float | None = None, exclude_self: bool = True, **criteria) -> Edges:
-    """Filter, orient, aggregate, drop loops, keep the largest edges."""
+    """Filter, orient, aggregate, drop loops; ``top_n`` keeps the largest edges only."""
     codes = clean.wanted(criteria.get("hs_codes"))
     rows = edge_rows(clean.filter_cube(cube, flows=FLOWS.get(mode, ("M", "X")), **criteria), mode)
     every = aggregate_edges(rows, "+".join(sorted(set(codes))) if codes else "all_hs4")
@@ -197,54 +196,24 @@ def distance(edges: DataFrame, floor: float = 1.0) -> DataFrame:
     return edges.withColumn("distance", F.when(w.isNotNull(), 1 / F.greatest(w / top, F.lit(float(floor)) / top)))
 
 
-DENSE_VERTICES = 256
+MAX_ROUNDS = 2000  # of a loop that should have settled long before; reaching it is an error
 
 
-def pagerank(edges: DataFrame, directed: bool = True, damping: float = 0.85, tol: float = 1e-10) -> DataFrame:
+def pagerank(edges: DataFrame, directed: bool = True, damping: float = 0.85, tol: float = 1e-10, rounds_per_job: int = 8) -> DataFrame:
     """Weighted PageRank, summing to one.
 
     With uniform teleport the mass of dangling vertices only rescales the solution of
-    x = d P'x + 1/n, so no round needs a global sum; one division at the end does.
-    Few vertices are solved by doubling, many by rounds.
+    x = d P'x + 1/n, so no round needs a global sum; one division at the end does.  A round is one
+    join and one sum; sums per target combine before the shuffle, so a hub is no hot spot.
+    Several rounds make one job, whose result is stored, until the ranks move less than ``tol``.
     """
     links = pairs(stored(edges.select("from_iso3", "to_iso3", VALUE), "links"), directed).where("w > 0")
     out_weight = links.groupBy("src").agg(F.sum("w").alias("out_w"))
-    vertices = links.select(F.explode(F.array("src", "dst")).alias("iso3")).distinct()
-    moves = links.join(out_weight, "src").select("src", "dst", (damping * F.col("w") / F.col("out_w")).alias("p"))
-    n = vertices.count()
-    solve = _by_doubling if n <= DENSE_VERTICES else _by_rounds
-    ranks = solve(moves, vertices, 1.0 / max(1, n), damping, tol)
-    return ranks.select("iso3", (F.col("x") / ranks.agg(F.sum("x")).scalar()).alias("pagerank"))
-
-
-def _by_doubling(moves: DataFrame, vertices: DataFrame, base: float, damping: float, tol: float) -> DataFrame:
-    """Sum of the powers of the move matrix by repeated squaring.
-
-    The start vector rides along as one more column, so each squaring doubles the number
-    of summed powers.  The square table is dense, hence the bound on vertices.
-    """
-    all_ = F.lit("*")
-    table = moves.select(F.col("dst").alias("i"), F.col("src").alias("k"), F.col("p").alias("a")).unionByName(
-        vertices.select(F.col("iso3").alias("i"), all_.alias("k"), F.lit(base).alias("a"))).unionByName(
-        vertices.sparkSession.range(1).select(all_.alias("i"), all_.alias("k"), F.lit(1.0).alias("a")))
-    def square(t):
-        right = t.select(F.col("i").alias("k"), F.col("k").alias("j"), F.col("a").alias("b"))
-        return t.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("a")).withColumnRenamed("j", "k")
-
-    table = stored(table, "powers")
-    for _ in range(math.ceil(math.log2(math.log(tol) / math.log(damping)) / 2)):
-        table = stored(square(square(table)), "powers")
-    return table.where((F.col("k") == "*") & (F.col("i") != "*")).select(F.col("i").alias("iso3"), F.col("a").alias("x"))
-
-
-def _by_rounds(moves: DataFrame, vertices: DataFrame, base: float, damping: float, tol: float,
-               max_rounds: int = 200, rounds_per_job: int = 8) -> DataFrame:
-    """One join and one sum per round; sums per target combine before the shuffle, so a hub
-    is no hot spot.  Several rounds make one job; its result is stored."""
-    moves = stored(moves, "moves")
-    start = stored(vertices, "vertices").withColumn("x", F.lit(base))
+    moves = stored(links.join(out_weight, "src").select("src", "dst", (damping * F.col("w") / F.col("out_w")).alias("p")), "moves")
+    vertices = stored(links.select(F.explode(F.array("src", "dst")).alias("iso3")).distinct(), "vertices")
+    start = vertices.withColumn("x", F.lit(1.0 / max(1, vertices.count())))
     ranks = start
-    for _ in range(0, max_rounds, rounds_per_job):
+    for _ in range(0, MAX_ROUNDS, rounds_per_job):
         nxt = ranks
         for _ in range(rounds_per_job):
             flow = moves.join(nxt.withColumnRenamed("iso3", "src"), "src").select(
@@ -252,12 +221,11 @@ def _by_rounds(moves: DataFrame, vertices: DataFrame, base: float, damping: floa
             )
             nxt = flow.unionByName(start).groupBy("iso3").agg(F.sum("x").alias("x"))
         nxt = stored(nxt, "ranks")
-        old = ranks.withColumnRenamed("x", "old")
-        moved = nxt.join(old, "iso3").agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] or 0.0
+        moved = nxt.join(ranks.withColumnRenamed("x", "old"), "iso3").agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] or 0.0
         ranks = nxt
         if moved < tol:
-            break
-    return ranks
+            return ranks.select("iso3", (F.col("x") / ranks.agg(F.sum("x")).scalar()).alias("pagerank"))
+    raise RuntimeError("PageRank did not settle")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -294,12 +262,12 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.join(sizes, "component_id")
 
 
-def communities(edges: DataFrame, rounds: int = 6) -> DataFrame:
+def communities(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Weighted label propagation on the collapsed undirected graph.
 
     A vertex takes the label its neighbours carry the most weight for, ties to the
     smallest; its own label counts with its strongest edge, which stops swings
-    between two halves.
+    between two halves.  Rounds go on until no label moves.
     """
     one = edges.where("from_iso3 <> to_iso3").groupBy(
         F.least("from_iso3", "to_iso3").alias("src"), F.greatest("from_iso3", "to_iso3").alias("dst")
@@ -310,12 +278,14 @@ def communities(edges: DataFrame, rounds: int = 6) -> DataFrame:
     # A vertex hears its neighbours, itself, and, so that none is lost, itself at no weight.
     heard = stored(nb.unionByName(own).unionByName(alone), "heard")
     labels = heard.where("src = dst").select(F.col("src").alias("iso3"), F.col("src").alias("community")).distinct()
-    for _ in range(int(rounds)):
+    for _ in range(int(max_rounds)):
         votes = heard.join(labels.withColumnRenamed("iso3", "dst"), "dst").groupBy(F.col("src").alias("iso3"), "community").agg(
             E.money_sum0("w").alias("w"))
-        labels = votes.groupBy("iso3").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community"))
-        labels = stored(labels, "labels")
-    return labels
+        chosen = votes.groupBy("iso3").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community"))
+        before, labels = labels, stored(chosen, "labels")
+        if labels.join(before, ["iso3", "community"], "left_anti").isEmpty():
+            return labels
+    raise RuntimeError("labels did not settle")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -463,7 +433,7 @@ class Network:
     loops: DataFrame
 
 
-def build(cube: DataFrame, mode: str = "exports", top_n: int | None = K.NETWORK_TOP_EDGES, min_value=None,
+def build(cube: DataFrame, mode: str = "exports", top_n: int | None = None, min_value=None,
           focus: str | None = None, ego_order: int = 1, selected_reporters=(), selected_partners=(),
           represented_reporters=(), with_betweenness: bool = True, **criteria) -> Network:
     """Edges, vertices, an optional neighbourhood cut, measures and statistics."""

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cargoscope.functions import constants as K
 from cargoscope.functions import expr as E
 from cargoscope.operators import dependency as dep
 from cargoscope.plans.catalog.base import CTE, query, rounded
@@ -246,13 +247,13 @@ def _(s):
 
 CTE["dep_nodes"] = f"""
 SELECT node_id, {money('v')} AS involvement FROM (SELECT reporter_iso3 || '::' || hs_code AS node_id, partner_import_value AS v FROM share_rows
-   UNION ALL SELECT partner_iso3 || '::' || hs_code, partner_import_value FROM share_rows) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200
+   UNION ALL SELECT partner_iso3 || '::' || hs_code, partner_import_value FROM share_rows) GROUP BY 1
 """
 
 
-@query("dependency_active_nodes", "SELECT * FROM dep_nodes")
+@query("dependency_active_nodes", "SELECT * FROM dep_nodes ORDER BY involvement DESC, node_id LIMIT 200")
 def _(s):
-    return dep.active_nodes(s.shares)
+    return dep.active_nodes(s.shares, K.DEPENDENCY_NODE_CAP)
 
 
 CTE["dep_edges"] = """
@@ -285,7 +286,7 @@ UNION ALL SELECT 'excluded_value_' || reason, CAST(v AS VARCHAR) FROM (SELECT CA
    SUM(CAST(trade_value_usd AS DECIMAL(18,2))) AS v FROM cube WHERE flow_code <> 'M' OR reporter_iso3 = partner_iso3 GROUP BY 1)
 UNION ALL SELECT 'share_ok', 'true' UNION ALL SELECT 'share_n_groups', CAST(COUNT(*) AS VARCHAR) FROM conc UNION ALL SELECT 'share_failures', '0'
 UNION ALL SELECT 'n_nodes', CAST(COUNT(*) AS VARCHAR) FROM dep_nodes UNION ALL SELECT 'n_edges', CAST(COUNT(*) AS VARCHAR) FROM dep_edges
-UNION ALL SELECT 'capped', 'true'
+UNION ALL SELECT 'capped', 'false'
 """)
 def _(s):
     return dep.diagnostics(dep.import_audit(s.cube), dep.reconcile(s.shares), dep.commodity_graph(s.shares))

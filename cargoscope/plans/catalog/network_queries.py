@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cargoscope.functions import constants as K
 from cargoscope.operators import network as nw
 from cargoscope.plans.catalog.base import CTE, query, rounded
 from cargoscope.plans.catalog.flow_queries import money
@@ -37,6 +38,7 @@ for _mode in EDGE_SQL:
     register_edges(_mode)
 
 CTE["x_edges"] = EDGE_SQL["exports"]
+CTE["x_all"] = "SELECT * FROM x_edges WHERE from_iso3 <> to_iso3"
 CTE["x_top"] = "SELECT * FROM x_edges WHERE from_iso3 <> to_iso3 ORDER BY trade_value_usd DESC, from_iso3, to_iso3 LIMIT 100"
 
 
@@ -51,7 +53,7 @@ def _(s):
 
 @query("network_top_edges", "SELECT from_iso3, to_iso3, trade_value_usd, observation_count FROM x_top")
 def _(s):
-    return edges(s).select("from_iso3", "to_iso3", "trade_value_usd", "observation_count")
+    return nw.build_edges(s.cube, top_n=K.NETWORK_TOP_EDGES).visible.select("from_iso3", "to_iso3", "trade_value_usd", "observation_count")
 
 
 @query("network_top_edges_coverage", f"""
@@ -59,10 +61,10 @@ SELECT t.v AS total_value, ROUND(t.v - x.v, 2) AS other_value, ROUND(100 * x.v /
 FROM (SELECT {money()} AS v, COUNT(*) AS n FROM x_edges WHERE from_iso3 <> to_iso3) t, (SELECT {money()} AS v, COUNT(*) AS n FROM x_top) x
 """)
 def _(s):
-    return rounded(rounded(nw.build_edges(s.cube).summary, "other_value", digits=2), "coverage_pct")
+    return rounded(rounded(nw.build_edges(s.cube, top_n=K.NETWORK_TOP_EDGES).summary, "other_value", digits=2), "coverage_pct")
 
 
-CTE["x_ends"] = "SELECT DISTINCT iso3 FROM (SELECT from_iso3 AS iso3 FROM x_top UNION ALL SELECT to_iso3 FROM x_top)"
+CTE["x_ends"] = "SELECT DISTINCT iso3 FROM (SELECT from_iso3 AS iso3 FROM x_all UNION ALL SELECT to_iso3 FROM x_all)"
 
 
 @query("network_nodes", """
@@ -87,7 +89,7 @@ def _(s):
 CTE["x_strength"] = f"""
 SELECT iso3, COALESCE({money('CASE WHEN NOT o THEN w END')}, 0) AS in_strength, COALESCE({money('CASE WHEN o THEN w END')}, 0) AS out_strength,
        COUNT(*) FILTER (NOT o) AS in_degree, COUNT(*) FILTER (o) AS out_degree, COUNT(*) AS degree
-FROM (SELECT from_iso3 AS iso3, true AS o, trade_value_usd AS w FROM x_top UNION ALL SELECT to_iso3, false, trade_value_usd FROM x_top) GROUP BY 1
+FROM (SELECT from_iso3 AS iso3, true AS o, trade_value_usd AS w FROM x_all UNION ALL SELECT to_iso3, false, trade_value_usd FROM x_all) GROUP BY 1
 """
 
 
@@ -108,14 +110,14 @@ def _(s):
 
 
 @query("network_distance", """
-SELECT from_iso3, to_iso3, ROUND((SELECT MAX(trade_value_usd) FROM x_top) / trade_value_usd, 6) AS distance FROM x_top
+SELECT from_iso3, to_iso3, ROUND((SELECT MAX(trade_value_usd) FROM x_all) / trade_value_usd, 6) AS distance FROM x_all
 """)
 def _(s):
     return rounded(nw.distance(edges(s)).select("from_iso3", "to_iso3", "distance"), "distance")
 
 
 CTE["x_moves"] = """
-SELECT from_iso3 AS src, to_iso3 AS dst, 0.85::DOUBLE * trade_value_usd / SUM(trade_value_usd) OVER (PARTITION BY from_iso3) AS p FROM x_top
+SELECT from_iso3 AS src, to_iso3 AS dst, 0.85::DOUBLE * trade_value_usd / SUM(trade_value_usd) OVER (PARTITION BY from_iso3) AS p FROM x_all
 """
 CTE["x_pr"] = """
 SELECT 0 AS i, iso3, CAST(1 AS DOUBLE) / (SELECT COUNT(*) FROM x_ends) AS x FROM x_ends
@@ -134,9 +136,17 @@ def _(s):
     return rounded(nw.pagerank(edges(s)), "pagerank", digits=7)
 
 
+@query("network_pagerank_quartile", """
+SELECT iso3, CAST(1 + (x > list_extract(q, 1))::INT + (x > list_extract(q, 2))::INT + (x > list_extract(q, 3))::INT AS INT) AS pagerank_quantile
+FROM x_pr, (SELECT quantile_cont(x, [0.25, 0.5, 0.75]) AS q FROM x_pr WHERE i = 200) WHERE i = 200
+""")
+def _(s):
+    return nw.quartile(nw.pagerank(edges(s)), "pagerank").select("iso3", "pagerank_quantile")
+
+
 CTE["x_reach"] = """
 SELECT iso3 AS a, iso3 AS b FROM x_ends
-UNION SELECT r.a, e.t FROM x_reach r JOIN (SELECT from_iso3 AS f, to_iso3 AS t FROM x_top UNION SELECT to_iso3, from_iso3 FROM x_top) e ON e.f = r.b
+UNION SELECT r.a, e.t FROM x_reach r JOIN (SELECT from_iso3 AS f, to_iso3 AS t FROM x_all UNION SELECT to_iso3, from_iso3 FROM x_all) e ON e.f = r.b
 """
 CTE["x_comp"] = "SELECT a AS iso3, MIN(b) AS component_id, COUNT(*) AS component_size FROM x_reach GROUP BY 1"
 
@@ -149,11 +159,11 @@ def _(s):
 LP = {"lp0": "SELECT iso3, iso3 AS community FROM x_ends"}
 CTE["lp_nb"] = f"""
 SELECT a.src, a.dst, a.w FROM (
- SELECT src, dst, w FROM (SELECT LEAST(from_iso3, to_iso3) AS src, GREATEST(from_iso3, to_iso3) AS dst, {money()} AS w FROM x_top GROUP BY 1, 2)
- UNION ALL SELECT dst, src, w FROM (SELECT LEAST(from_iso3, to_iso3) AS src, GREATEST(from_iso3, to_iso3) AS dst, {money()} AS w FROM x_top GROUP BY 1, 2)) a
+ SELECT src, dst, w FROM (SELECT LEAST(from_iso3, to_iso3) AS src, GREATEST(from_iso3, to_iso3) AS dst, {money()} AS w FROM x_all GROUP BY 1, 2)
+ UNION ALL SELECT dst, src, w FROM (SELECT LEAST(from_iso3, to_iso3) AS src, GREATEST(from_iso3, to_iso3) AS dst, {money()} AS w FROM x_all GROUP BY 1, 2)) a
 """
 CTE["lp0"] = LP["lp0"]
-for _i in range(1, 7):
+for _i in range(1, 13):
     CTE[f"lp{_i}"] = f"""
 SELECT iso3, arg_min(community, (-w, community)) AS community FROM (
   SELECT iso3, community, {money('w')} AS w FROM (
@@ -163,7 +173,7 @@ GROUP BY 1
 """
 
 
-@query("network_communities", "SELECT * FROM lp6")
+@query("network_communities", "SELECT * FROM lp12")
 def _(s):
     return nw.communities(edges(s))
 
@@ -194,10 +204,10 @@ SELECT n.n AS node_count, e.m AS edge_count, ROUND(e.m / (n.n * (n.n - 1)), 9) A
 FROM (SELECT COUNT(*) AS n, AVG(degree) AS deg, SUM(in_strength + out_strength) AS s,
         100 * (SELECT SUM(v) FROM (SELECT in_strength + out_strength AS v FROM x_strength ORDER BY 1 DESC LIMIT 5)) / s AS top5,
         SUM(pow(in_strength + out_strength, 2)) / pow(s, 2) AS hhi FROM x_strength) n,
-     (SELECT COUNT(*) AS m, {money()} AS v, 100 * (SELECT SUM(trade_value_usd) FROM (SELECT * FROM x_top ORDER BY trade_value_usd DESC LIMIT 5)) / v AS top5,
-        SUM(pow(trade_value_usd, 2)) / pow(SUM(trade_value_usd), 2) AS hhi FROM x_top) e,
+     (SELECT COUNT(*) AS m, {money()} AS v, 100 * (SELECT SUM(trade_value_usd) FROM (SELECT * FROM x_all ORDER BY trade_value_usd DESC LIMIT 5)) / v AS top5,
+        SUM(pow(trade_value_usd, 2)) / pow(SUM(trade_value_usd), 2) AS hhi FROM x_all) e,
      (SELECT COUNT(DISTINCT component_id) AS k, MAX(component_size) AS big FROM x_comp) c,
-     (SELECT COUNT(*) AS k FROM x_top a WHERE EXISTS (SELECT 1 FROM x_top b WHERE b.from_iso3 = a.to_iso3 AND b.to_iso3 = a.from_iso3)) r
+     (SELECT COUNT(*) AS k FROM x_all a WHERE EXISTS (SELECT 1 FROM x_all b WHERE b.from_iso3 = a.to_iso3 AND b.to_iso3 = a.from_iso3)) r
 """)
 def _(s):
     e = stored(edges(s), "edges")
@@ -208,20 +218,20 @@ def _(s):
 
 
 CTE["ego2"] = """
-SELECT DISTINCT b AS iso3 FROM (SELECT from_iso3 AS a, to_iso3 AS b FROM x_top UNION ALL SELECT to_iso3, from_iso3 FROM x_top)
-WHERE a = 'NAA' OR a IN (SELECT to_iso3 FROM x_top WHERE from_iso3 = 'NAA' UNION ALL SELECT from_iso3 FROM x_top WHERE to_iso3 = 'NAA')
+SELECT DISTINCT b AS iso3 FROM (SELECT from_iso3 AS a, to_iso3 AS b FROM x_all UNION ALL SELECT to_iso3, from_iso3 FROM x_all)
+WHERE a = 'NAA' OR a IN (SELECT to_iso3 FROM x_all WHERE from_iso3 = 'NAA' UNION ALL SELECT from_iso3 FROM x_all WHERE to_iso3 = 'NAA')
 """
 
 
 def register_ego(order, members):
     @query(f"network_ego_{order}", f"""
-SELECT from_iso3, to_iso3, trade_value_usd FROM x_top WHERE from_iso3 IN ({members}) AND to_iso3 IN ({members})
+SELECT from_iso3, to_iso3, trade_value_usd FROM x_all WHERE from_iso3 IN ({members}) AND to_iso3 IN ({members})
 """)
     def _(s):
         return nw.ego(edges(s), "NAA", order).select("from_iso3", "to_iso3", "trade_value_usd")
 
 
-register_ego(1, "SELECT 'NAA' UNION ALL SELECT to_iso3 FROM x_top WHERE from_iso3 = 'NAA' UNION ALL SELECT from_iso3 FROM x_top WHERE to_iso3 = 'NAA'")
+register_ego(1, "SELECT 'NAA' UNION ALL SELECT to_iso3 FROM x_all WHERE from_iso3 = 'NAA' UNION ALL SELECT from_iso3 FROM x_all WHERE to_iso3 = 'NAA'")
 register_ego(2, "SELECT iso3 FROM ego2 UNION ALL SELECT 'NAA'")
 
 
@@ -231,7 +241,7 @@ def _(s):
 
 
 @query("network_corridors", f"""
-SELECT from_iso3, to_iso3, trade_value_usd, ROUND(100 * trade_value_usd / (SELECT {money()} FROM x_top), 6) AS share_pct FROM x_top
+SELECT from_iso3, to_iso3, trade_value_usd, ROUND(100 * trade_value_usd / (SELECT {money()} FROM x_all), 6) AS share_pct FROM x_all
 ORDER BY trade_value_usd DESC, from_iso3, to_iso3 LIMIT 15
 """)
 def _(s):
@@ -257,9 +267,9 @@ def _(s):
 
 
 @query("network_stats_rows", f"""
-SELECT 'n_visible' AS metric, CAST(COUNT(*) AS DOUBLE) AS value FROM x_top
+SELECT 'n_visible' AS metric, CAST(COUNT(*) AS DOUBLE) AS value FROM x_all
 UNION ALL SELECT 'n_total', CAST(COUNT(*) AS DOUBLE) FROM x_edges WHERE from_iso3 <> to_iso3
-UNION ALL SELECT 'edge_count', CAST(COUNT(*) AS DOUBLE) FROM x_top UNION ALL SELECT 'node_count', CAST(COUNT(*) AS DOUBLE) FROM x_ends
+UNION ALL SELECT 'edge_count', CAST(COUNT(*) AS DOUBLE) FROM x_all UNION ALL SELECT 'node_count', CAST(COUNT(*) AS DOUBLE) FROM x_ends
 """)
 def _(s):
     built = nw.build_edges(s.cube)
