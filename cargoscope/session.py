@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +18,6 @@ DEFAULTS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
 
 def build_session(app: str = "cargoscope", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -34,18 +31,9 @@ def build_session(app: str = "cargoscope", master: str | None = None, **conf) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session may fall back to a folder of its own.
-    """
+    """Folder that every executor can reach: ``spark.checkpoint.dir``, else beside the warehouse's tables."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _LOCAL_FOLDERS.setdefault(
-        spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="cargoscope-")
-    )
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -12,9 +12,38 @@ from cargoscope.operators import clean
 
 
 def replace_table(df: DataFrame, path: str, partition_by=()) -> None:
-    """Replace a Parquet table; readers see the old files until the job commits."""
+    """Replace a Parquet table: written beside the old one, then renamed, so a failed job leaves
+    the old rows.  Between the two renames, and only then, the table is absent; the next call
+    finishes or undoes what a lost driver left."""
+    fresh, old = f"{path.rstrip('/')}.next", f"{path.rstrip('/')}.old"
+    fs, at = _file_system(df.sparkSession, path)
+    if fs.exists(at(old)):
+        if fs.exists(at(path)):
+            fs.delete(at(old), True)
+        else:
+            _rename(fs, at(old), at(path))
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(fresh)
+    if fs.exists(at(path)):
+        _rename(fs, at(path), at(old))
+    _rename(fs, at(fresh), at(path))
+    fs.delete(at(old), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, by Spark's own Hadoop client, and a maker of its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def _add_partitions(df: DataFrame, path: str, column: str, kind: str = "parquet") -> None:
+    """Write the partitions of ``df``; those of other values stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).format(kind).save(path)
 
 
 def write_csv(df: DataFrame, path: str, drop_location_values: bool = False) -> list[str]:
@@ -46,10 +75,11 @@ RESULT_TABLES = {
 
 
 def write_whatif(result, folder: str) -> DataFrame:
-    """Result tables partitioned by scenario, the definitions, and a manifest row per scenario."""
+    """Result tables, definitions and a manifest row, partitioned by scenario; scenarios stored
+    by earlier runs stay."""
     for name, attr in RESULT_TABLES.items():
-        replace_table(getattr(result, attr), f"{folder}/{name}", ["scenario_id"])
-    result.scenarios.write.mode("overwrite").json(f"{folder}/scenario_definition")
+        _add_partitions(getattr(result, attr), f"{folder}/{name}", "scenario_id")
+    _add_partitions(result.scenarios, f"{folder}/scenario_definition", "scenario_id", "json")
     sums = result.edges.groupBy("scenario_id").agg(
         F.count("*").alias("n_edge_impacts"), F.sum("residual_unmet_value_usd").alias("residual_unmet_value_usd"),
         F.sum("direct_disrupted_value_usd").alias("direct_disrupted_value_usd"), F.sum("substitution_allocated_usd").alias("substitution_allocated_value_usd"))
@@ -61,7 +91,7 @@ def write_whatif(result, folder: str) -> DataFrame:
         result.scenarios.select("scenario_id", "scenario_name", "scenario_hash", "engine_version", "universe_version", "created_at")
         .join(sums, "scenario_id", "left").join(paths, "scenario_id", "left").join(ok, "scenario_id", "left")
         .withColumn("n_paths", F.coalesce("n_paths", F.lit(0))).withColumn("result_hash", digest))
-    manifest.write.mode("overwrite").json(f"{folder}/scenario_manifest")
+    _add_partitions(manifest, f"{folder}/scenario_manifest", "scenario_id", "json")
     return manifest
 
 
@@ -73,7 +103,7 @@ DEFINITION = ("scenario_id string, baseline_year_start int, baseline_year_end in
 
 
 def scenario_history(spark: SparkSession, folders) -> DataFrame:
-    """Every stored scenario of the folders with its settings and status."""
+    """Every stored scenario of the folders with its settings and status, newest first."""
     listed = [folders] if isinstance(folders, str) else list(folders)
     man = spark.read.schema(MANIFEST).option("columnNameOfCorruptRecord", "_corrupt_record").json([f"{x}/scenario_manifest" for x in listed])
     defs = spark.read.schema(DEFINITION).json([f"{x}/scenario_definition" for x in listed])
@@ -85,7 +115,7 @@ def scenario_history(spark: SparkSession, folders) -> DataFrame:
         "scenario_id", F.coalesce("scenario_name", "scenario_id").alias("scenario_name"), "created_at", status.alias("status"),
         "residual_unmet_value_usd", "engine_version", "universe_version", "baseline_year_start", "baseline_year_end", "shock_size_pct",
         "substitution_mode", "propagation_mode", F.array_join("target_supplier_iso3", ",").alias("supplier"),
-        F.when(F.coalesce(F.size(items), F.lit(0)) > 0, F.array_join(items, ",")).otherwise("all").alias("hs_scope"), "scenario_hash", "result_hash")
+        F.when(F.coalesce(F.size(items), F.lit(0)) > 0, F.array_join(items, ",")).otherwise("all").alias("hs_scope"), "scenario_hash", "result_hash").orderBy(F.desc_nulls_last("created_at"), "scenario_id")
 
 
 def load_result(spark: SparkSession, folder: str, scenario_id: str) -> dict[str, DataFrame]:

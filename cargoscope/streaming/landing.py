@@ -27,7 +27,9 @@ def bodies_stream(spark: SparkSession, landing: str, whole_files: bool = False,
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -70,15 +72,15 @@ def cube_stream(bodies: DataFrame, target: str, checkpoint: str, reporters: Data
 
 
 def monthly_totals_stream(observations: DataFrame, target: str, checkpoint: str, series, time_column: str, value: str, unit: str = "month",
-                          late: str = "60 days", **trigger) -> StreamingQuery:
+                          **trigger) -> StreamingQuery:
     """Running totals per series and month while late months are revised.
 
-    The watermark is on the month itself, so finished months leave the state; rows later
-    than it are taken up by the batch rebuild.  Each batch appends the totals it changed.
+    The state is one row per series and month, and none leaves it, so a row of any month counts
+    whenever it comes.  Each batch appends the totals it changed.
     """
     keys = [series] if isinstance(series, str) else list(series)
     month = F.date_trunc(unit, F.col(time_column).cast("timestamp"))
-    totals = observations.withColumn("month", month).withWatermark("month", late).groupBy(*keys, "month").agg(
+    totals = observations.withColumn("month", month).groupBy(*keys, "month").agg(
         E.money_sum0(value).alias("value"), F.count("*").alias("n_obs"))
 
     def take(batch: DataFrame, batch_id: int) -> None:
