@@ -25,11 +25,8 @@ def finite(x) -> Column:
 
 
 def _units(x) -> Column:
-    """Money in whole ten-thousandths.  The usual sizes take the cheap way over a long;
-    larger ones are converted digit by digit, and a value that is no number fails."""
-    v = c(x)
-    exact = (v.cast("decimal(28,4)") * F.lit(10_000)).cast("decimal(24,0)")
-    return F.when(F.abs(v) < 9e11, F.floor(v * 10_000 + 0.5).cast("decimal(24,0)")).otherwise(exact)
+    """Money in whole ten-thousandths, one rounding for all sizes; a value that is no number counts as absent."""
+    return (finite(x).cast("decimal(28,4)") * F.lit(10_000)).cast("decimal(24,0)")
 
 
 def _money(total: Column) -> Column:

@@ -130,7 +130,7 @@ def flow_diagram(visible: DataFrame, grouping: str = "reporter_partner_commodity
         "reporter": ("reporter", "reporter_iso3", reporter_label),
         "partner": ("partner", "partner_iso3", F.concat(F.coalesce("partner_name", "partner_iso3"), F.lit(" [partner]"))),
         "commodity": ("commodity", "hs_code", F.when(
-            described, F.concat("hs_code", F.lit(" — "), F.substring("commodity_description", 1, 40), F.lit(" [HS4]"))
+            described, F.concat("hs_code", F.lit(" — "), "commodity_description", F.lit(" [HS4]"))
         ).otherwise(F.concat("hs_code", F.lit(" [HS4]")))),
     }
     route = {
@@ -240,7 +240,7 @@ def composition(filtered: DataFrame, top_n: int = 12, include_other: bool = True
     kept = bucketed.where(~other | ((F.col("value") > 0) & F.lit(include_other)))
     data = kept.withColumn("share_pct", F.when(total > 0, 100 * F.col("value") / total)).withColumn(
         "label", F.when(E.has_text("commodity_description"), F.concat(
-            "hs_code", F.lit(" — "), F.substring("commodity_description", 1, 40))).otherwise(F.col("hs_code"))
+            "hs_code", F.lit(" — "), "commodity_description")).otherwise(F.col("hs_code"))
     )
     summary = bucketed.agg(
         E.money_sum0("value").alias("total"), E.sum_if0(other, "value").alias("other_value")

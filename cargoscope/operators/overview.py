@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cargoscope.functions import constants as K
 from cargoscope.functions import expr as E
 from cargoscope.operators.clean import drop_aggregates
+from cargoscope.operators.macro import latest_first
 
 GLOBAL = "__GLOBAL__"
 IMPORTS, EXPORTS = "imports_value_usd", "exports_value_usd"
@@ -149,12 +150,14 @@ REPORTER_KPIS = {"total_trade_usd": "total_trade", "imports_usd": "imports", "ex
 
 
 def default_year(cy: DataFrame, known: str = "gdp_current_usd", min_share: float = 0.75) -> DataFrame:
-    """Latest year whose economies with a known value reach a share of the best year's."""
+    """Latest year whose economies with a known value reach a share of the best year's; the
+    latest year of all where none is known."""
     counts = drop_aggregates(cy).where(F.col(known).isNotNull()).groupBy("year").agg(
         F.count_distinct("reporter_iso3").alias("n")
     )
     best = counts.agg(F.max("n")).scalar()
-    return counts.where(F.col("n") >= min_share * best).agg(F.max("year").alias("year"))
+    latest = drop_aggregates(cy).agg(F.max("year")).scalar()
+    return counts.where(F.col("n") >= min_share * best).agg(F.coalesce(F.max("year"), latest).alias("year"))
 
 
 def year_choices(cy: DataFrame) -> DataFrame:
@@ -197,14 +200,15 @@ def prepare_map(cy: DataFrame) -> DataFrame:
 
 def map_year(cy: DataFrame, year: int | None = None, region: str | None = None,
              geometry: DataFrame | None = None) -> DataFrame:
-    """One row per economy and year, optionally of one region."""
+    """One row per economy and year, optionally of one region; of repeated rows the one with the
+    largest total, then the smallest name and hash."""
     df = prepare_map(cy)
     if year is not None:
         df = df.where(F.col("year") == int(year))
     if region and region != "__ALL__" and geometry is not None:
         inside = geometry.where(F.col("region_wb") == region).select(F.col("map_iso3").alias("reporter_iso3"))
         df = df.join(inside, "reporter_iso3", "left_semi")
-    return df.dropDuplicates(["reporter_iso3", "year"])
+    return latest_first(df, ["reporter_iso3", "year"], F.coalesce(TOTAL, F.lit(float("-inf"))), F.xxhash64(*df.columns))
 
 
 def metric_value(metric: str) -> Column:

@@ -195,10 +195,10 @@ def latest_ranking(cy: DataFrame, metric: str = "total_trade", year: int | None
 
 # ---- commodity movers -------------------------------------------------------------
 
-def mover_key(max_desc: int = 48) -> Column:
+def mover_key() -> Column:
     text = F.trim(F.coalesce("commodity_description", F.lit("")))
     return F.when(text == "", F.col("hs_code")).otherwise(
-        F.concat("hs_code", F.lit(" — "), F.substring(text, 1, max_desc))
+        F.concat("hs_code", F.lit(" — "), text)
     )
 
 
