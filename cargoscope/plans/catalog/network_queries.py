@@ -178,7 +178,30 @@ def _(s):
     return nw.communities(edges(s))
 
 
-@query("network_betweenness")
+CTE["bw_w"] = "SELECT from_iso3 AS a, to_iso3 AS b, (SELECT MAX(trade_value_usd) FROM x_all) / GREATEST(trade_value_usd, 1) AS w FROM x_all"
+CTE["bw_d"] = """
+SELECT 0 AS i, iso3 AS s, iso3 AS v, CAST(0 AS DOUBLE) AS d FROM x_ends
+UNION ALL
+SELECT i + 1, s, v, MIN(d) FROM (
+  SELECT i, s, v, d FROM bw_d UNION ALL SELECT t.i, t.s, e.b, t.d + e.w FROM bw_d t JOIN bw_w e ON e.a = t.v)
+WHERE i < 24 GROUP BY i, s, v
+"""
+CTE["bw_l"] = "SELECT s, v, d FROM bw_d WHERE i = 24"
+CTE["bw_c"] = """
+SELECT 0 AS k, iso3 AS s, iso3 AS v, CAST(1 AS DOUBLE) AS c FROM x_ends
+UNION ALL
+SELECT t.k + 1, t.s, e.b, SUM(t.c) FROM bw_c t JOIN bw_w e ON e.a = t.v JOIN bw_l f ON f.s = t.s AND f.v = t.v JOIN bw_l g ON g.s = t.s AND g.v = e.b
+WHERE abs(f.d + e.w - g.d) <= 1e-9 * GREATEST(f.d + e.w, g.d) GROUP BY t.k, t.s, e.b
+"""
+CTE["bw_n"] = "SELECT l.s, l.v, l.d, SUM(c.c) AS n FROM bw_l l JOIN bw_c c USING (s, v) GROUP BY 1, 2, 3"
+CTE["bw"] = """
+SELECT iso3, COALESCE(b, 0) / ((m - 1) * (m - 2)) AS betweenness FROM x_ends CROSS JOIN (SELECT COUNT(*) AS m FROM x_ends) LEFT JOIN (
+  SELECT p.v AS iso3, SUM(p.n * q.n / r.n) AS b FROM bw_n p JOIN bw_n q ON q.s = p.v JOIN bw_n r ON r.s = p.s AND r.v = q.v
+  WHERE p.s <> p.v AND q.v <> p.v AND q.v <> p.s AND abs(p.d + q.d - r.d) <= 1e-9 * r.d GROUP BY 1) USING (iso3)
+"""
+
+
+@query("network_betweenness", "SELECT iso3, ROUND(betweenness, 9) AS betweenness FROM bw")
 def _(s):
     return rounded(nw.betweenness(edges(s)), "betweenness", digits=9)
 
@@ -191,9 +214,20 @@ def _(s):
     return nw.quartile(nw.strength(edges(s)), "out_strength").select("iso3", "out_strength_quantile")
 
 
-@query("network_enriched")
+@query("network_enriched", """
+SELECT e.iso3, r.display_name, 'partner_only' AS reporting_status, false AS is_selected_reporter, false AS is_selected_partner, false AS represented_as_reporter,
+       true AS represented_as_partner, g.gdp AS gdp_current_usd, g.pop AS population_total, s.in_strength, s.out_strength, s.in_degree, s.out_degree, s.degree,
+       ROUND(s.in_strength + s.out_strength, 2) AS total_strength, ROUND(p.x / (SELECT SUM(x) FROM x_pr WHERE i = 200), 7) AS pagerank,
+       ROUND(b.betweenness, 9) AS betweenness, c.component_id, c.component_size, l.community,
+       CAST(1 + (p.x > list_extract(q, 1))::INT + (p.x > list_extract(q, 2))::INT + (p.x > list_extract(q, 3))::INT AS INT) AS pagerank_quantile
+FROM x_ends e JOIN economies r USING (iso3) JOIN x_strength s USING (iso3) JOIN x_pr p ON p.iso3 = e.iso3 AND p.i = 200 JOIN bw b ON b.iso3 = e.iso3
+JOIN x_comp c ON c.iso3 = e.iso3 JOIN lp12 l ON l.iso3 = e.iso3, (SELECT quantile_cont(x, [0.25, 0.5, 0.75]) AS q FROM x_pr WHERE i = 200)
+LEFT JOIN (SELECT reporter_iso3 AS iso3, arg_max(reporter_gdp_current_usd, year) AS gdp, arg_max(reporter_population_total, year) AS pop
+           FROM cube WHERE reporter_gdp_current_usd IS NOT NULL GROUP BY 1) g ON g.iso3 = e.iso3
+""")
 def _(s):
-    return nw.build(s.cube).nodes
+    out = rounded(nw.build(s.cube).nodes, "total_strength", digits=2)
+    return rounded(rounded(out, "pagerank", digits=7), "betweenness", digits=9)
 
 
 @query("network_stats", f"""
