@@ -100,13 +100,13 @@ class Snapshot:
         )
 
     @cached_property
-    def daily(self) -> DataFrame:
-        """Shipments summed per day; the cube and the monthly series both read it."""
+    def by_month(self) -> DataFrame:
+        """Shipments summed per calendar month; the cube and the monthly series both read it."""
         return self._keep(
             self.shipments.groupBy(
-                "ship_date", "year", "c_nationkey", "s_nationkey", "flow_code", "hs_code"
-            ).agg(F.sum("cents").alias("cents"), F.count("*").alias("n_lines")),
-            "daily",
+                F.trunc("ship_date", "month").alias("month"), "year", "c_nationkey", "s_nationkey", "flow_code", "hs_code"
+            ).agg(F.sum("cents").alias("cents"), F.count("*").alias("n_lines"), F.max("ship_date").alias("last_date")),
+            "by_month",
         )
 
     @cached_property
@@ -144,11 +144,11 @@ class Snapshot:
     @cached_property
     def cube(self) -> DataFrame:
         rows = (
-            self.daily.groupBy("year", "c_nationkey", "s_nationkey", "flow_code", "hs_code")
+            self.by_month.groupBy("year", "c_nationkey", "s_nationkey", "flow_code", "hs_code")
             .agg(
                 E.from_cents(F.sum("cents")).alias("trade_value_usd"),
                 F.sum("n_lines").alias("n_lines"),
-                F.date_format(F.max("ship_date"), "yyyy-MM-dd").alias("ingested_at"),
+                F.date_format(F.max("last_date"), "yyyy-MM-dd").alias("ingested_at"),
             )
         )
         names = self.economies.select("n_nationkey", "iso3", "display_name")
@@ -201,8 +201,7 @@ class Snapshot:
         names = self.economies
         reporter = names.select(F.col("n_nationkey").alias("c_nationkey"), F.col("iso3").alias("reporter_iso3"))
         partner = names.select(F.col("n_nationkey").alias("s_nationkey"), F.col("region_code").alias("partner_iso3"))
-        month = F.trunc("ship_date", "month")
-        totals = self.daily.groupBy(month.alias("date"), "c_nationkey", "s_nationkey", "flow_code").agg(
+        totals = self.by_month.groupBy(F.col("month").alias("date"), "c_nationkey", "s_nationkey", "flow_code").agg(
             F.sum("cents").alias("cents"), F.sum("n_lines").alias("n_lines")
         )
         return self._keep(
