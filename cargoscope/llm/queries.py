@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import aliases, chat, cover, lines, minhash, packing, phrases, pieces, sql, toxic
+from cargoscope.llm import aliases, chat, cover, lines, minhash, packing, phrases, pieces, pii, sql, toxic
 from cargoscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,11 @@ SQL["op2_top_k"] = sql.OP2
 @query
 def op10_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
     return chat.repair(table(spark, folder, "conversations"))
+
+
+PSEUDONYM_KEY = "corpus-1"  # a real run passes a secret
+
+
+@query
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, folder, "documents"), PSEUDONYM_KEY).select("doc_id", "n_values", "text")
