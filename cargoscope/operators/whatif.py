@@ -479,22 +479,28 @@ def supplier_impacts(edges: DataFrame, base: DataFrame, scenarios: DataFrame) ->
     }).drop("_net", "_hit", "_got", "include_macro_normalisation")
 
 
-def post_concentration(edges: DataFrame) -> DataFrame:
-    """Concentration after the loss, per scenario and touched group.
-
-    Groups a scenario does not touch keep their baseline concentration.
-    """
-    keys = [SID, *GROUP]
+def _concentration(edges: DataFrame, keys: list[str]) -> DataFrame:
     v = F.greatest(F.lit(0.0), F.coalesce("post_shock_observed_import_value_usd", F.lit(0.0)))
     w = W.partitionBy(*keys)
     rows = edges.select(*keys, "supplier_iso3", "supplier_hhi", v.alias("v")).withColumns({
         "t": F.sum("v").over(w), "k": F.row_number().over(w.orderBy(F.desc("v"), F.asc("supplier_iso3")))})
     share = F.when((F.col("t") > 0) & (F.col("v") > 0), F.col("v") / F.col("t"))
-    out = rows.withColumn("s", share).groupBy(*keys).agg(
+    return rows.withColumn("s", share).groupBy(*keys).agg(
         F.max("t").alias("post_shock_total"), F.max("s").alias("post_top_1_share"),
         F.sum(F.when(F.col("k") <= 3, F.col("s"))).alias("post_top_3_share"),
-        F.sum(F.col("s") * F.col("s")).alias("post_supplier_hhi"), F.max("supplier_hhi").alias("pre_supplier_hhi"),
-    )
+        F.sum(F.col("s") * F.col("s")).alias("post_supplier_hhi"), F.max("supplier_hhi").alias("pre_supplier_hhi"))
+
+
+def post_concentration(edges: DataFrame, base: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Concentration after the loss, per scenario and group of its baseline.
+
+    Groups a scenario does not touch keep their baseline concentration, computed once per period.
+    """
+    touched = _concentration(edges, [SID, *GROUP])
+    same = _concentration(base.withColumnRenamed("baseline_import_value_usd", "post_shock_observed_import_value_usd"), [*PERIOD, *GROUP]).withColumn(
+        "post_supplier_hhi", F.col("pre_supplier_hhi"))
+    rest = scenarios.select(SID, *PERIOD).join(same, list(PERIOD)).join(touched.select(SID, *GROUP), [SID, *GROUP], "left_anti")
+    out = touched.unionByName(rest.select(*touched.columns))
     hhi = F.col("post_supplier_hhi")
     return out.withColumn("post_effective_supplier_count", F.when(hhi > 0, 1 / hhi)).withColumn("delta_hhi", hhi - F.col("pre_supplier_hhi"))
 
@@ -602,7 +608,7 @@ def rank_impacts(impacts: DataFrame, metric: str = "residual_unmet_value_usd", t
 
 
 def concentration_changes(post: DataFrame, top_n: int = 50) -> DataFrame:
-    return post.orderBy(F.desc_nulls_last("delta_hhi"), F.asc(SID), F.asc("reporter_iso3"), F.asc("hs_code")).limit(int(top_n))
+    return post.orderBy(F.desc_nulls_last(F.round("delta_hhi", 12)), F.asc(SID), F.asc("reporter_iso3"), F.asc("hs_code")).limit(int(top_n))
 
 
 def allocation_summary(suppliers: DataFrame) -> DataFrame:
@@ -735,6 +741,6 @@ def run(cube: DataFrame, raw_scenarios: DataFrame, status: str | None = None, ch
     commodities = commodity_impacts(final, base, good)
     return WhatIf(
         good, validation, base, final, groups, paths, reporters, commodities, supplier_impacts(final, base, good),
-        post_concentration(final), kpis(final, reporters, commodities, paths, good),
+        post_concentration(final, base, good), kpis(final, reporters, commodities, paths, good),
         reconcile(final, reporters, commodities), diagnostics(final, groups, paths, base, good),
     )

@@ -252,23 +252,31 @@ def _(s):
 
 
 CTE["wi_post"] = """
-SELECT scenario_id, reporter_iso3, hs_code, SUM(post) AS total, MAX(post) / SUM(post) AS top1, SUM(post * post) / pow(SUM(post), 2) AS hhi, MAX(hhi) AS pre
+SELECT scenario_id, reporter_iso3, hs_code, SUM(post) AS total, MAX(post) / SUM(post) AS top1, list_sum(list_reverse_sort(list(post))[1:3]) / SUM(post) AS top3,
+       SUM(post * post) / pow(SUM(post), 2) AS hhi, MAX(hhi) AS pre
 FROM wi_edges GROUP BY 1, 2, 3
+UNION ALL
+SELECT s.scenario_id, b.reporter_iso3, b.hs_code, SUM(v), MAX(v) / SUM(v), list_sum(list_reverse_sort(list(v))[1:3]) / SUM(v), MAX(hhi), MAX(hhi)
+FROM scn s JOIN wi_base b USING (y0, y1) WHERE NOT EXISTS (
+  SELECT 1 FROM wi_edges e WHERE e.scenario_id = s.scenario_id AND e.reporter_iso3 = b.reporter_iso3 AND e.hs_code = b.hs_code) GROUP BY 1, 2, 3
 """
 
 
 @query("whatif_concentration", """
-SELECT scenario_id, reporter_iso3, hs_code, ROUND(total, 5) AS post_shock_total, ROUND(top1, 8) AS post_top_1_share, ROUND(hhi, 8) AS post_supplier_hhi,
-       ROUND(pre, 8) AS pre_supplier_hhi FROM wi_post
+SELECT scenario_id, reporter_iso3, hs_code, ROUND(total, 5) AS post_shock_total, ROUND(top1, 8) AS post_top_1_share, ROUND(top3, 8) AS post_top_3_share,
+       ROUND(hhi, 8) AS post_supplier_hhi, ROUND(pre, 8) AS pre_supplier_hhi, ROUND(1 / hhi, 6) AS post_effective_supplier_count FROM wi_post
 """)
 def _(s):
-    out = result(s).concentration.select("scenario_id", *wi.GROUP, "post_shock_total", "post_top_1_share", "post_supplier_hhi", "pre_supplier_hhi")
-    return rounded(rounded(out, "post_shock_total", digits=5), "post_top_1_share", "post_supplier_hhi", "pre_supplier_hhi", digits=8)
+    out = result(s).concentration.drop("delta_hhi")
+    out = rounded(rounded(out, "post_shock_total", digits=5), "post_effective_supplier_count")
+    return rounded(out, "post_top_1_share", "post_top_3_share", "post_supplier_hhi", "pre_supplier_hhi", digits=8)
 
 
-@query("whatif_concentration_changes", "SELECT ROUND(hhi - pre, 6) AS delta_hhi FROM wi_post ORDER BY hhi - pre DESC LIMIT 50")
+@query("whatif_concentration_changes", """
+SELECT scenario_id, reporter_iso3, hs_code, ROUND(hhi - pre, 6) AS delta_hhi FROM wi_post ORDER BY ROUND(hhi - pre, 12) DESC, 1, 2, 3 LIMIT 50
+""")
 def _(s):
-    return rounded(wi.concentration_changes(result(s).concentration).select("delta_hhi"), "delta_hhi")
+    return rounded(wi.concentration_changes(result(s).concentration).select("scenario_id", *wi.GROUP, "delta_hhi"), "delta_hhi")
 
 
 @query("whatif_rankings", """
