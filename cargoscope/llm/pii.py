@@ -17,7 +17,7 @@ ROUNDS = 10
 SSN = (898, 99 * 9999)  # areas 001 to 899 but 666; groups and serials without zero
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days end with 2099-12-31
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "phone": r"(?<![\d+])\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3,4}[ -]?\d{3,4}(?!\d)",
     "date": r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -123,7 +123,9 @@ def pseudonym(value: Column, key: str, back: bool = False) -> Column:
 def _replaced(text: Column, key: str, back: bool) -> Column:
     """Struct (text, n): the text with pseudonyms, and how many values passed their check."""
     safe = F.replace(F.replace(text, F.lit(_SPARE), F.lit(_SPARE + "B")), F.lit(_MARK), F.lit(_SPARE + "A"))
-    marked = F.regexp_replace(safe, "|".join(f"(?:{p})" for p in KINDS.values()), f"{_MARK}$0{_MARK}")
+    # Words are scanned once for mail addresses; all other kinds begin with a digit or a plus sign.
+    found = f"{KINDS['email']}|(?=[+0-9])(?:" + "|".join(p for k, p in KINDS.items() if k != "email") + ")"
+    marked = F.regexp_replace(safe, found, f"{_MARK}$0{_MARK}")
     plain = lambda t: F.replace(F.replace(t, F.lit(_SPARE + "A"), F.lit(_MARK)), F.lit(_SPARE + "B"), F.lit(_SPARE))
     done = lambda parts: F.struct(
         plain(F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, pseudonym(p, key, back)).otherwise(p)), "")).alias("text"),
