@@ -30,6 +30,18 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+_HOLDS: dict[str, object] = {}  # what the operator now running on this worker remembers
+
+
+def remembered(name: str, make):
+    """An object a worker keeps from task to task.  Another name lets go of the one before, so a
+    worker that runs several operators in turn holds the memory of one."""
+    if name not in _HOLDS:
+        _HOLDS.clear()
+        _HOLDS[name] = make()
+    return _HOLDS[name]
+
+
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

@@ -67,6 +67,7 @@ def _node(a: np.ndarray) -> int:
 
 
 def _sketches(batches):
+    common.remembered("sketches", dict)  # lets go of other operators' memory
     for rows in batches:
         ns, nodes, values, offsets = [], [], [], [0]
         for text in common.utf8(rows.column(1)):

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -167,9 +166,8 @@ def _unmarked(word: str) -> list[str]:
     return [word[:-1], MARK + word[-1]] if len(word) > 2 and word[-1] in _MARKS and word[-2].isalpha() else [word]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return common.remembered(f"packing {path}", lambda: Encoder(path))
 
 
 def _ranges(texts: list[str | None]):

@@ -25,7 +25,7 @@ from cargoscope.llm import common
 
 MARK = "▁"  # stands for a space in pieces
 SHORT = 24  # symbols of a stretch that still goes into a matrix
-REMEMBERED = 600_000  # stretches a worker remembers
+REMEMBERED = 400_000  # stretches a worker remembers
 PART = 1 << 21  # characters handled at a time
 _FREE = np.iinfo(np.int32).max
 _SHIFT = 21  # bits of a symbol: piece ids, then ids + code point for characters without a piece
@@ -151,7 +151,7 @@ class Vocabulary:
         return [self.spell(x) for x in out]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
@@ -229,9 +229,8 @@ class Coder:
         return out
 
 
-@lru_cache(maxsize=2)
 def coder(path: str, check: bool) -> Coder:
-    return Coder(path, check)
+    return common.remembered(f"pieces {path} {check}", lambda: Coder(path, check))
 
 
 def _parts(texts: list[str | None]):

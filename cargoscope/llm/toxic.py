@@ -10,7 +10,8 @@ bounded sample of labelled texts on the driver, scoring in Arrow batches.
 
 from __future__ import annotations
 
-from functools import lru_cache
+
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ EPOCHS = (2, 4)  # with every toxic text's windows, and with those found toxic
 BATCH, STEPS = 512, (80, 160)  # windows of a step at most, and steps of either kind at least
 DROP = 0.3  # share of words that show only their characters in a step
 MIN_DOCS = 3  # training texts a word must occur in to have a vector of its own
-REMEMBERED = 300_000  # words a worker remembers
+REMEMBERED = 120_000  # words a worker remembers
 PART = 1 << 21  # characters handled at a time
 _STRIP = ".,;:!?\"'()[]{}*%#$&|-"
 
@@ -95,6 +96,7 @@ class Network:
             "a": draw(2 * HIDDEN, HIDDEN), "v": draw(HIDDEN, 1), "o": draw(2 * HIDDEN, 1), "c": np.zeros(1, np.float32),
         }
         self.scale, self.shift = 1.0, 0.0
+        self.name = uuid.uuid4().hex  # tells networks apart on a worker
 
     def inputs(self, words: list[str], drop: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
         """Input vectors of words, and what their gradient needs; dropped words count as unknown."""
@@ -317,8 +319,10 @@ class Scorer:
         if new:
             start = len(number)
             number.update(zip(new, range(start, start + len(new))))
-            while self.gates.shape[1] < len(number):
-                self.gates = np.concatenate([self.gates, np.empty_like(self.gates)], 1)
+            if self.gates.shape[1] < len(number):
+                room = np.empty((2, len(number) * 5 // 4, 3 * HIDDEN), np.float32)
+                room[:, :start] = self.gates[:, :start]
+                self.gates = room
             for i in range(0, len(new), 1 << 14):
                 some = new[i:i + (1 << 14)]
                 self.gates[:, start + i:start + i + len(some)] = self.net.projected(self.net.inputs(some)[0])
@@ -410,6 +414,5 @@ def keep_clean(docs: DataFrame, net: Network, limit: float = 0.5) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-@lru_cache(maxsize=1)
 def _scorer(net: Network) -> Scorer:
-    return Scorer(net)
+    return common.remembered(f"toxicity {net.name}", lambda: Scorer(net))
