@@ -7,6 +7,12 @@ chunk of its own.  Chunks are counted over all documents; of a chunk found more
 first place (least doc_id, then earliest line) stays.  Every other place is compared with the
 first byte by byte and grows over a few neighbouring lines as long as they too equal those around
 the first.  Everything is DataFrame functions; texts meet their spans in merge joins at any size.
+
+The boundaries depend on lines beside a passage, so short passages can hold no chunk.  With
+``every`` each line with a word also starts the shortest stretch of fifty words or more, and ends
+one.  A repeated passage of fifty words or more is covered by such stretches of its own lines, so
+its later places go whatever stands around them.  Lines without a word go within a stretch only.
+Stretches are told apart by 128 bits of hashes.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ ROLL, MULTIPLIER = 4, 1009  # of the rolling hash: one line in so many can't end
 REACH = 2  # lines on either side over which a repeated chunk may grow
 LONG = 50  # words of a line that counts as a passage by itself
 LAST = 2**63 - 1  # stands for a null doc_id
+LINE = 2**32  # a stretch of lines as one number: first * LINE + last
+COUNT = 64  # a number of words and lines as one: words * COUNT + lines; more than LONG
 
 
 def _key() -> Column:
@@ -50,6 +58,44 @@ def _split(docs: DataFrame) -> DataFrame:
         "key", "doc_id", "a", "b", F.xxhash64("own").alias("k1"), F.hash("own").alias("k2"))
 
 
+def _stretches(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, a, b, k1, k2) per shortest stretch of LONG words from or to a line."""
+    rows = docs.select(_key().alias("key"), "doc_id", _lines().alias("lines")).select(
+        "key", "doc_id", F.transform("lines", lambda s: F.xxhash64(s)).alias("h1"), F.transform("lines", lambda s: F.xxhash64(F.lit(1), s)).alias("h2"),
+        F.transform("lines", lambda s: F.least(F.regexp_count(s, F.lit(r"\S+")), F.lit(LONG))).alias("words"))
+    rows = rows.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i) > 0))
+    rows = rows.withColumn("words", F.transform("at", lambda i: F.get("words", i)))
+    # LONG lines with a word hold LONG words, so no more are looked at.
+    add = lambda t, w: F.when(t < LONG * COUNT, t + w * COUNT + 1).otherwise(t)
+    reach = lambda words: F.transform(words, lambda w, k: F.when(w >= LONG, w * COUNT + 1).otherwise(F.aggregate(F.slice(words, k + 1, F.lit(LONG)), F.lit(0), add)))
+    rows = rows.withColumn("on", reach(F.col("words"))).withColumn("back", reach(F.reverse("words"))).withColumn("ta", F.reverse("at"))
+    end = lambda lines, t, k: F.get(lines, k + t % COUNT - 1).cast("long")
+    known = lambda t: t >= LONG * COUNT
+    pairs = F.array_distinct(F.array_compact(F.concat(
+        F.transform("on", lambda t, k: F.when(known(t), F.get("at", k) * F.lit(LINE) + end("at", t, k))),
+        F.transform("back", lambda t, k: F.when(known(t), end("ta", t, k) * F.lit(LINE) + F.get("ta", k))))))
+    rows = rows.select("key", "doc_id", "h1", "h2", F.transform(pairs, lambda v: F.struct(
+        F.shiftright(v, 32).cast("int").alias("a"), (v % LINE).cast("int").alias("b"))).alias("spans"))
+    cut = lambda h, s: F.slice(h, s["a"] + 1, s["b"] - s["a"] + 1)
+    return rows.select("key", "doc_id", F.explode(F.transform("spans", lambda s: F.struct(
+        s["a"].alias("a"), s["b"].alias("b"), F.xxhash64(cut("h1", s)).alias("k1"), F.xxhash64(cut("h2", s)).alias("k2")))).alias("c")).select("key", "doc_id", "c.*")
+
+
+def long_repeats(docs: DataFrame) -> DataFrame:
+    """(key, gone): lines of passages of LONG words or more that an earlier place holds too.
+
+    Lines that a later place shares with the first place of its own text stay.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    all_of = session.stored(_stretches(docs), "stretches")
+    first = session.stored(all_of.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "key", "a")).alias("first")).where(
+        "n > 1").select("k1", "k2", F.col("first.key").alias("key0"), F.col("first.a").alias("a0")), "first-stretches")
+    later = all_of.join(first, ["k1", "k2"]).select(
+        "key", F.when(F.col("key") == F.col("key0"), F.greatest("a", F.col("a0") + F.col("b") - F.col("a") + 1)).otherwise(F.col("a")).alias("a"), "b").where("a <= b")
+    spans = later.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return spans.select("key", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"]))))).alias("gone"))
+
+
 def _common(left: str, right: str) -> Column:
     """Length of the common beginning of two arrays."""
     n = F.least(F.size(left), F.size(right))
@@ -76,14 +122,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     return same.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, every: bool = False) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and ``n_lines``, ``n_removed``.
 
+    With ``every``, every later place of a passage of LONG words or more goes, wherever its lines stand.
+
     All rows and other columns stay; a text may become empty.  A null text stays null and has no
     line; an empty one has one line.  Rows equal in doc_id and text are one document; rows with a
     null doc_id come last in the order of places.  Columns of the names given are replaced.
     """
-    gone = session.stored(repeats(docs), "gone").withColumnsRenamed({"key": "_repeats_key", "gone": "_repeats_gone"}).hint("merge")
+    found = repeats(docs)
+    if every:
+        found = found.unionByName(long_repeats(docs)).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    gone = session.stored(found, "gone").withColumnsRenamed({"key": "_repeats_key", "gone": "_repeats_gone"}).hint("merge")
     own = docs.drop("n_lines", "n_removed")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
     joined = own.withColumn("_own_key", key).join(gone, F.col("_own_key") == F.col("_repeats_key"), "left").withColumn(
@@ -94,6 +145,6 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
 
 def without_emptied(docs: DataFrame) -> DataFrame:
-    """``docs`` after ``drop_repeats``, less the documents of which no line is left."""
-    done = drop_repeats(docs).where("n_removed = 0 or n_removed < n_lines")
+    """``docs`` after ``drop_repeats`` with ``every``, less the documents of which no word is left."""
+    done = drop_repeats(docs, every=True).where(F.col("n_removed").eqNullSafe(0) | F.col("text").rlike(r"\S"))
     return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done.select(*docs.columns)

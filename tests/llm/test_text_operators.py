@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -297,6 +298,53 @@ def test_line_passages_of_copies_and_edges(spark):
     assert lines.drop_repeats(edge_docs(spark).limit(0)).count() == 0
 
 
+def brute_passages(texts):
+    """Lines of every span of 50 words or more whose text an earlier document holds as a span."""
+    first, gone = {}, {}
+    for i, text in enumerate(texts):
+        own = text.split("\n")
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                span = "\n".join(own[a:b + 1])
+                if len(span.split()) >= 50 and own[a].split() and own[b].split() and first.setdefault(span, i) != i:
+                    gone.setdefault(i, set()).update(range(a, b + 1))
+    return {i: sorted(x) for i, x in gone.items()}
+
+
+def test_planted_line_passages_equal_brute_force(spark):
+    r, n = random.Random(5), itertools.count()
+    line = lambda k: " ".join(f"w{next(n)}" for _ in range(k))
+    passages = []
+    for size in (2, 3, 4, 5, 6):
+        for _ in range(12):
+            words = [1] * size
+            for _ in range(60 - size):
+                words[r.randrange(size)] += 1
+            passages.append([line(k) for k in words] if r.random() < 0.8 else [line(words[0]), "", *(line(k) for k in words[1:])])
+    passages += [[line(45), line(5), line(4), line(3)], [line(3), line(4), line(5), line(45)], [line(5), line(70), line(5)], [line(1) for _ in range(55)]]
+    texts = []
+    for _ in range(3):
+        for p in r.sample(passages, len(passages)):
+            texts.append("\n".join([*(line(r.randint(1, 12)) for _ in range(r.randint(0, 4))), *p, *(line(r.randint(1, 12)) for _ in range(r.randint(0, 4)))]))
+    texts += ["\n".join([*passages[0], *passages[30]]), "\n".join([line(9), *passages[30], *passages[0], line(2)]), "a b\nc d\n" + line(50), "a b\nc d"]
+    want = brute_passages(texts)
+    assert len(want) > 120
+    assert {x.key: x.gone for x in lines.long_repeats(docs(spark, texts)).collect()} == {
+        x.k: want[x.i] for x in docs(spark, texts).selectExpr("xxhash64(doc_id, text) k", "doc_id i").collect() if x.i in want}
+    often = Counter(s for t in texts for s in t.split("\n"))
+    for x in lines.without_emptied(docs(spark, texts)).collect():
+        left = [s for k, s in enumerate(texts[x.doc_id].split("\n")) if k not in want.get(x.doc_id, [])]
+        assert {s for s in left if often[s] == 1} <= set(x.text.split("\n")) <= set(left)
+
+
+def test_long_passages_of_like_lines_keep_one(spark):
+    text = "\n".join(["ten words " * 5] * 30)
+    got = {x.doc_id: x for x in lines.drop_repeats(docs(spark, [text, "head\n" + text, "a\n\n" + text]), every=True).collect()}
+    assert got[0].text.split("\n") and set(got[0].text.split("\n")) == {"ten words " * 5}
+    assert got[1].text == "head" and got[2].text.split() == ["a"]
+    assert {x.doc_id for x in lines.without_emptied(docs(spark, [text, "\n\n" + text])).collect()} == {0}
+
+
 def test_url_verdicts(spark):
     link = "<html><head><link rel='canonical' href='{}'></head></html>"
     fresh = '<meta http-equiv="refresh" content="0; url={}">'
