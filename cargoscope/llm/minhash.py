@@ -6,10 +6,11 @@ similarity, and full sets confirm it.
 
 * A text's set holds its distinct five-word shingles as 64-bit hashes; a text of fewer words has
   its whole sequence as one shingle.  Texts with equal sets form a class, handled once.
-* Two sets with similarity 0.85 or more share at least half of the values that the bottom of
-  their union keeps, but for a chance below 1e-9 at the threshold itself (and for certain where
-  both sets fit their sketches).  So a class lists only the rarest ``s // 2 + 1`` of its ``s``
-  values: any such pair meets in one list, and values that many unrelated texts share drop out.
+* Two sets as similar as a link asks share at least a part (``SHARE``) of the values that the
+  bottom of their union keeps: half of them at 0.85, but for a chance below 1e-10 at the threshold
+  itself, and 7 of 16 at 0.80, below 1e-10 too (and for certain where both sets fit their
+  sketches).  So a class lists only the rarest of its values, one more than the rest that may
+  differ: any such pair meets in one list, and values that many unrelated texts share drop out.
 * Each list names the member with the most widely shared sketch as its hub.  Every member is
   compared with its hubs, which costs one row per member, not per pair.  Members confirmed as
   linked to the hub need no further pairs among themselves.  The others meet the members whose
@@ -32,7 +33,8 @@ from cargoscope.llm import common, graph
 
 WORDS = 5  # words of a shingle
 SKETCH = 64  # values kept of a set
-PERCENT = 85  # similarity of a link, in hundredths
+PERCENT = 85  # similarity of a link, in hundredths, where none is given
+SHARE = {85: 8, 80: 7}  # sixteenths of a sketch that linked sets share, by PERCENT
 BLOCK, MEMBERS = 200_000, 512  # shingles and members of one side of a block comparison, about
 
 NO_ID = 2**63 - 1  # stands for a null doc_id: last
@@ -98,7 +100,7 @@ def _sets(batches):
         yield common.batch(node=pa.array(nodes, pa.int64()), shingles=pa.array(sets, pa.binary()))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(hub, node) pairs whose inverted lists meet, one row per member and hub."""
     values = classes.select("node", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -108,7 +110,7 @@ def candidates(classes: DataFrame) -> DataFrame:
         found.withColumn("place", F.row_number().over(own.orderBy("df", "value")))
         .withColumn("weight", F.sum("df").over(own))
         .withColumn("alone", F.col("s") - F.count("*").over(own))
-        .where("place + alone <= floor(s / 2) + 1")
+        .where(f"place + alone <= floor(s * {16 - SHARE[percent]} / 16) + 1")
         .select("node", "value", "weight"), "listed-values")
     hubs = listed.groupBy("value").agg(
         F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("m")).where("m > 1").select("value", F.col("top.node").alias("hub"))
@@ -126,7 +128,7 @@ def _compare(batches):
         yield common.batch(hub=rows.column(0), node=rows.column(1), same=pa.array(same), together=pa.array(total - same))
 
 
-def block_links(nodes: list[int], sets: list[np.ndarray], sides: np.ndarray, up: np.ndarray, inner: bool) -> list[tuple[int, int]]:
+def block_links(nodes: list[int], sets: list[np.ndarray], sides: np.ndarray, up: np.ndarray, inner: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Spanning forest of the links between two sides of a block (side 2: the block meets itself).
 
     Pairs of two members of the upper cell are another block's, and so are pairs within the lower
@@ -139,7 +141,7 @@ def block_links(nodes: list[int], sets: list[np.ndarray], sides: np.ndarray, up:
     kept = np.array([min(len(s), SKETCH) for s in sets])
     sizes = np.array([len(s) for s in sets])
     small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
-    may = (2 * overlap >= np.minimum.outer(kept, kept)) & (100 * small >= PERCENT * large)
+    may = (16 * overlap >= SHARE[percent] * np.minimum.outer(kept, kept)) & (100 * small >= percent * large)
     may &= np.triu(np.ones((m, m), bool), 1) & ((sides[:, None] != sides[None, :]) | (sides[:, None] == 2))
     may &= (up[:, None] != up[None, :]) | (inner & ~up[:, None])
     rows = np.flatnonzero(may.any(0) | may.any(1))
@@ -148,7 +150,7 @@ def block_links(nodes: list[int], sets: list[np.ndarray], sides: np.ndarray, up:
     where, values = np.repeat(np.arange(len(rows)), sizes[rows]), np.concatenate([sets[i] for i in rows])
     same = _products(where, values, len(rows))
     total = np.add.outer(sizes[rows], sizes[rows]) - same
-    linked = may[np.ix_(rows, rows)] & (100 * same >= PERCENT * total)
+    linked = may[np.ix_(rows, rows)] & (100 * same >= percent * total)
     parent = list(range(len(rows)))
 
     def root(i):
@@ -183,22 +185,22 @@ def _products(where: np.ndarray, values: np.ndarray, m: int, step: int = 4096) -
     return out.astype(np.int64)
 
 
-def _blocks(key, table):
+def _blocks(key, table, percent):
     table = table.sort_by("node")
     sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
     forest = block_links(table.column("node").to_pylist(), sets, np.array(table.column("side").to_pylist()),
-                         np.array(table.column("up").to_pylist(), bool), table.column("cell")[0].as_py() > 0)
+                         np.array(table.column("up").to_pylist(), bool), table.column("cell")[0].as_py() > 0, percent)
     return pa.table({"a": pa.array([x for x, _ in forest], pa.int64()), "b": pa.array([y for _, y in forest], pa.int64())})
 
 
-def _rest(star: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest(star: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links among members of a hub that are not both linked to it.
 
     Cell c of a hub holds the members whose distance lies in (c * allowed, (c + 1) * allowed].
     Linked pairs lie in one cell or in neighbours, so cell c meets itself and cell c + 1.  Cell 0
     is linked to the hub throughout.
     """
-    width = f"({100 - PERCENT} * together)"
+    width = f"({100 - percent} * together)"
     at = star.select("hub", "node", F.expr(f"(100 * (together - same) + {width} - 1) div {width} - 1").cast("int").alias("cell"))
     groups = at.select("hub", "node", F.explode(F.array(
         F.struct(F.col("cell"), F.lit(0).alias("up")), F.struct((F.col("cell") - 1).alias("cell"), F.lit(1).alias("up")))).alias("g"),
@@ -214,15 +216,15 @@ def _rest(star: DataFrame, sets: DataFrame) -> DataFrame:
         "hub", "cell", F.col("up"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node")
     common.workers_find_package(star.sparkSession)
-    return met.join(sets, "node").groupBy("hub", "cell", "i", "j").applyInArrow(_blocks, "a long, b long")
+    return met.join(sets, "node").groupBy("hub", "cell", "i", "j").applyInArrow(lambda key, table: _blocks(key, table, percent), "a long, b long")
 
 
-def links(docs: DataFrame, drawn: DataFrame) -> DataFrame:
+def links(docs: DataFrame, drawn: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) between classes that connect all near-duplicates."""
     drawn = drawn.where("n_shingles > 0").withColumn("first", F.coalesce("doc_id", F.lit(NO_ID)))
     classes = drawn.groupBy("node").agg(F.min("first").alias("first"))
     rows = drawn.join(classes, ["node", "first"]).select("node", "sketch").dropDuplicates(["node"])
-    pairs = session.stored(candidates(rows), "hubs")
+    pairs = session.stored(candidates(rows, percent), "hubs")
     need = pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
     ids = classes.join(need, "node", "left_semi").select("first")
     texts = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("first")).join(ids, "first", "left_semi")
@@ -232,19 +234,19 @@ def links(docs: DataFrame, drawn: DataFrame) -> DataFrame:
         pairs.join(sets, "node").withColumnRenamed("shingles", "right")
         .join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("left")), "hub").select("hub", "node", "left", "right"),
         _compare, "hub long, node long, same long, together long"), "star")
-    direct = star.where(f"100 * same >= {PERCENT} * together").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    return direct.unionByName(_rest(star, sets))
+    direct = star.where(f"100 * same >= {percent} * together").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return direct.unionByName(_rest(star, sets, percent))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``; ``percent`` is 80 or 85.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  Null or blank texts have
     no set and their own doc_id as component; rows with a null doc_id take part, never are kept
     and show the component of their class.  Repeated rows give repeated result rows.
     """
     drawn = session.stored(sketches(docs), "sketches")
-    found = graph.components(links(docs, drawn))
+    found = graph.components(links(docs, drawn, percent))
     classes = drawn.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     placed = classes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -254,12 +256,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs`` without near-duplicates of a row with a smaller doc_id.
 
     One document of each component stays, with all columns.  Rows that share a doc_id share its
     verdict.  Rows with blank texts or a null doc_id all stay.
     """
-    verdict = near_duplicates(docs)
+    verdict = near_duplicates(docs, percent)
     gone = verdict.where("n_shingles > 0 and not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(session.stored(gone, "not-kept"), "doc_id", "left_anti").select(*docs.columns)

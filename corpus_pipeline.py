@@ -15,6 +15,7 @@ from cargoscope import session
 from cargoscope.llm import common, lines, minhash, phrases, pieces, toxic
 
 TOXIC = 0.5  # score from which a document is rejected
+NEAR = 80  # similarity from which documents are near-duplicates, in hundredths; op1's contract has 85
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
