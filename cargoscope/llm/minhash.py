@@ -1,8 +1,8 @@
 """Near-duplicate documents by bottom-k sketches.
 
 One hash function orders all shingles.  A document's sketch is the k smallest hashes of its set.
-Inverted lists of retained values give the overlaps, the union of two sketches estimates their
-similarity, and full sets confirm it.
+Inverted lists of retained values give the pairs, and full sets confirm them.  No similarity is
+estimated from the union of two sketches; in blocks, too few shared values rule a pair out first.
 
 * A text's set holds its distinct five-word shingles as 64-bit hashes; a text of fewer words has
   its whole sequence as one shingle.  Texts with equal sets form a class, handled once.
