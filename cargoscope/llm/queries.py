@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import aliases, chat, cover, lines, minhash, packing, phrases, pieces, pii, sql, toxic
+from cargoscope.llm import aliases, anchors, chat, cover, lines, minhash, neighbours, packing, phrases, pieces, pii, sql, toxic, zones
 from cargoscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,25 @@ PSEUDONYM_KEY = "corpus-1"  # a real run passes a secret
 @query
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymise(table(spark, folder, "documents"), PSEUDONYM_KEY).select("doc_id", "n_values", "text")
+
+
+@query
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return neighbours.score(docs, neighbours.train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return zones.with_inertia(table(spark, folder, "embeddings"))
+
+
+SQL["op12_centroids"] = sql.op12()
+
+
+@query
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return anchors.with_errors(table(spark, folder, "embeddings"))
+
+
+SQL["op13_vector_codes"] = sql.op13()

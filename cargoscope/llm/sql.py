@@ -72,3 +72,49 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(CAST(q.v AS
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+
+def op12(k: int = 16, rounds: int = 3, dim: int = 64, scale: int = 64) -> str:
+    floors = f"list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+    steps = [f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, {floors} AS v FROM embeddings
+           WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, unnest(range(1, {dim + 1})) AS i, unnest(v) AS x FROM v),
+c0 AS MATERIALIZED (SELECT c, unnest(range(1, {dim + 1})) AS i, unnest(v) AS y FROM (
+       SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM v WHERE vec_id IS NOT NULL) WHERE c < {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM (
+       SELECT r, c, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM p JOIN c{n} USING (i) GROUP BY 1, 2)) WHERE place = 1)""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{n} JOIN p USING (r) GROUP BY 1, 2),
+c{n + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM c{n} LEFT JOIN m{n} USING (c, i))""")
+    return ",".join(steps) + f""",
+h AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY 1)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN h USING (c)
+"""
+
+
+def op13(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Of a table whose vectors all have one length."""
+    floors = f"list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+    steps = [f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, {floors}) AS r, vec_id, label, {floors} AS v FROM embeddings
+           WHERE len(embedding) > 0 AND len(embedding) % {parts} = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, unnest(range(0, len(v))) // (len(v) // {parts}) AS p, unnest(range(0, len(v))) % (len(v) // {parts}) AS i, unnest(v) AS x FROM v),
+e0 AS MATERIALIZED (SELECT p, r - 1 AS e, i, x AS y FROM p WHERE r <= {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (SELECT r, p, e, d FROM (SELECT r, p, e, d, row_number() OVER (PARTITION BY r, p ORDER BY d, e) AS place FROM (
+       SELECT r, p, e, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM p JOIN e{n} USING (p, i) GROUP BY 1, 2, 3)) WHERE place = 1)""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS (SELECT p, e, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{n} JOIN p USING (r, p) GROUP BY 1, 2, 3),
+e{n + 1} AS MATERIALIZED (SELECT p, e, i, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM e{n} LEFT JOIN m{n} USING (p, e, i))""")
+    return ",".join(steps) + f""",
+c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, i)) FROM e{rounds}) AS codebooks_sha256 FROM c JOIN v USING (r)
+"""
