@@ -404,7 +404,9 @@ def encode(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int =
     shape = "vec_id long, label long, dim int, code string, error long"
     books: dict[int, list] = {}
     for dim in [r[0] for r in kept.select(F.size("v").alias("dim")).distinct().collect()]:
-        first = kept.where(F.size("v") == dim).select("v", "vec_id").orderBy(F.asc_nulls_last("vec_id"), "v").limit(entries).collect()
+        order = [F.asc_nulls_last("vec_id"), "v"]
+        least = session.stored(kept.where(F.size("v") == dim).select("v", "vec_id").orderBy(*order).limit(entries), "first")
+        first = least.orderBy(*order).collect()
         width = dim // parts
         books[dim] = [[[int(x) for x in r.v[p * width:(p + 1) * width]] for r in first] for p in range(parts)]
     if not books:

@@ -106,7 +106,9 @@ def zone_map(vectors: DataFrame, dim: int) -> DataFrame:
 
     Equal vectors share a place on the curve; a row number spreads them over tasks and blocks.
     """
-    sample = [r.v for r in vectors.select("v", F.xxhash64("v", "vec_id").alias("h")).orderBy("h", "v").limit(SAMPLE).collect()]
+    share = 1.25 * SAMPLE / max(vectors.count(), 1)
+    picked = vectors.select("v").sample(share, seed=7) if share < 1 else vectors.select("v")
+    sample = [r.v for r in picked.collect()][:SAMPLE]  # a quarter more than SAMPLE rows at most, but for chance
     curve = Curve(np.array(sample, np.float64).reshape(len(sample), dim))
     placed = session.stored(common.map_arrow(vectors.select("vec_id", "v"), _keys(curve, dim), "vec_id long, v array<double>, place long"), "placed")
     numbered = placed.withColumn("tie", F.monotonically_increasing_id())
@@ -202,7 +204,8 @@ def cluster(vectors: DataFrame, k: int = 16, rounds: int = 3, dim: int = 64, sca
     kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers.whole(F.col("embedding"), scale).alias("v")).where(F.size("v") == dim)
     kept = session.stored(kept, "kept")
     name = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
-    first = kept.where("vec_id is not null").select("v", name.alias("name")).orderBy("name", "v").limit(k).collect()
+    named = kept.where("vec_id is not null").select("v", name.alias("name"))
+    first = session.stored(named.orderBy("name", "v").limit(k), "first").orderBy("name", "v").collect()
     points = [[int(x) for x in r.v] for r in first]
     shape = "vec_id long, cluster int, distance long"
     if not points:

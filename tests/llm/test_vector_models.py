@@ -148,7 +148,7 @@ def test_codes_against_brute_force(spark, n, entries):
 
 @pytest.mark.parametrize("big", [5e6, 1e30, 1e200])
 def test_codes_of_large_components(spark, big):
-    rows = [(i, [x * big * (1 + (i % 7) / 7), float(i), -big, x], 1) for i, x in enumerate([1, -1, 0.5, 0, 2, 1e-9] * 5)] + [(50, [1.0, 2.0, 3.0, 4.0], None)]
+    rows = [(i, [x * big * (1 + (i % 7) / 7), float(i), -big, float(x)], 1) for i, x in enumerate([1, -1, 0.5, 0, 2, 1e-9] * 5)] + [(50, [1.0, 2.0, 3.0, 4.0], None)]
     df, books = anchors.encode(table(spark, rows), parts=2, entries=5, rounds=2, scale=256)
     want, brute = brute_codes(rows, 2, 5, 2, 256)
     assert books == brute
