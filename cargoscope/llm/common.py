@@ -32,7 +32,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
 
 def hash_share(column: str, share: float) -> Column:
     """Whether a row is in the share of all values whose xxhash64 is least."""
-    return (F.xxhash64(column).cast("double") / 2**64 + 0.5) < F.lit(share)
+    return (F.xxhash64(column).cast("double") / 2.0**64 + 0.5) < F.lit(share)
 
 
 _HOLDS: dict[str, object] = {}  # what the operator now running on this worker remembers
