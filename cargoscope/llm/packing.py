@@ -9,6 +9,7 @@ store Spark can write to and a lost executor leaves no half file.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 
@@ -28,6 +29,7 @@ _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _RUN = re.compile(r"\s ")
 _RUNS = [c + " " for c in map(chr, range(128)) if c.isspace()]
 _MARKS = ".,;:!?"
+_MARK_SET = frozenset(_MARKS)
 BARE, MARK, BREAK = "\udc00", "\udc01", "\udc02"  # cannot occur in a text
 FILE = "shard int, block int, first long, bits int, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary"
 
@@ -84,42 +86,70 @@ class Encoder:
         n = self.library.get_vocab_size()
         self.bits = width(n)
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
+        self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")  # of ids in memory
         self.memory: dict[str, bytes] = {}  # ids of a space and the word, or of the word alone behind BARE
         self.fixed = {BREAK: self.whole("\n"), BARE: b""} | {MARK + m: self.whole(m) for m in _MARKS}
         self.memory.update(self.fixed)
 
+    def ids(self, text: str) -> np.ndarray:
+        """The library's ids of a text, without the offsets it can also give."""
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return self.ids(text).tobytes()
 
     def _library(self, text: str, opens, n: int) -> list[bytes]:
         """Ids of ``n`` words of a text, each of which starts with a token that opens one."""
-        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        starts = np.flatnonzero(opens(ids)).tolist()
+        ids = self.ids(text)
+        starts = np.flatnonzero(opens(ids))
         if len(starts) != n:
             raise ValueError("words and tokens do not line up")
-        data = ids.tobytes()
-        return [data[4 * a:4 * b] for a, b in zip(starts, starts[1:] + [len(ids)])]
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        memory = self.memory
-        split = {w: _atoms(w) for w in new}
-        atoms = list({a for x in split.values() for a in x if a not in memory})
-        plain = [a for a in atoms if a[:1] != BARE and a and " " not in a and not a[-1].isspace()]
+        size = self.kind.itemsize
+        data, at = ids.tobytes(), (starts * size).tolist()
+        return [data[a:b] for a, b in zip(at, at[1:] + [len(data)])]
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of new words: those of the parts that are encoded by themselves, one after another."""
+        memory, known = self.memory, {}
+        plain, split, atoms = [], {}, set()
+        for w in new:
+            if w.isalpha():
+                plain.append(w)
+            else:
+                split[w] = x = _atoms(w)
+                atoms.update(x)
+        atoms = {a for a in atoms if a not in memory and a not in new or a in split and split[a] == [a]}
         bare = [a for a in atoms if a[:1] == BARE and len(a) > 1 and not any(map(str.isspace, a))]
-        known = dict(zip(plain, self._library(" " + " ".join(plain), self.opens.__getitem__, len(plain)))) if plain else {}
-        if bare and len(self.fixed[BREAK]) == 4:
-            end = np.frombuffer(self.fixed[BREAK], np.uint32)[0]
+        plain += [a for a in atoms if a[:1] != BARE and a and " " not in a and not a[-1].isspace()]
+        if plain:
+            known = dict(zip(plain, self._library(" " + " ".join(plain), self.opens.__getitem__, len(plain))))
+        if bare and len(self.fixed[BREAK]) == self.kind.itemsize:
+            end = np.frombuffer(self.fixed[BREAK], self.kind)[0]
             found = self._library("\n" + "\n".join(a[1:] for a in bare), end.__eq__, len(bare))
-            known.update((a, x[4:]) for a, x in zip(bare, found))
+            known.update((a, x[self.kind.itemsize:]) for a, x in zip(bare, found))
         for a in atoms:
             if a not in known:
                 known[a] = self.whole(a[1:] if a[:1] == BARE else " " + a)
+        for w, x in split.items():
+            if w not in known:
+                known[w] = b"".join([known[a] if a in known else memory[a] for a in x])
         if len(memory) < REMEMBERED:
-            memory.update((a, x) for a, x in known.items() if len(a) <= 64)
-        return {w: b"".join([known[a] if a in known else memory[a] for a in x]) for w, x in split.items()}
+            memory.update(known)
+            for w in [w for w in known if len(w) > 64]:
+                del memory[w]
+        return known
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers of ``kind``."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of strings and no cycles
+        try:
+            return self._texts(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
         words, ends = [], []
         for t in texts:
             if _has_run(t):
@@ -136,9 +166,7 @@ class Encoder:
             self.memory.clear()  # full of words that no longer come
             self.memory.update(self.fixed)
         if new:
-            learnt = self.learn(list(new))
-            if len(self.memory) < REMEMBERED:
-                self.memory.update((w, x) for w, x in learnt.items() if len(w) <= 64)
+            learnt = self.learn(new)
             for i, x in enumerate(ids):
                 if x is None:
                     ids[i] = learnt[words[i]]
@@ -181,21 +209,27 @@ def _ranges(texts: list[str | None]):
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, path: str, end: int | None) -> DataFrame:
-    """doc_id, n_tokens, bits and packed ids of every row; null texts count as empty."""
+def encode(docs: DataFrame, path: str, end: int | None, bounds: list[int] | None = None) -> DataFrame:
+    """shard, doc_id, n_tokens, bits and packed ids of every row; null texts count as empty.
+
+    The shard of a row is the number of ``bounds``, ascending doc_ids, that lie below its own.
+    """
+    cuts = np.array(bounds or [], np.int64)
 
     def run(batches):
         e = encoder(path)
+        last = b"" if end is None else np.array([end], e.kind).tobytes()
         for rows in batches:
             texts = rows.column(1).to_pylist()
+            doc_ids = rows.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            shards = np.searchsorted(cuts, doc_ids, side="left").astype(np.int32)
             for a, b in _ranges(texts):
-                ids = [np.frombuffer(x, np.uint32) for x in e.texts([t or "" for t in texts[a:b]])]
-                if end is not None:
-                    ids = [np.append(x, np.uint32(end)) for x in ids]
-                yield common.batch(doc_id=rows.column(0).slice(a, b - a), n_tokens=pa.array([len(x) for x in ids], pa.int64()),
-                                   bits=pa.array([e.bits] * len(ids), pa.int32()), payload=pa.array([pack(x, e.bits) for x in ids], pa.binary()))
+                ids = [x + last for x in e.texts([t or "" for t in texts[a:b]])]
+                packed = ids if e.bits == 16 else [pack(np.frombuffer(x, e.kind), e.bits) for x in ids]  # ids of 16 bits are packed as they are
+                yield common.batch(shard=pa.array(shards[a:b]), doc_id=rows.column(0).slice(a, b - a), n_tokens=pa.array([len(x) // e.kind.itemsize for x in ids], pa.int64()),
+                                   bits=pa.array([e.bits] * len(ids), pa.int32()), payload=pa.array(packed, pa.binary()))
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, bits int, payload binary")
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "shard int, doc_id long, n_tokens long, bits int, payload binary")
 
 
 def _blocks(batches):
@@ -239,11 +273,9 @@ def write(docs: DataFrame, path: str, folder: str, end: int | None = 0) -> None:
     cuts = [i / shards for i in range(1, shards)]
     bounds = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), F.array(*map(F.lit, cuts)), F.lit(50 * shards))).first()[0] if cuts else None
     bounds = sorted(set(bounds or []))
-    at = F.col("doc_id") > F.lit(bounds[0]) if bounds else F.lit(False)
-    shard = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    shard = F.when(at, shard).otherwise(0).cast("int").alias("shard")
-    placed = encode(docs, path, end).select(shard, "doc_id", "n_tokens", "bits", "payload")
-    ordered = placed.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "doc_id", "payload")
+    # A shard goes to the task of its own number: a hash would give some tasks several and others none.
+    dealt = encode(docs, path, end, bounds).repartitionById(len(bounds) + 1, "shard")
+    ordered = dealt.sortWithinPartitions("shard", "doc_id", "payload")
     common.map_arrow(ordered, _blocks, FILE).write.option("compression", "zstd").parquet(folder)
 
 
