@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +25,7 @@ from cargoscope.llm import common
 
 BLOCK = 1 << 16  # ids after which a block ends, at the next document
 REMEMBERED = 1_000_000  # words a worker remembers
-PART = 1 << 21  # characters handled at a time
+PART = 1 << 22  # characters handled at a time
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _RUN = re.compile(r"\s ")
 _RUNS = [c + " " for c in map(chr, range(128)) if c.isspace()]
@@ -150,19 +151,42 @@ class Encoder:
                 gc.enable()
 
     def _texts(self, texts: list[str]) -> list[bytes]:
-        words, ends = [], []
-        for t in texts:
+        heads, tails, parted = [], [], {}
+        for i, t in enumerate(texts):
             if _has_run(t):
-                part = _BEFORE_SPACE.split(t)
-                part[1:] = [w[1:] for w in part[1:]]
+                head, *part = _BEFORE_SPACE.split(t)
+                parted[i] = [w[1:] for w in part]
+                tail = None
             else:
-                part = t.split(" ")
-            part[0] = BARE + part[0]
-            words += part
-            ends.append(len(words))
+                head, space, tail = t.partition(" ")
+                tail = tail if space else None
+            heads.append(BARE + head)
+            tails.append(tail)
+        # Words are split and made distinct by Arrow; Python sees each distinct one once.
+        split = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self._words(distinct + heads + [w for x in parted.values() for w in x])
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        pool = np.frombuffer(b"".join(ids[:len(distinct)]), self.kind)
+        starts = np.cumsum(n[:len(distinct)]) - n[:len(distinct)]
+        length = n[place]
+        ends = np.cumsum(length)
+        flat = pool[np.arange(length.sum()) + np.repeat(starts[place] - (ends - length), length)].tobytes()
+        at = np.append(0, ends)[np.append(0, np.cumsum(sizes))] * self.kind.itemsize
+        out = [h + flat[a:b] for h, a, b in zip(ids[len(distinct):], at.tolist(), at[1:].tolist())]
+        k = len(distinct) + len(heads)
+        for i, x in parted.items():
+            out[i] += b"".join(ids[k:k + len(x)])
+            k += len(x)
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
         ids = list(map(self.memory.get, words))
         new = {w for w, x in zip(words, ids) if x is None}
-        if len(new) * 3 > len(words) and len(self.memory) >= REMEMBERED:
+        if len(new) * 2 > len(words) and len(self.memory) >= REMEMBERED:
             self.memory.clear()  # full of words that no longer come
             self.memory.update(self.fixed)
         if new:
@@ -170,7 +194,7 @@ class Encoder:
             for i, x in enumerate(ids):
                 if x is None:
                     ids[i] = learnt[words[i]]
-        return [b"".join(ids[a:b]) for a, b in zip([0] + ends, ends)]
+        return ids
 
 
 def _has_run(text: str) -> bool:
