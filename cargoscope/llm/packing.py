@@ -59,6 +59,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(data: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     """Ids start..stop of packed data, as unsigned 32-bit integers."""
+    if bits in (8, 16, 32):  # ids of whole bytes need no shifting
+        return np.frombuffer(data, f"<u{bits // 8}", stop - start, start * bits // 8).astype(np.uint32)
     at = np.arange(start, stop, dtype=np.int64) * bits
     low = int(at[0]) // 64 if len(at) else 0
     high = (int(at[-1]) + bits + 63) // 64 if len(at) else 0
