@@ -7,8 +7,10 @@ each step, so no plan grows with the rounds and a lost executor costs one step.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from cargoscope.functions import constants as K
 from cargoscope.functions import expr as E
 from cargoscope.operators import clean
 from cargoscope.operators.flows import Top, coverage
-from cargoscope.session import stored
+from cargoscope.session import scratch_path, stored
 
 FLOWS = {"exports": ("X",), "imports": ("M",)}
 VALUE = "trade_value_usd"
@@ -196,36 +198,86 @@ def distance(edges: DataFrame, floor: float = 1.0) -> DataFrame:
     return edges.withColumn("distance", F.when(w.isNotNull(), 1 / F.greatest(w / top, F.lit(float(floor)) / top)))
 
 
-MAX_ROUNDS = 2000  # of a loop that should have settled long before; reaching it is an error
+MAX_ROUNDS = 400  # of a loop that should have settled long before; reaching it is an error
+STEPS = 6  # products with the edge table that one job of PageRank combines
 
 
-def pagerank(edges: DataFrame, directed: bool = True, damping: float = 0.85, tol: float = 1e-10, rounds_per_job: int = 8) -> DataFrame:
+def _bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, bucketed and sorted by ``key``, and its name.
+
+    The buckets are those of a shuffle on the key, so joins on it leave the table where it is.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"moves_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", scratch_path(spark, "moves")).saveAsTable(name)
+    return spark.table(name), name
+
+
+def _product(moves: DataFrame, state: DataFrame, source: str, columns: list[str], to: str) -> DataFrame:
+    """``state`` (a row per vertex) with ``to``: the transposed moves applied to ``source``.
+
+    One join with the resident edges and one sum per vertex, combined before its shuffle; that
+    shuffle is also the one the next product's join needs.  A vertex's own row among the moves (p
+    is null) carries its columns along, so the state is read once.
+    """
+    own = F.col("p").isNull()
+    flow = moves.join(state.withColumnRenamed("iso3", "src"), "src").select(
+        F.col("dst").alias("iso3"), *(F.when(own, F.col(c)).otherwise(0.0).alias(c) for c in columns), F.when(own, 0.0).otherwise(F.col("p") * F.col(source)).alias(to))
+    return flow.groupBy("iso3").agg(*(F.sum(c).alias(c) for c in [*columns, to]))
+
+
+def _krylov(moves: DataFrame, state: DataFrame) -> DataFrame:
+    """(iso3, start, x, r0, r1, ...): the residual of x and its images under the moves."""
+    columns = ["start", "x"]
+    out = _product(moves, state, "x", columns, "ax")
+    out = out.select("iso3", *columns, (F.col("start") + F.col("ax") - F.col("x")).alias("r0"))
+    columns = [*columns, "r0"]
+    for k in range(STEPS):
+        out = _product(moves, out, f"r{k}", columns, f"r{k + 1}")
+        columns = [*columns, f"r{k + 1}"]
+    return out
+
+
+def pagerank(edges: DataFrame, directed: bool = True, damping: float = 0.85, tol: float = 1e-10) -> DataFrame:
     """Weighted PageRank, summing to one.
 
     With uniform teleport the mass of dangling vertices only rescales the solution of
-    x = d P'x + 1/n, so no round needs a global sum; one division at the end does.  A round is one
-    join and one sum; sums per target combine before the shuffle, so a hub is no hot spot.
-    Several rounds make one job, whose result is stored, until the ranks move less than ``tol``.
+    x = d P'x + start, so no round needs their sum; one division at the end does.  A job computes
+    the residual of x and its next images under d P', and moves x by the combination of them that
+    leaves the smallest residual, which plain rounds can't beat.  It needs sums over the vertices
+    alone.  The edges are stored once, bucketed by source, and are never shuffled again; x is
+    stored after each job.  Jobs go on until the residual falls below ``tol``.
     """
+    spark = edges.sparkSession
     links = pairs(stored(edges.select("from_iso3", "to_iso3", VALUE), "links"), directed).where("w > 0")
     out_weight = links.groupBy("src").agg(F.sum("w").alias("out_w"))
-    moves = stored(links.join(out_weight, "src").select("src", "dst", (damping * F.col("w") / F.col("out_w")).alias("p")), "moves")
     vertices = stored(links.select(F.explode(F.array("src", "dst")).alias("iso3")).distinct(), "vertices")
-    start = vertices.withColumn("x", F.lit(1.0 / max(1, vertices.count())))
-    ranks = start
-    for _ in range(0, MAX_ROUNDS, rounds_per_job):
-        nxt = ranks
-        for _ in range(rounds_per_job):
-            flow = moves.join(nxt.withColumnRenamed("iso3", "src"), "src").select(
-                F.col("dst").alias("iso3"), (F.col("p") * F.col("x")).alias("x")
-            )
-            nxt = flow.unionByName(start).groupBy("iso3").agg(F.sum("x").alias("x"))
-        nxt = stored(nxt, "ranks")
-        moved = nxt.join(ranks.withColumnRenamed("x", "old"), "iso3").agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] or 0.0
-        ranks = nxt
-        if moved < tol:
-            return ranks.select("iso3", (F.col("x") / ranks.agg(F.sum("x")).scalar()).alias("pagerank"))
-    raise RuntimeError("PageRank did not settle")
+    share = 1.0 / max(1, vertices.count())
+    step = links.join(out_weight, "src").select("src", "dst", (damping * F.col("w") / F.col("out_w")).alias("p"))
+    moves, name = _bucketed(step.unionByName(vertices.select(F.col("iso3").alias("src"), F.col("iso3").alias("dst"), E.null_double().alias("p"))), "src")
+    try:
+        state = vertices.select("iso3", F.lit(share).alias("start"), F.lit(share / (1 - damping)).alias("x"))
+        for _ in range(0, MAX_ROUNDS, STEPS):
+            basis = stored(_krylov(moves, state), "ranks")
+            r = [F.col(f"r{k}") for k in range(STEPS + 1)]
+            d = [r[k] - r[k + 1] for k in range(STEPS)]  # what x + r_k takes from the residual
+            sums = basis.agg(
+                F.sum(F.abs(r[0])).alias("left"), F.sum("x").alias("mass"), F.array(*(F.sum(r[0] * y) for y in d)).alias("right"),
+                F.array(*(F.array(*(F.sum(x * y) for y in d)) for x in d)).alias("gram")).first()
+            mass = sums.mass or 1.0
+            if not sums.left:
+                return basis.select("iso3", (F.col("x") / F.lit(mass)).alias("pagerank"))
+            scale = 1 / np.sqrt(np.maximum(np.diag(np.array(sums.gram)), 1e-300))
+            best = scale * (np.linalg.pinv(np.array(sums.gram) * np.outer(scale, scale), rcond=1e-13, hermitian=True) @ (scale * np.array(sums.right)))
+            combined = lambda columns, first: sum((F.lit(float(c)) * x for c, x in zip(best, columns)), first)
+            state = basis.select("iso3", "start", combined(r, F.col("x")).alias("x"))
+            left = basis.agg(F.sum(F.abs(combined([-x for x in d], r[0])))).first()[0]
+            if left < tol * mass:
+                return state.select("iso3", (F.col("x") / state.agg(F.sum("x")).scalar()).alias("pagerank"))
+        raise RuntimeError("PageRank did not settle")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def components(edges: DataFrame) -> DataFrame:

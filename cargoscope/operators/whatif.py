@@ -693,18 +693,21 @@ def compare_parameters(scenarios: DataFrame, id_a: str, id_b: str) -> DataFrame:
 
 
 def compatibility(scenarios: DataFrame, id_a: str, id_b: str) -> DataFrame:
-    """Reasons two results may not be comparable."""
+    """Reasons two results may not be comparable; a scenario that is not there is one."""
     def pick(sid):
         return scenarios.where(F.col(SID) == sid).agg(F.struct(*[F.first(x).alias(x) for x in (*PERIOD, "universe_version", "engine_version")]).alias("s")).scalar()
 
     row = scenarios.where(F.col(SID).isin(id_a, id_b)).agg(F.count("*").alias("n")).withColumn("a", pick(id_a)).withColumn("b", pick(id_b))
+    known = {x: F.col(f"{x}.{PERIOD[0]}").isNotNull() for x in "ab"}  # every stored scenario has a period
+    both = known["a"] & known["b"]
 
     def differs(*names):
-        return ~E.all_of([F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names])
+        return both & ~E.all_of([F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names])
 
-    notes = F.array(F.when(differs("universe_version"), F.lit("universe differs")), F.when(differs(*PERIOD), F.lit("baseline period differs")),
+    notes = F.array(*(F.when(~known[x], F.lit(f"unknown scenario: {sid}")) for x, sid in (("a", id_a), ("b", id_b))),
+                    F.when(differs("universe_version"), F.lit("universe differs")), F.when(differs(*PERIOD), F.lit("baseline period differs")),
                     F.when(differs("engine_version"), F.lit("engine version differs")))
-    return row.select((F.col("n") == 2).alias("ok"), F.filter(notes, lambda x: x.isNotNull()).alias("warnings"))
+    return row.select(both.alias("ok"), F.filter(notes, lambda x: x.isNotNull()).alias("warnings"))
 
 
 # ---- all together -----------------------------------------------------------------

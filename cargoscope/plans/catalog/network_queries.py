@@ -68,9 +68,9 @@ CTE["x_ends"] = "SELECT DISTINCT iso3 FROM (SELECT from_iso3 AS iso3 FROM x_all
 
 
 @query("network_nodes", """
-SELECT e.iso3, r.display_name, CASE WHEN e.iso3 < 'NCA' THEN 'both' ELSE 'partner_only' END AS reporting_status,
+SELECT e.iso3, r.display_name, CASE WHEN e.iso3 < 'NCA' AND e.iso3 IN (SELECT partner_iso3 FROM cube) THEN 'both' WHEN e.iso3 < 'NCA' THEN 'represented_reporter' ELSE 'partner_only' END AS reporting_status,
        e.iso3 IN ('NAA', 'NBB') AS is_selected_reporter, false AS is_selected_partner, e.iso3 < 'NCA' AS represented_as_reporter,
-       true AS represented_as_partner, g.gdp AS gdp_current_usd, g.pop AS population_total
+       e.iso3 IN (SELECT partner_iso3 FROM cube) AS represented_as_partner, g.gdp AS gdp_current_usd, g.pop AS population_total
 FROM x_ends e JOIN economies r USING (iso3)
 LEFT JOIN (SELECT reporter_iso3 AS iso3, arg_max(reporter_gdp_current_usd, year) AS gdp, arg_max(reporter_population_total, year) AS pop
            FROM cube WHERE reporter_gdp_current_usd IS NOT NULL GROUP BY 1) g USING (iso3)
@@ -80,7 +80,7 @@ def _(s):
     return nw.nodes(edges(s), s.cube, ["NAA", "NBB"], [], represented)
 
 
-@query("network_nodes_completed", "SELECT iso3, true AS represented_as_partner FROM x_ends")
+@query("network_nodes_completed", "SELECT iso3, iso3 >= 'NCC' OR iso3 IN (SELECT partner_iso3 FROM cube) AS represented_as_partner FROM x_ends")
 def _(s):
     listed = nw.nodes(edges(s), s.cube).where("iso3 < 'NCC'")
     return nw.complete_nodes(edges(s), listed).select("iso3", "represented_as_partner")
@@ -216,7 +216,7 @@ def _(s):
 
 @query("network_enriched", """
 SELECT e.iso3, r.display_name, 'partner_only' AS reporting_status, false AS is_selected_reporter, false AS is_selected_partner, false AS represented_as_reporter,
-       true AS represented_as_partner, g.gdp AS gdp_current_usd, g.pop AS population_total, s.in_strength, s.out_strength, s.in_degree, s.out_degree, s.degree,
+       e.iso3 IN (SELECT partner_iso3 FROM cube) AS represented_as_partner, g.gdp AS gdp_current_usd, g.pop AS population_total, s.in_strength, s.out_strength, s.in_degree, s.out_degree, s.degree,
        ROUND(s.in_strength + s.out_strength, 2) AS total_strength, ROUND(p.x / (SELECT SUM(x) FROM x_pr WHERE i = 200), 7) AS pagerank,
        ROUND(b.betweenness, 9) AS betweenness, c.component_id, c.component_size, l.community,
        CAST(1 + (p.x > list_extract(q, 1))::INT + (p.x > list_extract(q, 2))::INT + (p.x > list_extract(q, 3))::INT AS INT) AS pagerank_quantile

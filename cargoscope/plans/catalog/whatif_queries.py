@@ -388,9 +388,16 @@ def _(s):
     return out.where(F.col("parameter").isin("shock_size_pct", "substitution_mode", "baseline_year_start"))
 
 
-@query("whatif_compatibility", "SELECT true AS ok, CASE WHEN a.y0 <> b.y0 OR a.y1 <> b.y1 THEN 'baseline period differs' ELSE '' END AS warnings FROM scn a, scn b WHERE a.scenario_id = 'loss of the supply of one trading economy: NAA' AND b.scenario_id = 'loss of the supply of one trading economy: NBE'")
+COMPARED = ("loss of the supply of one trading economy: NAA", "loss of the supply of one trading economy: NBE")
+
+
+@query("whatif_compatibility", f"""
+SELECT a IS NOT NULL AND b IS NOT NULL AS ok, concat_ws('; ', CASE WHEN a IS NULL THEN 'unknown scenario: {COMPARED[0]}' END, CASE WHEN b IS NULL THEN 'unknown scenario: {COMPARED[1]}' END,
+       CASE WHEN a <> b THEN 'baseline period differs' END) AS warnings
+FROM (SELECT MAX(CASE WHEN scenario_id = '{COMPARED[0]}' THEN concat(y0, '-', y1) END) AS a, MAX(CASE WHEN scenario_id = '{COMPARED[1]}' THEN concat(y0, '-', y1) END) AS b FROM scn)
+""")
 def _(s):
-    out = wi.compatibility(result(s).scenarios, "loss of the supply of one trading economy: NAA", "loss of the supply of one trading economy: NBE")
+    out = wi.compatibility(result(s).scenarios, *COMPARED)
     return out.select("ok", F.array_join("warnings", "; ").alias("warnings"))
 
 

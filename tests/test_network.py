@@ -131,3 +131,44 @@ def test_full_network(make_cube):
     assert (s.node_count, s.edge_count, s.weak_component_count) == (3, 3, 1)
     assert s.reciprocity == pytest.approx(2 / 3) and s.directed_density == pytest.approx(0.5)
     assert {r.pagerank_quantile for r in net.nodes.collect()} <= {1, 2, 3, 4}
+
+
+def test_pagerank_of_odd_graphs(spark):
+    """Loops, dangling ends, several components, a two-sided graph that swings, a long chain; both directions."""
+    names = [f"B{chr(65 + i // 26)}{chr(65 + i % 26)}" for i in range(40)]
+    chain = [(a, b, 5) for a, b in zip(names, names[1:])]
+    sides = [(a, b, 1 + i % 3) for i, (a, b) in enumerate(itertools.product(names[:5], names[5:9]))]
+    sides += [(b, a, w) for a, b, w in sides]
+    parts = random_graph(6, 12, 3) + sides + [("ZZA", "ZZB", 3), ("ZZA", "ZZA", 9), ("ZZB", "ZZA", 1)]
+    for triples in (chain, sides, parts, [("AAA", "AAA", 2)]):
+        for directed in (True, False):
+            both = triples if directed else triples + [(b, a, w) for a, b, w in triples]
+            got = {r.iso3: r.pagerank for r in nw.pagerank(graph(spark, triples), directed).collect()}
+            assert got == pytest.approx(brute_pagerank(both), abs=2e-9)
+    assert nw.pagerank(graph(spark, [])).collect() == []
+
+
+def test_pagerank_never_shuffles_the_edges(spark):
+    """Between the scan of the stored edges and the joins that use them stands no exchange."""
+    from pyspark.sql import functions as F
+
+    moves, name = nw._bucketed(spark.range(1000).selectExpr("concat('A', id % 97) as src", "concat('A', id % 89) as dst", "0.001 as p"), "src")
+    state = moves.select(F.col("src").alias("iso3")).distinct().selectExpr("iso3", "0.1 as start", "0.5 as x")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = nw._krylov(moves, state)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {name}")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    seen = 0
+    for i, line in enumerate(plan):
+        if "FileScan" in line and "dst" in line:
+            at, above = depth(line), []
+            for up in reversed(plan[:i]):  # its ancestors, up to the first join
+                if depth(up) < at and not any("Join" in x for x in above):
+                    at = depth(up)
+                    above.append(up)
+            assert "Join" in above[-1] and not any("Exchange" in x for x in above), above
+            seen += 1
+    assert seen == nw.STEPS + 1
