@@ -137,8 +137,8 @@ def _(s):
 
 
 @query("network_pagerank_quartile", """
-SELECT iso3, CAST(1 + (x > list_extract(q, 1))::INT + (x > list_extract(q, 2))::INT + (x > list_extract(q, 3))::INT AS INT) AS pagerank_quantile
-FROM x_pr, (SELECT quantile_cont(x, [0.25, 0.5, 0.75]) AS q FROM x_pr WHERE i = 200) WHERE i = 200
+SELECT iso3, CAST(1 + len(list_filter(q[2:len(q) - 1], lambda b: b < x)) AS INT) AS pagerank_quantile
+FROM x_pr, (SELECT list_sort(list_distinct(quantile_cont(x, [0, 0.25, 0.5, 0.75, 1]))) AS q FROM x_pr WHERE i = 200) WHERE i = 200
 """)
 def _(s):
     return nw.quartile(nw.pagerank(edges(s)), "pagerank").select("iso3", "pagerank_quantile")
@@ -207,8 +207,8 @@ def _(s):
 
 
 @query("network_strength_quartile", """
-SELECT iso3, CAST(1 + (v > list_extract(q, 1))::INT + (v > list_extract(q, 2))::INT + (v > list_extract(q, 3))::INT AS INT) AS out_strength_quantile
-FROM (SELECT iso3, out_strength AS v FROM x_strength), (SELECT quantile_cont(out_strength, [0.25, 0.5, 0.75]) AS q FROM x_strength)
+SELECT iso3, CAST(1 + len(list_filter(q[2:len(q) - 1], lambda b: b < v)) AS INT) AS out_strength_quantile
+FROM (SELECT iso3, out_strength AS v FROM x_strength), (SELECT list_sort(list_distinct(quantile_cont(out_strength, [0, 0.25, 0.5, 0.75, 1]))) AS q FROM x_strength)
 """)
 def _(s):
     return nw.quartile(nw.strength(edges(s)), "out_strength").select("iso3", "out_strength_quantile")
@@ -219,9 +219,9 @@ SELECT e.iso3, r.display_name, 'partner_only' AS reporting_status, false AS is_s
        e.iso3 IN (SELECT partner_iso3 FROM cube) AS represented_as_partner, g.gdp AS gdp_current_usd, g.pop AS population_total, s.in_strength, s.out_strength, s.in_degree, s.out_degree, s.degree,
        ROUND(s.in_strength + s.out_strength, 2) AS total_strength, ROUND(p.x / (SELECT SUM(x) FROM x_pr WHERE i = 200), 7) AS pagerank,
        ROUND(b.betweenness, 9) AS betweenness, c.component_id, c.component_size, l.community,
-       CAST(1 + (p.x > list_extract(q, 1))::INT + (p.x > list_extract(q, 2))::INT + (p.x > list_extract(q, 3))::INT AS INT) AS pagerank_quantile
+       CAST(1 + len(list_filter(q[2:len(q) - 1], lambda b: b < p.x)) AS INT) AS pagerank_quantile
 FROM x_ends e JOIN economies r USING (iso3) JOIN x_strength s USING (iso3) JOIN x_pr p ON p.iso3 = e.iso3 AND p.i = 200 JOIN bw b ON b.iso3 = e.iso3
-JOIN x_comp c ON c.iso3 = e.iso3 JOIN lp12 l ON l.iso3 = e.iso3, (SELECT quantile_cont(x, [0.25, 0.5, 0.75]) AS q FROM x_pr WHERE i = 200)
+JOIN x_comp c ON c.iso3 = e.iso3 JOIN lp12 l ON l.iso3 = e.iso3, (SELECT list_sort(list_distinct(quantile_cont(x, [0, 0.25, 0.5, 0.75, 1]))) AS q FROM x_pr WHERE i = 200)
 LEFT JOIN (SELECT reporter_iso3 AS iso3, arg_max(reporter_gdp_current_usd, year) AS gdp, arg_max(reporter_population_total, year) AS pop
            FROM cube WHERE reporter_gdp_current_usd IS NOT NULL GROUP BY 1) g ON g.iso3 = e.iso3
 """)
