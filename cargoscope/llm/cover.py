@@ -11,14 +11,16 @@ sample, ties to the smaller id.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cargoscope import session
-from cargoscope.llm import common
+from cargoscope.llm import common, integers
 
 SAMPLE = 1024  # vectors the tree is grown over, at most, per dimension
 LEAVES = 48  # of a tree, about
@@ -28,14 +30,6 @@ _NONE = np.iinfo(np.int64).min  # fills places without an id
 BLOCK = "dim int, leaf int, salt int, n int, radius double, ids binary, vectors binary"
 
 
-def whole(embedding: str | Column) -> Column:
-    """floor(256 * x) of every component; null for vectors with a component that is null, not finite
-    or of 2**22 and more."""
-    e = F.col(embedding) if isinstance(embedding, str) else embedding
-    fits = F.forall(e, lambda x: F.coalesce(F.abs(x.cast("double")) < 2**22, F.lit(False)))
-    return F.when(fits, F.transform(e, lambda x: F.floor(x.cast("double") * SCALE).cast("int")))
-
-
 class Tree:
     """Nested centres: each node has a parent one level up within twice the radius of its level."""
 
@@ -111,10 +105,47 @@ class Tree:
 def _best(product, size_q, radius_q, size_d, radius_d) -> float:
     """Largest inner product of points in two balls, with room for rounding."""
     bound = product + size_q * radius_d + size_d * radius_q + radius_q * radius_d
-    return bound + 1e-6 * (abs(bound) + 1)
+    return bound + 1e-9 * (size_q + radius_q) * (size_d + radius_d)
+
+
+class Scores:
+    """How scores are computed and carried: longs where all of them are exact in doubles, else
+    Python's whole numbers, as hex strings of one width that sort as the numbers do."""
+
+    def __init__(self, top: int, dims: list[int]):
+        most = max(dims, default=0)
+        self.exact = integers.is_exact(top, most)
+        self.unit = 1.0 if self.exact else float(max(top, 1))  # distances are taken in this unit, so no square leaves the doubles
+        self.width = len(f"{4 * max(most, 1) * max(top, 1) ** 2:x}")
+        self.kind = "long" if self.exact else "string"
+
+    def vectors(self, data: bytes, dim: int) -> np.ndarray:
+        return np.frombuffer(data, np.int32).reshape(-1, dim).astype(np.float64) if self.exact else integers.matrix(np.frombuffer(data).reshape(-1, dim), False)
+
+    def packed(self, vectors: np.ndarray) -> bytes:
+        return vectors.astype(np.int32).tobytes() if self.exact else vectors.tobytes()
 
+    def column(self, values: np.ndarray) -> pa.Array:
+        if self.exact:
+            return pa.array(values.astype(np.int64), pa.int64())
+        return pa.array([format(int(v) + (1 << 4 * self.width - 1), f"0{self.width}x") for v in values], pa.string())
 
-def _placed(trees: dict[int, Tree]):
+    def number(self, value) -> int:
+        return value if self.exact else int(value, 16) - (1 << 4 * self.width - 1)
+
+    def longs(self, found: DataFrame) -> DataFrame:
+        """Strings as longs; null where a score does not fit."""
+        if self.exact:
+            return found
+
+        def run(batches):
+            for rows in batches:
+                yield common.batch(query_id=rows.column(0), rank=rows.column(1), vec_id=rows.column(2), score=integers.long(np.array([self.number(v) for v in rows.column(3).to_pylist()], object)))
+
+        return common.map_arrow(found, run, "query_id long, rank int, vec_id long, score long")
+
+
+def _placed(trees: dict[int, Tree], unit: float):
     def run(batches):
         for rows in batches:
             lists = rows.column(0).to_pylist()
@@ -123,51 +154,52 @@ def _placed(trees: dict[int, Tree]):
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 if d in trees:
-                    leaf[at], far[at] = trees[d].place(np.array([lists[i] for i in at], np.float64).reshape(len(at), d))
+                    leaf[at], far[at] = trees[d].place(np.array([lists[i] for i in at], np.float64).reshape(len(at), d) / unit)
             yield common.batch(v=rows.column(0), ids=rows.column(1), dim=pa.array(dims, pa.int32()), leaf=pa.array(leaf, pa.int32()), far=pa.array(far))
     return run
 
 
-def _pack(key, table):
-    vectors = np.array(table.column("v").to_pylist(), np.int32)
-    lists = table.column("ids").to_pylist()
-    ids = np.full((len(vectors), max(map(len, lists))), _NONE, np.int64)
-    for i, x in enumerate(lists):
-        ids[i, :len(x)] = x
-    dim, leaf, salt = (k.as_py() for k in key)
-    return pa.table({"dim": pa.array([dim], pa.int32()), "leaf": pa.array([leaf], pa.int32()), "salt": pa.array([salt], pa.int32()), "n": pa.array([len(vectors)], pa.int32()),
-                     "radius": pa.array([max(table.column("far").to_pylist())]), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary())})
+def _pack(scores: Scores):
+    def run(key, table):
+        dim, leaf, salt = (k.as_py() for k in key)
+        vectors = np.array(table.column("v").to_pylist(), np.float64).reshape(table.num_rows, dim)
+        lists = table.column("ids").to_pylist()
+        ids = np.full((len(vectors), max(map(len, lists))), _NONE, np.int64)
+        for i, x in enumerate(lists):
+            ids[i, :len(x)] = x
+        return pa.table({"dim": pa.array([dim], pa.int32()), "leaf": pa.array([leaf], pa.int32()), "salt": pa.array([salt], pa.int32()), "n": pa.array([len(vectors)], pa.int32()),
+                         "radius": pa.array([max(table.column("far").to_pylist())]), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([scores.packed(vectors)], pa.binary())})
+    return run
 
 
-def _blocks(placed: DataFrame, size: int, label: str) -> DataFrame:
-    """One row per block of about ``size`` vectors of a leaf."""
+def _blocks(placed: DataFrame, size: int, scores: Scores, label: str) -> DataFrame:
+    """One row per block of about ``size`` vectors of a leaf; the blocks of a leaf go to many tasks."""
     counts = placed.groupBy("dim", "leaf").agg(F.count("*").alias("rows"))
     salted = placed.join(counts, ["dim", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("v"), F.ceil(F.col("rows") / size)).cast("int"))
-    return session.stored(salted.groupBy("dim", "leaf", "salt").applyInArrow(_pack, BLOCK), label)
+    return session.stored(salted.repartition("dim", "leaf", "salt").groupBy("dim", "leaf", "salt").applyInArrow(_pack(scores), BLOCK), label)
 
 
-def _scored(k: int):
+def _scored(k: int, scores: Scores):
     """Scores of block pairs: the k best ids for each query vector."""
 
     def run(batches):
         for rows in batches:
-            out_q, out_id, out_s = [], [], []
+            out_q, out_id, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64 if scores.exact else object)]
             for dim, nq, nd, q_ids, q, d_ids, d in zip(*(rows.column(c).to_pylist() for c in ("dim", "nq", "nd", "q_ids", "q_vectors", "d_ids", "d_vectors"))):
-                q, d = np.frombuffer(q, np.int32).reshape(nq, dim), np.frombuffer(d, np.int32).reshape(nd, dim)
                 qi, di = np.frombuffer(q_ids, np.int64).reshape(nq, -1)[:, 0], np.frombuffer(d_ids, np.int64).reshape(nd, -1)
-                exact = dim * float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) < 2**52
-                s = np.rint(q.astype(np.float64) @ d.T.astype(np.float64)).astype(np.int64) if exact else q.astype(np.int64) @ d.T.astype(np.int64)
+                s = scores.vectors(q, dim) @ scores.vectors(d, dim).T if dim else np.zeros((nq, nd))
                 for i in range(nq):
                     # All vectors that reach the kth distinct place, then all their ids.
                     take = np.arange(nd) if nd <= k else np.flatnonzero(s[i] >= np.partition(s[i], nd - k)[nd - k])
                     ids, value = di[take].ravel(), np.repeat(s[i][take], di.shape[1])
                     real = ids != _NONE
-                    order = np.lexsort((ids[real], -value[real]))[:k]
+                    ids, value = ids[real], value[real]
+                    order = np.argsort(ids, kind="stable")
+                    order = order[np.argsort(-value[order], kind="stable")][:k]
                     out_q.append(np.full(len(order), qi[i]))
-                    out_id.append(ids[real][order])
-                    out_s.append(value[real][order])
-            flat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-            yield common.batch(q=flat(out_q), vec_id=flat(out_id), score=flat(out_s))
+                    out_id.append(ids[order])
+                    out_s.append(value[order])
+            yield common.batch(q=pa.array(np.concatenate(out_q), pa.int64()), vec_id=pa.array(np.concatenate(out_id), pa.int64()), score=scores.column(np.concatenate(out_s)))
     return run
 
 
@@ -186,12 +218,13 @@ def _best_k(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, k: int = 5, step: int = 50) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` best other rows for every ``step``-th vec_id.
 
-    ``vectors`` needs vec_id and embedding.  Rows with a null id, or a vector that ``whole``
-    refuses, take no part; a repeated row counts once; vectors of unequal length do not meet.
-    Other columns are ignored, and an empty table gives no rows.
+    ``vectors`` needs vec_id and embedding.  Rows with a null id, or a vector that is null or holds a
+    component that is null or not finite, take no part; a repeated row counts once; vectors of
+    unequal length do not meet.  Components of any size are ranked exactly; a score that does not
+    fit a long is null.  Other columns are ignored, and an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole("embedding").alias("v")).where("vec_id is not null and v is not null").distinct()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers.whole("embedding", SCALE).alias("v")).where("vec_id is not null and v is not null").distinct()
     rows = session.stored(rows, "vectors")
     # Equal vectors are one entry with the ids that can be among the k best beside a query's own.
     own = Window.partitionBy("v").orderBy("vec_id")
@@ -202,36 +235,37 @@ def top_k(vectors: DataFrame, k: int = 5, step: int = 50) -> DataFrame:
     dims = [r[0] for r in rows.select(F.size("v").alias("d")).distinct().collect()]
     for d in dims:
         sample[d] = [r.v for r in rows.where(F.size("v") == d).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()]
-    trees = {d: Tree(np.array(x, np.float64).reshape(len(x), d)) for d, x in sample.items() if d}
-    shape = "v array<int>, ids array<long>, dim int, leaf int, far double"
-    data = _blocks(session.stored(common.map_arrow(classes, _placed(trees), shape), "placed"), ROWS, "data-blocks")
-    queries = _blocks(session.stored(common.map_arrow(keys.select("v", F.array("q").alias("ids")), _placed(trees), shape), "placed-queries"), QUERIES, "query-blocks")
-    at_data = data.groupBy("dim", "leaf").agg(F.max("radius").alias("r"), F.max("salt").alias("salts")).collect()  # a row per leaf
+    scores = Scores(integers.largest(rows, "v"), dims)
+    trees = {d: Tree(np.array(x, np.float64).reshape(len(x), d) / scores.unit) for d, x in sample.items() if d}
+    shape = "v array<double>, ids array<long>, dim int, leaf int, far double"
+    data = _blocks(session.stored(common.map_arrow(classes, _placed(trees, scores.unit), shape), "placed"), ROWS, scores, "data-blocks")
+    queries = _blocks(session.stored(common.map_arrow(keys.select("v", F.array("q").alias("ids")), _placed(trees, scores.unit), shape), "placed-queries"), QUERIES, scores, "query-blocks")
+    at_data = data.groupBy("dim", "leaf").agg(F.max("radius").alias("r")).collect()  # a row per leaf
     at_queries = queries.groupBy("dim", "leaf").agg(F.max("radius").alias("r")).collect()
-    seeds, radius_q, radius_d, salts = [], {}, {}, {}
+    seeds, radius_q, radius_d = [], {}, {}
     for r in at_data:
-        radius_d.setdefault(r.dim, {})[r.leaf], salts[r.dim, r.leaf] = r.r, r.salts
+        radius_d.setdefault(r.dim, {})[r.leaf] = r.r
     for r in at_queries:
         radius_q.setdefault(r.dim, {})[r.leaf] = r.r
         near = sorted(radius_d[r.dim], key=lambda d: -trees[r.dim].centres[trees[r.dim].leaves[r.leaf]] @ trees[r.dim].centres[trees[r.dim].leaves[d]] if r.dim else 0)
         seeds.extend((r.dim, r.leaf, d, 0) for d in [r.leaf] * (r.leaf in radius_d[r.dim]) + [d for d in near if d != r.leaf][:2])
-    pair_shape = "dim int, q_leaf int, leaf int, salt int"
-    first = common.map_arrow(_meet(queries, spark.createDataFrame(seeds, pair_shape), data), _scored(k + 1), "q long, vec_id long, score long")
+    found = f"q long, vec_id long, score {scores.kind}"
+    first = common.map_arrow(_meet(queries, spark.createDataFrame(seeds, "dim int, q_leaf int, leaf int, salt int"), data), _scored(k + 1, scores), found)
     kth = _best_k(first.distinct(), k + 1).groupBy("q").agg(F.when(F.count("*") > k, F.min("score")).alias("kth"))
     placed_q = queries.select("dim", "leaf", F.col("ids"))
     leaf_of = common.map_arrow(placed_q, _leaf_ids, "dim int, leaf int, q long")
     worst: dict[int, dict[int, float]] = {}
-    for r in leaf_of.join(kth, "q", "left").groupBy("dim", "leaf").agg(F.min(F.coalesce("kth", F.lit(-2**62))).alias("w")).collect():
-        worst.setdefault(r.dim, {})[r.leaf] = float(r.w)
-    left = []
-    for d in dims:
-        found = trees[d].pairs(radius_q.get(d, {}), radius_d[d], worst.get(d, {})) if d else [(0, 0)]
-        left.extend((d, q, x, s) for q, x in found for s in range(salts[d, x] + 1) if d in radius_q)
-    scored = common.map_arrow(_meet(queries, spark.createDataFrame(left, pair_shape), data), _scored(k + 1), "q long, vec_id long, score long")
+    for r in leaf_of.join(kth, "q", "left").groupBy("dim", "leaf").agg(F.min("kth").alias("w"), F.count_if(F.col("kth").isNull()).alias("open")).collect():
+        if not r.open:  # in units of the tree, rounded down
+            worst.setdefault(r.dim, {})[r.leaf] = float(r.w) if scores.exact else float(Fraction(scores.number(r.w)) / Fraction(scores.unit) ** 2) - 1e-12
+    # At most LEAVES * LEAVES pairs a length leave the driver; Spark finds the blocks of their leaves.
+    left = [(d, q, x) for d in dims if d in radius_q for q, x in (trees[d].pairs(radius_q[d], radius_d[d], worst.get(d, {})) if d else [(0, 0)])]
+    pairs = spark.createDataFrame(left, "dim int, q_leaf int, leaf int").join(data.select("dim", "leaf", "salt"), ["dim", "leaf"])
+    scored = common.map_arrow(_meet(queries, pairs, data), _scored(k + 1, scores), found)
     best = session.stored(_best_k(scored, k + 1).select("q", "vec_id", "score"), "best")
     mine = asked.select(F.col("vec_id").alias("query_id"), "v").join(keys, "v").select("query_id", "q").join(best, "q").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return mine.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scores.longs(mine.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
 def _leaf_ids(batches):

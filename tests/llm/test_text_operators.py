@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -142,6 +143,21 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert cover.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("big", [5e6, 1e30])
+def test_top_k_of_large_components(spark, monkeypatch, big):
+    """Exact whole numbers beyond the doubles: nothing is left out and ranks stay right."""
+    monkeypatch.setattr(cover, "ROWS", 20)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(3) * (big if i % 3 else 1.0)]) for i in range(150)] + [(150, [1.0, 0.0, 0.0]), (151, [big, 0.0, 0.0]), (152, [2.0, 0.0, 0.0])]
+    v = {i: [math.floor(256 * x) for x in e] for i, e in rows}
+    want = {}
+    for q in (0, 50, 100, 150):
+        found = sorted((-sum(a * b for a, b in zip(v[q], x)), i) for i, x in v.items() if i != q)[:5]
+        want.update({(q, n + 1): (i, -s if -2**63 <= -s < 2**63 else None) for n, (s, i) in enumerate(found)})
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in cover.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == want
+
+
 def test_tree_covers_and_prunes():
     rng = np.random.default_rng(6)
     points = np.concatenate([rng.standard_normal((200, 4)) * 0.1 + c for c in np.eye(4) * 20])
