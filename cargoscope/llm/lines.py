@@ -8,11 +8,12 @@ first place (least doc_id, then earliest line) stays.  Every other place is comp
 first byte by byte and grows over a few neighbouring lines as long as they too equal those around
 the first.  Everything is DataFrame functions; texts meet their spans in merge joins at any size.
 
-The boundaries depend on lines beside a passage, so short passages can hold no chunk.  With
-``every`` each line with a word also starts the shortest stretch of fifty words or more, and ends
-one.  A repeated passage of fifty words or more is covered by such stretches of its own lines, so
-its later places go whatever stands around them.  Lines without a word go within a stretch only.
-Stretches are told apart by 128 bits of hashes.
+The boundaries depend on lines beside a passage, so short passages can hold no chunk.  Therefore
+each line with a word also starts the shortest stretch of fifty words or more, and ends one.  A
+repeated passage of fifty words or more is covered by such stretches of its own lines, so its later
+places go whatever stands around them.  Stretches of one document that repeat lines of another at
+one distance form runs, and a run too goes only if its lines equal those of the first place byte by
+byte.  Lines without a word go within a stretch only.
 """
 
 from __future__ import annotations
@@ -81,19 +82,23 @@ def _stretches(docs: DataFrame) -> DataFrame:
         s["a"].alias("a"), s["b"].alias("b"), F.xxhash64(cut("h1", s)).alias("k1"), F.xxhash64(cut("h2", s)).alias("k2")))).alias("c")).select("key", "doc_id", "c.*")
 
 
-def long_repeats(docs: DataFrame) -> DataFrame:
-    """(key, gone): lines of passages of LONG words or more that an earlier place holds too.
+def _runs(docs: DataFrame) -> DataFrame:
+    """(key, a, b, key0, a0, b0): runs of lines whose stretches an earlier place, a0 to b0 of key0, seems to hold too.
 
     Lines that a later place shares with the first place of its own text stay.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_of = session.stored(_stretches(docs), "stretches")
     first = session.stored(all_of.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "key", "a")).alias("first")).where(
         "n > 1").select("k1", "k2", F.col("first.key").alias("key0"), F.col("first.a").alias("a0")), "first-stretches")
     later = all_of.join(first, ["k1", "k2"]).select(
-        "key", F.when(F.col("key") == F.col("key0"), F.greatest("a", F.col("a0") + F.col("b") - F.col("a") + 1)).otherwise(F.col("a")).alias("a"), "b").where("a <= b")
-    spans = later.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return spans.select("key", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"]))))).alias("gone"))
+        "key", "key0", (F.col("a") - F.col("a0")).alias("off"),
+        F.when(F.col("key") == F.col("key0"), F.greatest("a", F.col("a0") + F.col("b") - F.col("a") + 1)).otherwise(F.col("a")).alias("a"), "b").where("a <= b")
+    spans = later.groupBy("key", "key0", "off").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    lines = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"])))))
+    jumps = lambda step: F.filter("lines", lambda x, i: F.coalesce(F.get("lines", i + step), F.lit(-2)) != x + step)
+    run = F.explode(F.arrays_zip(jumps(-1).alias("a"), jumps(1).alias("b")))
+    return spans.select("key", "key0", "off", lines.alias("lines")).select("key", "key0", "off", run.alias("r")).select(
+        "key", "r.a", "r.b", "key0", (F.col("r.a") - F.col("off")).alias("a0"), (F.col("r.b") - F.col("off")).alias("b0"))
 
 
 def _common(left: str, right: str) -> Column:
@@ -110,31 +115,35 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = chunks.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "key", "a")).alias("first")).where("n > 1")
     places = session.stored(chunks.join(first, ["k1", "k2"]).select(
         "key", "a", "b", "k1", "k2", ((F.col("first.key") == F.col("key")) & (F.col("first.a") == F.col("a"))).alias("stays")), "repeated-chunks")
-    spans = places.groupBy("key").agg(F.collect_set(F.struct("a", "b", "k1", "k2", "stays")).alias("spans"))
+    runs = session.stored(_runs(docs), "runs")
+    # Every text is cut once: for its chunks, its runs, and the runs it is the first place of.
+    plain = [F.lit(None).cast(t).alias(c) for c, t in (("k1", "long"), ("k2", "int"), ("stays", "boolean"))]
+    asked = places.unionByName(runs.select("key", "a", "b", *plain)).unionByName(runs.select(F.col("key0").alias("key"), F.col("a0").alias("a"), F.col("b0").alias("b"), *plain))
+    spans = asked.groupBy("key").agg(F.collect_set(F.struct("a", "b", "k1", "k2", "stays")).alias("spans"))
     texts = docs.select(_key().alias("key"), "text").join(spans.hint("merge"), "key").dropDuplicates(["key"]).select("key", _lines().alias("lines"), F.explode("spans").alias("s"))
     cut = lambda low, high: F.slice("lines", low + 1, high - low + 1)
+    chunk = F.col("s.k1").isNotNull()
     parts = session.stored(texts.select(
-        "key", "s.*", cut(F.col("s.a"), F.col("s.b")).alias("own"), F.reverse(cut(F.greatest(F.col("s.a") - REACH, F.lit(0)), F.col("s.a") - 1)).alias("before"),
-        cut(F.col("s.b") + 1, F.col("s.b") + REACH).alias("after")), "passages")
+        "key", "s.*", cut(F.col("s.a"), F.col("s.b")).alias("own"), F.when(chunk, F.reverse(cut(F.greatest(F.col("s.a") - REACH, F.lit(0)), F.col("s.a") - 1))).alias("before"),
+        F.when(chunk, cut(F.col("s.b") + 1, F.col("s.b") + REACH)).alias("after")), "passages")
     kept = parts.where("stays").select("k1", "k2", *(F.col(c).alias(f"{c}0") for c in ("own", "before", "after")))
     same = parts.where("not stays").join(kept, ["k1", "k2"]).where("own = own0").select(
         "key", F.sequence(F.col("a") - _common("before", "before0"), F.col("b") + _common("after", "after0")).alias("gone"))
-    return same.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    cuts = parts.where("k1 is null").select("key", "a", "b", "own")
+    first_cuts = cuts.select(*(F.col(c).alias(f"{c}0") for c in cuts.columns))
+    equal = runs.join(cuts, ["key", "a", "b"]).join(first_cuts, ["key0", "a0", "b0"]).where("own = own0").select("key", F.sequence("a", "b").alias("gone"))
+    return same.unionByName(equal).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def drop_repeats(docs: DataFrame, every: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and ``n_lines``, ``n_removed``.
 
-    With ``every``, every later place of a passage of LONG words or more goes, wherever its lines stand.
-
+    Every later place of a passage of LONG words or more goes, wherever its lines stand.
     All rows and other columns stay; a text may become empty.  A null text stays null and has no
     line; an empty one has one line.  Rows equal in doc_id and text are one document; rows with a
     null doc_id come last in the order of places.  Columns of the names given are replaced.
     """
-    found = repeats(docs)
-    if every:
-        found = found.unionByName(long_repeats(docs)).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    gone = session.stored(found, "gone").withColumnsRenamed({"key": "_repeats_key", "gone": "_repeats_gone"}).hint("merge")
+    gone = session.stored(repeats(docs), "gone").withColumnsRenamed({"key": "_repeats_key", "gone": "_repeats_gone"}).hint("merge")
     own = docs.drop("n_lines", "n_removed")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
     joined = own.withColumn("_own_key", key).join(gone, F.col("_own_key") == F.col("_repeats_key"), "left").withColumn(
@@ -145,6 +154,6 @@ def drop_repeats(docs: DataFrame, every: bool = False) -> DataFrame:
 
 
 def without_emptied(docs: DataFrame) -> DataFrame:
-    """``docs`` after ``drop_repeats`` with ``every``, less the documents of which no word is left."""
-    done = drop_repeats(docs, every=True).where(F.col("n_removed").eqNullSafe(0) | F.col("text").rlike(r"\S"))
+    """``docs`` after ``drop_repeats``, less the documents of which no word is left."""
+    done = drop_repeats(docs).where(F.col("n_removed").eqNullSafe(0) | F.col("text").rlike(r"\S"))
     return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done.select(*docs.columns)

@@ -18,7 +18,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
-OP6 = """
+OP6 = r"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 h AS (SELECT doc_id, l, list_transform(l, lambda s: CAST('0x' || substr(md5(s), 1, 7) AS BIGINT)) AS h,
       list_transform(l, lambda s: length(s) - length(replace(s, ' ', '')) >= 49) AS g FROM d),
@@ -33,7 +33,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY doc_id, a) AS nth,
       first_value(aft) OVER (PARTITION BY own ORDER BY doc_id, a) AS aft0 FROM o),
 x AS (SELECT doc_id, a - list_min(list_filter(range(0, least(len(bef), len(bef0)) + 1), lambda i: i = least(len(bef), len(bef0)) OR bef[i + 1] <> bef0[i + 1])) AS lo,
       b + list_min(list_filter(range(0, least(len(aft), len(aft0)) + 1), lambda i: i = least(len(aft), len(aft0)) OR aft[i + 1] <> aft0[i + 1])) AS hi FROM r WHERE nth > 1),
-z AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(lo, hi + 1)) AS i FROM x) GROUP BY 1)
+n AS (SELECT doc_id, i, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (
+      SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(list_transform(l, lambda s: len(regexp_extract_all(s, '[^ \t\x0B\f\r]+')))) AS n FROM d) WHERE n > 0),
+p AS (SELECT f.doc_id, f.i AS a, min(t.i) AS b FROM n f JOIN n t ON t.doc_id = f.doc_id AND t.i >= f.i AND t.upto - f.upto + f.n >= 50 GROUP BY 1, 2
+      UNION SELECT t.doc_id, max(f.i), t.i FROM n f JOIN n t ON t.doc_id = f.doc_id AND t.i >= f.i AND t.upto - f.upto + f.n >= 50 GROUP BY 1, 3),
+q AS (SELECT *, first_value(doc_id) OVER own AS doc0, first_value(a) OVER own AS a0 FROM (SELECT p.*, l[a:b] AS own FROM p JOIN d USING (doc_id)) WINDOW own AS (PARTITION BY own ORDER BY doc_id, a)),
+y AS (SELECT doc_id, CASE WHEN doc_id = doc0 THEN greatest(a, a0 + b - a + 1) ELSE a END AS lo, b AS hi FROM q),
+z AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(lo, hi + 1)) AS i FROM (SELECT * FROM x UNION ALL SELECT * FROM y WHERE lo <= hi)) GROUP BY 1)
 SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(l) END AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
        CASE WHEN gone IS NULL THEN sha256(text) ELSE sha256(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(gone, i)), lambda i: l[i]), chr(10))) END AS text_sha256
 FROM d LEFT JOIN z USING (doc_id)
