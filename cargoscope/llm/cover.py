@@ -226,18 +226,20 @@ def top_k(vectors: DataFrame, k: int = 5, step: int = 50) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers.whole("embedding", SCALE).alias("v")).where("vec_id is not null and v is not null").distinct()
     rows = session.stored(rows, "vectors")
+    dims = [r[0] for r in rows.select(F.size("v").alias("d")).distinct().collect()]
+    scores = Scores(integers.largest(rows, "v"), dims)
+    number = "int" if scores.exact else "double"
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{number}>"))
     # Equal vectors are one entry with the ids that can be among the k best beside a query's own.
     own = Window.partitionBy("v").orderBy("vec_id")
     classes = rows.withColumn("place", F.row_number().over(own)).where(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     asked = rows.where(F.pmod("vec_id", F.lit(step)) == 0)
     keys = asked.groupBy("v").agg(F.min("vec_id").alias("q"))
     sample: dict[int, list] = {}
-    dims = [r[0] for r in rows.select(F.size("v").alias("d")).distinct().collect()]
     for d in dims:
         sample[d] = [r.v for r in rows.where(F.size("v") == d).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()]
-    scores = Scores(integers.largest(rows, "v"), dims)
     trees = {d: Tree(np.array(x, np.float64).reshape(len(x), d) / scores.unit) for d, x in sample.items() if d}
-    shape = "v array<double>, ids array<long>, dim int, leaf int, far double"
+    shape = f"v array<{number}>, ids array<long>, dim int, leaf int, far double"
     data = _blocks(session.stored(common.map_arrow(classes, _placed(trees, scores.unit), shape), "placed"), ROWS, scores, "data-blocks")
     queries = _blocks(session.stored(common.map_arrow(keys.select("v", F.array("q").alias("ids")), _placed(trees, scores.unit), shape), "placed-queries"), QUERIES, scores, "query-blocks")
     at_data = data.groupBy("dim", "leaf").agg(F.max("radius").alias("r")).collect()  # a row per leaf
