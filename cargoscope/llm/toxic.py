@@ -4,13 +4,13 @@ A token's input is the vector of its word and the mean of the vectors of its cha
 byte) trigrams, so unseen forms of a stem still score.  Two gated recurrent passes read a window
 of words in both directions, attention weighs their states, and one unit turns the result into a
 logit.  A text is cut into windows that overlap by half, all of which are scored; the largest
-logit, put on a probability scale, is the text's score.  Everything is numpy: training on a
-bounded sample of labelled texts on the driver, scoring in Arrow batches.
+logit, put on a probability scale, is the text's score.  Everything is numpy: steps of training
+on the driver, over a bounded number of labelled texts that Spark reads whole; scoring in Arrow
+batches.
 """
 
 from __future__ import annotations
 
-
 import uuid
 
 import numpy as np
@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cargoscope import session
 from cargoscope.llm import common
 
 WINDOW, STRIDE = 32, 16  # words of a window, and from one window to the next
 WORD_DIM = CHAR_DIM = HIDDEN = 8
 BUCKETS = 1 << 13  # of character trigrams
 TRAIN_DOCS = 4000  # labelled texts to learn from, at most
-TRAIN_WINDOWS = 48  # windows of each of them, evenly spaced, at most
-CLEAN_WINDOWS = 8  # of those, windows of a text without label 1 that enter the loss
+TOXIC_WINDOWS = 48  # windows of a toxic text that the second pass trains on, at most: those that score highest of all its windows
+CLEAN_WINDOWS = 8  # windows of a text without label 1 that enter the loss: drawn from all of them, then also the highest of all
 EPOCHS = (2, 4)  # with every toxic text's windows, and with those found toxic
 BATCH, STEPS = 512, (80, 160)  # windows of a step at most, and steps of either kind at least
 DROP = 0.3  # share of words that show only their characters in a step
@@ -216,63 +217,16 @@ class Trainer:
         self._update("char", _sum_rows(np.repeat(d_inputs[:, WORD_DIM:] / counts[:, None], counts, 0), place, len(rows)), rate, rows)
 
 
-def fit(texts: list[list[list[str]]], labels: list[int], seed: int = 7) -> Network:
-    """Train on windows per text.  Windows take their text's label first; then only those of the
-    texts with label 1 that the network itself finds toxic keep it.  Every fifth text stays aside
-    to put the largest logit of a text on a probability scale.  One class alone gives a constant
-    score."""
-    labels = np.array(labels, np.float32)
-    df: dict[str, int] = {}
-    for windows in texts:
-        for w in {w for words in windows for w in words}:
-            df[w] = df.get(w, 0) + 1
-    net = Network({w: i + 1 for i, w in enumerate(sorted(w for w, n in df.items() if n >= MIN_DOCS))}, seed)
-    if not len(labels) or labels.min() == labels.max():
-        net.scale, net.shift = 0.0, 30.0 if len(labels) and labels[0] else -30.0
-        return net
-    trainer, rng = Trainer(net, seed), np.random.default_rng(seed)
-    aside = np.arange(len(labels)) % 5 == 0  # for the probability scale only
-    if len(set(labels[aside])) == len(set(labels[~aside])) == 2:
-        (texts, test), (labels, truth) = _split(texts, aside), (labels[~aside], labels[aside])
-    else:
-        test, truth = texts, labels
-    every = [w for x in texts for w in x]
-    toxic = np.repeat(labels > 0, [len(x) for x in texts])
-    place = np.concatenate([rng.permutation(len(x)) for x in texts])  # a random order within each text
-    chosen = toxic | (place < CLEAN_WINDOWS)
-    for stage, epochs in enumerate(EPOCHS):
-        if stage:  # of each toxic text its windows above one half or the best, of a clean one also the worst
-            value = logits(net, every)
-            best = _ranks(value, [len(x) for x in texts])
-            chosen = np.where(toxic, (value > 0) | (best == 0), (place < CLEAN_WINDOWS // 2) | (best < CLEAN_WINDOWS // 2))
-        at = np.flatnonzero(chosen)
-        target = toxic[at].astype(np.float32)
-        weight = np.where(target > 0, (target == 0).sum() / max(target.sum(), 1), 1).astype(np.float32)
-        size = int(np.clip(len(at) // 40, 32, BATCH))
-        epochs = max(epochs, -(-STEPS[stage] * size // len(at)))
-        for epoch in range(epochs):
-            order = rng.permutation(len(at))
-            for i in range(0, len(order), size):
-                o = order[i:i + size]
-                trainer.step([every[k] for k in at[o]], target[o], weight[o], 0.02 if not stage else 0.01 * (1 - epoch / epochs))
-    value = logits(net, [w for x in test for w in x])
-    ends = np.cumsum([len(x) for x in test])
-    best = np.array([value[e - len(x):e].max() if x else np.nan for x, e in zip(test, ends)])
-    net.scale, net.shift = _calibrated(best[np.isfinite(best)], truth[np.isfinite(best)])
-    return net
-
-
-def _split(texts: list, aside: np.ndarray) -> tuple[list, list]:
-    return [x for x, a in zip(texts, aside) if not a], [x for x, a in zip(texts, aside) if a]
-
-
-def _ranks(value: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Place of each value within its text, the largest first."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((-value, owner))
-    out = np.empty(len(value), np.int64)
-    out[order] = np.arange(len(value)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return out
+def _epochs(trainer: Trainer, rng, windows: list[list[str]], target: np.ndarray, stage: int) -> None:
+    """Steps over windows; both labels weigh the same."""
+    weight = np.where(target > 0, (target == 0).sum() / max(target.sum(), 1), 1).astype(np.float32)
+    size = int(np.clip(len(windows) // 40, 32, BATCH))
+    epochs = max(EPOCHS[stage], -(-STEPS[stage] * size // max(len(windows), 1)))
+    for epoch in range(epochs if windows else 0):
+        order = rng.permutation(len(windows))
+        for i in range(0, len(order), size):
+            o = order[i:i + size]
+            trainer.step([windows[k] for k in o], target[o], weight[o], 0.02 if not stage else 0.01 * (1 - epoch / epochs))
 
 
 def _calibrated(value: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -311,6 +265,12 @@ class Scorer:
         self.gates = np.empty((2, 1 << 14, 3 * HIDDEN), np.float32)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        best = self.best(texts)
+        known = np.isfinite(best)
+        return np.where(known, _sigmoid(self.net.scale * np.where(known, best, 0.0) + self.net.shift), 0.0)
+
+    def best(self, texts: list[str | None]) -> np.ndarray:
+        """The largest logit of all windows of each text; -inf for a text without a word."""
         if len(self.number) > REMEMBERED:
             self._forget()
         number = self.number
@@ -340,7 +300,7 @@ class Scorer:
             at, owner = np.concatenate(at), np.concatenate(owner)
             for i in range(0, len(at), 4096):
                 np.maximum.at(best, owner[i:i + 4096], self.net.forward(self.gates, at[i:i + 4096]))
-        return np.where(np.isfinite(best), _sigmoid(self.net.scale * best + self.net.shift), 0.0)
+        return best
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -348,29 +308,104 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _windows(batches):
+def _drawn(doc_id: int, n: int, k: int) -> list[int]:
+    """``k`` of ``n`` windows, drawn by the document's id."""
+    return np.random.default_rng(abs(doc_id)).permutation(n)[:k].tolist()
+
+
+def _window_words(text: str) -> list[list[str]]:
+    words = tokens(text)
+    return [words[s:s + WINDOW] for s in window_starts(len(words))]
+
+
+def _first_windows(batches):
+    """Every window of a toxic text, and some of a clean one."""
+    for rows in batches:
+        ids, labels = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+        for doc_id, label, text in zip(ids, labels, rows.column(2)):
+            every = _window_words(text.as_py())
+            yield _window_rows(doc_id, label, every if label else [every[i] for i in _drawn(doc_id, len(every), CLEAN_WINDOWS)])
+
+
+def _second_windows(shared):
+    """By the scores of all windows: the highest of a toxic text above one half, or its best one;
+    of a clean one the highest, next to some drawn from all."""
+
+    def run(batches):
+        net = shared.value
+        for rows in batches:
+            ids, labels = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+            for doc_id, label, text in zip(ids, labels, rows.column(2)):
+                every = _window_words(text.as_py())
+                value = logits(net, every)
+                order = np.argsort(-value, kind="stable")
+                if label:
+                    at = order[:max(1, min(TOXIC_WINDOWS, int((value > 0).sum())))].tolist()
+                else:
+                    at = sorted({*_drawn(doc_id, len(every), CLEAN_WINDOWS // 2), *order[:CLEAN_WINDOWS // 2].tolist()})
+                yield _window_rows(doc_id, label, [every[i] for i in at])
+    return run
+
+
+def _window_rows(doc_id: int, label: int, windows: list[list[str]]) -> pa.RecordBatch:
+    n = len(windows)
+    return common.batch(doc_id=pa.array([doc_id] * n, pa.int64()), toxic=pa.array([label] * n, pa.int32()), words=pa.array([" ".join(w) for w in windows], pa.string()))
+
+
+def _distinct_words(batches):
     for rows in batches:
-        out = []
-        for text in rows.column(2).to_pylist():
-            words = tokens(text)
-            starts = window_starts(len(words))
-            if len(starts) > TRAIN_WINDOWS:
-                starts = [starts[int(i)] for i in np.linspace(0, len(starts) - 1, TRAIN_WINDOWS)]
-            out.append([" ".join(words[s:s + WINDOW]) for s in starts])
-        yield common.batch(doc_id=rows.column(0), toxic=rows.column(1), windows=pa.array(out, pa.list_(pa.string())))
+        for text in rows.column(2):
+            yield common.batch(word=pa.array(list(set(tokens(text.as_py()))), pa.string()))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Network:
-    """Fit on at most TRAIN_DOCS labelled documents that are not held out, chosen by a hash of the id.
+def _best_logits(shared):
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for rows in batches:
+            for label, text in zip(rows.column(1), rows.column(2)):
+                yield common.batch(toxic=pa.array([label.as_py()], pa.int32()), best=pa.array(scorer.best([text.as_py()]), pa.float64()))
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = 7) -> Network:
+    """Fit on at most ``train_docs`` labelled documents that are not held out, chosen by a hash of the id.
 
-    Several labels of a document count as their largest; null labels and null ids as none.
+    The texts are read whole.  Windows take their text's label first; then every window of every
+    text is scored by the network so far, and only those of a toxic text that it finds toxic keep
+    the label.  A fifth of the texts stays aside, to put the largest logit over all windows of a
+    text on a probability scale.  Several labels of a document count as their largest; null labels
+    and null ids as none.  One class alone gives a constant score.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    chosen = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", F.col("toxic").cast("int"), "text")
-    rows = common.map_arrow(texts, _windows, "doc_id long, toxic int, windows array<string>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.windows))
-    return fit([[w.split(" ") for w in r.windows] for r in rows], [int(r.toxic > 0) for r in rows])
+    spark = docs.sparkSession
+    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    n = known.agg(F.approx_count_distinct("doc_id")).first()[0]
+    # A hash leaves about twice as many as are asked for, so that few rows are sorted at any size.
+    some = known.where(~held_out() & common.hash_share("doc_id", 3 * train_docs / max(n, 1)))
+    chosen = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    sample = session.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(chosen, "doc_id").select(
+        "doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), "text", (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5)) == 0).alias("aside")), "sample")
+    sizes = {(r.aside, r.toxic): r["count"] for r in sample.groupBy("aside", "toxic").count().collect()}
+    classes = {toxic for _, toxic in sizes}
+    if len(classes) < 2:
+        net = Network({}, seed)
+        net.scale, net.shift = 0.0, 30.0 if classes == {1} else -30.0
+        return net
+    split = len(sizes) == 4
+    rows = (sample.where("not aside") if split else sample).select("doc_id", "toxic", "text")
+    test = (sample.where("aside") if split else sample).select("doc_id", "toxic", "text")
+    common_words = common.map_arrow(rows, _distinct_words, "word string").groupBy("word").count().where(F.col("count") >= MIN_DOCS).collect()
+    net = Network({w: i + 1 for i, w in enumerate(sorted(r.word for r in common_words))}, seed)
+    trainer, rng = Trainer(net, seed), np.random.default_rng(seed)
+    shape = "doc_id long, toxic int, words string"
+    for stage in range(len(EPOCHS)):
+        picked = common.map_arrow(rows, _second_windows(spark.sparkContext.broadcast(net)) if stage else _first_windows, shape).collect()
+        picked.sort()
+        _epochs(trainer, rng, [r.words.split(" ") for r in picked], np.array([r.toxic for r in picked], np.float32), stage)
+        net.name = uuid.uuid4().hex
+    best = common.map_arrow(test, _best_logits(spark.sparkContext.broadcast(net)), "toxic int, best double").where("best > double('-inf')").collect()
+    best.sort()
+    net.scale, net.shift = _calibrated(np.array([r.best for r in best]), np.array([r.toxic for r in best], np.float64))
+    return net
 
 
 def _scored(batches, net: Network, text: int):

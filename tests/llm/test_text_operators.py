@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from cargoscope.llm import aliases, chat, cover, graph, lines, minhash, packing, phrases, pieces, toxic
@@ -473,8 +474,29 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxic.Scorer(net).scores([late])[0] > toxic.Scorer(net).scores([" ".join(["alpha1"] * 2000)])[0]
 
 
+def test_toxicity_reads_every_window():
+    """The first pass takes every window of a toxic text, the second the highest of all windows of any."""
+    r = random.Random(4)
+    text = " ".join(f"w{r.randrange(400)}" for _ in range(3000)) + " snarl"
+    rows = lambda label: [pa.RecordBatch.from_pylist([{"doc_id": 3, "toxic": label, "text": text}])]
+    picked = lambda fn, label: [x["words"] for b in fn(rows(label)) for x in b.to_pylist()]
+    every = [" ".join(w) for w in toxic._window_words(text)]
+    assert len(every) > 180 and picked(toxic._first_windows, 1) == every and len(picked(toxic._first_windows, 0)) == toxic.CLEAN_WINDOWS
+    net = toxic.Network({f"w{i}": i + 1 for i in range(400)})
+    value = toxic.logits(net, toxic._window_words(text))
+    ranked = [every[i] for i in np.argsort(-value, kind="stable")]
+    second = toxic._second_windows(type("Shared", (), {"value": net}))
+    n = max(1, min(toxic.TOXIC_WINDOWS, int((value > 0).sum())))
+    assert picked(second, 1) == ranked[:n] and set(ranked[:toxic.CLEAN_WINDOWS // 2]) <= set(picked(second, 0))
+
+
 def test_toxicity_single_class_and_gradient(spark):
-    assert toxic.Scorer(toxic.fit([], [])).scores(["a b", None]).tolist() == pytest.approx([0, 0], abs=1e-9)
+    table = docs(spark, ["a b", "c d", " "])
+    none = toxic.train(table, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxic.Scorer(none).scores(["a b", None]).tolist() == pytest.approx([0, 0], abs=1e-9)
+    one = toxic.train(table, table.selectExpr("doc_id", "1 as toxic"))
+    assert toxic.Scorer(one).scores(["a b", "", " "]).tolist() == pytest.approx([1, 0, 0], abs=1e-9)
+    assert toxic.score(table.limit(0), none).collect() == []
     net = toxic.Network({"a": 1, "b": 2})
     windows = [["a", "b", "c"], ["b"]]
     words, at = toxic._batches(windows)
