@@ -31,8 +31,8 @@ EPOCHS = (2, 4)  # with every toxic text's windows, and with those found toxic
 BATCH, STEPS = 512, (80, 160)  # windows of a step at most, and steps of either kind at least
 DROP = 0.3  # share of words that show only their characters in a step
 MIN_DOCS = 3  # training texts a word must occur in to have a vector of its own
-REMEMBERED = 120_000  # words a worker remembers
-PART = 1 << 21  # characters handled at a time
+REMEMBERED = 80_000  # words a worker remembers
+PART = 1 << 20  # characters handled at a time
 _STRIP = ".,;:!?\"'()[]{}*%#$&|-"
 
 
