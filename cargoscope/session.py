@@ -31,9 +31,17 @@ def build_session(app: str = "cargoscope", master: str | None = None, **conf) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach: ``spark.checkpoint.dir``, else beside the warehouse's tables."""
+    """Folder that every executor can reach: ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process may it be unset; then it lies beside the
+    warehouse's tables.  A cluster without it is an error, not a folder of one machine.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -41,9 +42,9 @@ def _rename(fs, source, target) -> None:
         raise OSError(f"cannot rename {source} to {target}")
 
 
-def _add_partitions(df: DataFrame, path: str, column: str, kind: str = "parquet") -> None:
+def _add_partitions(df: DataFrame, path: str, *columns: str, kind: str = "parquet") -> None:
     """Write the partitions of ``df``; those of other values stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).format(kind).save(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).format(kind).save(path)
 
 
 def write_csv(df: DataFrame, path: str, drop_location_values: bool = False) -> list[str]:
@@ -76,10 +77,16 @@ RESULT_TABLES = {
 
 def write_whatif(result, folder: str) -> DataFrame:
     """Result tables, definitions and a manifest row, partitioned by scenario; scenarios stored
-    by earlier runs stay."""
+    by earlier runs stay.
+
+    Every row of a result carries its run, and readers take the run that the manifest of its
+    scenario names.  The manifest is written last, so a failed job changes nothing, and a table to
+    which a scenario run again adds no row shows none of its earlier ones.
+    """
+    run = uuid.uuid4().hex
     for name, attr in RESULT_TABLES.items():
-        _add_partitions(getattr(result, attr), f"{folder}/{name}", "scenario_id")
-    _add_partitions(result.scenarios, f"{folder}/scenario_definition", "scenario_id", "json")
+        _add_partitions(getattr(result, attr).withColumn("run_id", F.lit(run)), f"{folder}/{name}", "scenario_id", "run_id")
+    _add_partitions(result.scenarios, f"{folder}/scenario_definition", "scenario_id", kind="json")
     sums = result.edges.groupBy("scenario_id").agg(
         F.count("*").alias("n_edge_impacts"), F.sum("residual_unmet_value_usd").alias("residual_unmet_value_usd"),
         F.sum("direct_disrupted_value_usd").alias("direct_disrupted_value_usd"), F.sum("substitution_allocated_usd").alias("substitution_allocated_value_usd"))
@@ -90,14 +97,14 @@ def write_whatif(result, folder: str) -> DataFrame:
     manifest = (
         result.scenarios.select("scenario_id", "scenario_name", "scenario_hash", "engine_version", "universe_version", "created_at")
         .join(sums, "scenario_id", "left").join(paths, "scenario_id", "left").join(ok, "scenario_id", "left")
-        .withColumn("n_paths", F.coalesce("n_paths", F.lit(0))).withColumn("result_hash", digest))
-    _add_partitions(manifest, f"{folder}/scenario_manifest", "scenario_id", "json")
+        .withColumn("n_paths", F.coalesce("n_paths", F.lit(0))).withColumn("result_hash", digest).withColumn("run_id", F.lit(run)))
+    _add_partitions(manifest, f"{folder}/scenario_manifest", "scenario_id", kind="json")
     return manifest
 
 
 MANIFEST = ("scenario_id string, scenario_name string, scenario_hash string, engine_version string, universe_version string, created_at string, "
             "n_edge_impacts bigint, residual_unmet_value_usd double, direct_disrupted_value_usd double, substitution_allocated_value_usd double, "
-            "n_paths bigint, reconciliation_ok boolean, result_hash string, _corrupt_record string")
+            "n_paths bigint, reconciliation_ok boolean, result_hash string, run_id string, _corrupt_record string")
 DEFINITION = ("scenario_id string, baseline_year_start int, baseline_year_end int, shock_size_pct double, substitution_mode string, "
               "propagation_mode string, target_supplier_iso3 array<string>, target_hs_codes array<string>")
 
@@ -119,14 +126,18 @@ def scenario_history(spark: SparkSession, folders) -> DataFrame:
 
 
 def load_result(spark: SparkSession, folder: str, scenario_id: str) -> dict[str, DataFrame]:
-    """One scenario's stored tables; the scenario is a partition, so only its files are read.
+    """One scenario's stored tables; scenario and run are partitions, so only the files of the run
+    that its manifest names are read.
 
-    A table without a row in any scenario has no files and is left out.
+    A table without a row in any scenario has no files and is left out, and so are all of a
+    scenario that is not stored.
     """
+    manifest = spark.read.schema(MANIFEST).json(f"{folder}/scenario_manifest").where(F.col("scenario_id") == scenario_id)
+    known = manifest.select("run_id").first()
     found = {}
-    for name in RESULT_TABLES:
+    for name in RESULT_TABLES if known else ():
         try:
-            found[name] = spark.read.parquet(f"{folder}/{name}").where(F.col("scenario_id") == scenario_id)
+            found[name] = spark.read.parquet(f"{folder}/{name}").where((F.col("scenario_id") == scenario_id) & (F.col("run_id") == known.run_id)).drop("run_id")
         except AnalysisException as err:
             if err.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
                 raise

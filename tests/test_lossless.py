@@ -37,7 +37,7 @@ def test_later_scenarios_do_not_erase_earlier_ones(spark, tmp_path, make_cube):
 
     cube, folder = make_cube(WHATIF), str(tmp_path / "runs")
     for i, day in enumerate(("2024-01-01", "2024-01-02")):
-        raw = spark.createDataFrame([(f"case: {i}", ["CHN"], 2024, 2024, 20.0, f"{day}T00:00:00Z")],
+        raw = spark.createDataFrame([(f"case: {i}", ["BRA"], 2015, 2015, 20.0, f"{day}T00:00:00Z")],
                                     "scenario_id string, target_supplier_iso3 array<string>, baseline_year_start int, baseline_year_end int, shock_size_pct double, created_at string")
         sinks.write_whatif(wi.run(cube, raw), folder)
     history = [r.scenario_id for r in sinks.scenario_history(spark, folder).collect()]
@@ -45,6 +45,28 @@ def test_later_scenarios_do_not_erase_earlier_ones(spark, tmp_path, make_cube):
     assert all(sinks.load_result(spark, folder, f"case: {i}")["edge_impacts"].count() > 0 for i in (0, 1))
 
 
+def test_a_rerun_leaves_no_row_of_the_old_run(spark, tmp_path, make_cube):
+    """A scenario stored with paths and run again without any has none afterwards; others keep theirs."""
+    folder = str(tmp_path / "runs")
+    cube = make_cube([(2015, "NOR", "BRA", "M", "0901", 900.0), (2015, "PER", "NOR", "M", "0901", 400.0), (2015, "THA", "PER", "M", "0901", 300.0)])
+
+    def store(*rows):
+        raw = spark.createDataFrame([(i, ["BRA"], 2015, 2015, 80.0, mode, 3, "2015-01-01T00:00:00Z") for i, mode in rows],
+                                    "scenario_id string, target_supplier_iso3 array<string>, baseline_year_start int, baseline_year_end int, shock_size_pct double, "
+                                    "propagation_mode string, maximum_propagation_steps int, created_at string")
+        return sinks.write_whatif(wi.run(cube, raw), folder)
+
+    def paths(scenario):
+        return sinks.load_result(spark, folder, scenario)["impact_paths"].count()
+
+    store(("a", "multi_step"), ("b/c: x", "multi_step"))
+    assert paths("a") > 0 and paths("b/c: x") > 0
+    assert sinks.load_result(spark, folder, "a")["edge_impacts"].count() == 3  # the loss itself and two steps of it
+    store(("a", "direct_only"))
+    assert paths("a") == 0 and paths("b/c: x") > 0 and sinks.load_result(spark, folder, "a")["edge_impacts"].count() == 1
+    assert {r.scenario_id: r.n_paths for r in spark.read.schema(sinks.MANIFEST).json(f"{folder}/scenario_manifest").collect()}["a"] == 0
+
+
 def test_a_clash_is_not_taken_for_an_absent_table(spark, tmp_path):
     assert landing.current(spark, str(tmp_path / "none")) is None
     (tmp_path / "bad").mkdir()

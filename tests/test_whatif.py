@@ -5,7 +5,7 @@ from conftest import WHATIF, rows
 
 from cargoscope.operators import whatif as wi
 
-BASE = dict(scenario_id="base", baseline_year_start=2024, baseline_year_end=2024, target_supplier_iso3=["CHN"], target_hs_codes=["8542"],
+BASE = dict(scenario_id="base", baseline_year_start=2015, baseline_year_end=2015, target_supplier_iso3=["BRA"], target_hs_codes=["0901"],
             shock_size_pct=30.0, substitution_mode="capacity_constrained", substitution_capacity_pct=25.0)
 TYPES = {**{n: k for n, (k, _d) in wi.FIELDS.items()}}
 
@@ -23,15 +23,15 @@ def by(df, *keys):
 def test_golden_capacity(spark, make_cube):
     r = wi.run(make_cube(WHATIF), scenarios(spark, {}))
     got = by(r.groups, "reporter_iso3")
-    assert (got["DEU",].direct_disrupted_value_usd, got["DEU",].substitution_allocated_value_usd) == pytest.approx((21, 7.5))
-    assert got["DEU",].residual_unmet_value_usd == pytest.approx(13.5)
-    assert got["IND",].residual_unmet_value_usd == pytest.approx(19)
-    assert got["KOR",].residual_unmet_value_usd == pytest.approx(15) and got["KOR",].substitution_allocated_value_usd == 0
+    assert (got["NOR",].direct_disrupted_value_usd, got["NOR",].substitution_allocated_value_usd) == pytest.approx((270, 25))
+    assert got["NOR",].residual_unmet_value_usd == pytest.approx(245)
+    assert got["PER",].residual_unmet_value_usd == pytest.approx(70)
+    assert got["THA",].residual_unmet_value_usd == pytest.approx(300) and got["THA",].substitution_allocated_value_usd == 0
     edges = by(r.edges, "reporter_iso3", "supplier_iso3")
-    assert edges["DEU", "USA"].substitution_received_usd == pytest.approx(5)
-    assert edges["DEU", "JPN"].substitution_received_usd == pytest.approx(2.5)
+    assert edges["NOR", "VNM"].substitution_received_usd == pytest.approx(15)
+    assert edges["NOR", "ITA"].substitution_received_usd == pytest.approx(10)
     assert r.reconciliation.first().ok
-    assert by(r.reporters, "reporter_iso3")["IND",].scenario_rank == 1
+    assert by(r.reporters, "reporter_iso3")["THA",].scenario_rank == 1
 
 
 @pytest.mark.parametrize("mode", wi.SUBSTITUTION_MODES)
@@ -44,13 +44,13 @@ def test_identities(spark, make_cube, mode):
     if mode == "none":
         assert all(e.substitution_allocated_usd == 0 for e in r.edges.collect())
     if mode == "diversification":
-        assert by(r.groups, "reporter_iso3")["DEU",].residual_unmet_value_usd == pytest.approx(0)
+        assert by(r.groups, "reporter_iso3")["NOR",].residual_unmet_value_usd == pytest.approx(0)
     assert r.reconciliation.first().ok
 
 
 def test_many_scenarios_equal_single_runs(spark, make_cube):
     cube = make_cube(WHATIF)
-    changes = [{"shock_size_pct": 10.0}, {"shock_size_pct": 80.0, "substitution_mode": "proportional"}, {"target_reporter_iso3": ["IND"]}]
+    changes = [{"shock_size_pct": 10.0}, {"shock_size_pct": 80.0, "substitution_mode": "proportional"}, {"target_reporter_iso3": ["PER"]}]
     together = by(wi.run(cube, scenarios(spark, *changes)).kpis, "scenario_id")
     for i, c in enumerate(changes):
         alone = wi.run(cube, scenarios(spark, c)).kpis.first()
@@ -97,15 +97,15 @@ def check_paths(spark, cube, change):
 
 
 def test_first_order_stays_in_commodity(spark, make_cube):
-    cube = make_cube([(2024, "DEU", "CHN", "M", "8542", 100.0), (2024, "DEU", "USA", "M", "8542", 50.0), (2024, "IND", "DEU", "M", "8542", 40.0),
-                      (2024, "IND", "USA", "M", "8517", 30.0)])
+    cube = make_cube([(2015, "NOR", "BRA", "M", "0901", 100.0), (2015, "NOR", "VNM", "M", "0901", 50.0), (2015, "PER", "NOR", "M", "0901", 40.0),
+                      (2015, "PER", "VNM", "M", "6403", 30.0)])
     r = check_paths(spark, cube, dict(shock_size_pct=50.0, substitution_mode="none", propagation_mode="first_order"))
-    assert rows(r.paths, "depth", "source_node", "affected_reporter", "propagated_value_usd") == [(1, "DEU", "IND", 40.0)]
+    assert rows(r.paths, "depth", "source_node", "affected_reporter", "propagated_value_usd") == [(1, "NOR", "PER", 40.0)]
 
 
 def test_cycle_ends(spark, make_cube):
-    cube = make_cube([(2024, "AAA", "CHN", "M", "8542", 100.0), (2024, "AAA", "BBB", "M", "8542", 40.0), (2024, "BBB", "AAA", "M", "8542", 40.0),
-                      (2024, "BBB", "USA", "M", "8542", 20.0)])
+    cube = make_cube([(2015, "AAA", "BRA", "M", "0901", 100.0), (2015, "AAA", "BBB", "M", "0901", 40.0), (2015, "BBB", "AAA", "M", "0901", 40.0),
+                      (2015, "BBB", "VNM", "M", "0901", 20.0)])
     r = check_paths(spark, cube, dict(shock_size_pct=100.0, substitution_mode="none", propagation_mode="multi_step", maximum_propagation_steps=5))
     assert r.paths.count() == 2
 
@@ -120,8 +120,8 @@ def test_propagation_against_queue(spark, snap):
 
 
 def test_hash_ignores_order_and_label(spark):
-    a = scenarios(spark, {"target_hs_codes": ["8542", "8517"], "scenario_id": None, "scenario_name": "one"})
-    b = scenarios(spark, {"target_hs_codes": ["8517", "8542", "8542"], "scenario_id": None, "scenario_name": "two"})
+    a = scenarios(spark, {"target_hs_codes": ["0901", "6403"], "scenario_id": None, "scenario_name": "one"})
+    b = scenarios(spark, {"target_hs_codes": ["6403", "0901", "0901"], "scenario_id": None, "scenario_name": "two"})
     ia, ib = wi.normalize(a).first(), wi.normalize(b).first()
     assert ia.scenario_id == ib.scenario_id and ia.scenario_id.startswith("scn_")
 
@@ -136,8 +136,8 @@ def test_long_and_odd_ids_stay_apart(spark, make_cube):
 
 
 def test_swapped_years_and_validation(spark, make_cube):
-    n = wi.normalize(scenarios(spark, {"baseline_year_start": 2024, "baseline_year_end": 2020})).first()
-    assert (n.baseline_year_start, n.baseline_year_end) == (2020, 2024)
+    n = wi.normalize(scenarios(spark, {"baseline_year_start": 2015, "baseline_year_end": 2011})).first()
+    assert (n.baseline_year_start, n.baseline_year_end) == (2011, 2015)
     r = wi.run(make_cube(WHATIF), scenarios(spark, {}, {"shock_size_pct": 130.0}, {"target_supplier_iso3": ["QQQ"]}))
     ok = {v.scenario_id: v.ok for v in r.validation.collect()}
     assert ok == {"s0": True, "s1": False, "s2": False}
@@ -145,14 +145,14 @@ def test_swapped_years_and_validation(spark, make_cube):
 
 
 def test_compare(spark, make_cube):
-    r = wi.run(make_cube(WHATIF), scenarios(spark, {"target_reporter_iso3": ["DEU"]}, {"target_reporter_iso3": ["IND"]}))
+    r = wi.run(make_cube(WHATIF), scenarios(spark, {"target_reporter_iso3": ["NOR"]}, {"target_reporter_iso3": ["PER"]}))
     got = by(wi.compare_reporters(r.reporters, "s0", "s1"), "reporter_iso3")
-    assert got["IND",].newly_affected and got["DEU",].no_longer_affected and not got["KOR",].newly_affected
+    assert got["PER",].newly_affected and got["NOR",].no_longer_affected and not got["THA",].newly_affected
 
 
 def test_scenario_file(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{\n "scenario_id": "CHN 8542!", "baseline_year_start": 2023, "baseline_year_end": 2019,\n'
-                                     ' "target_supplier_iso3": ["CHN", "CHN"], "target_hs_codes": ["8542"], "shock_size_pct": 40}')
+    (tmp_path / "a.json").write_text('{\n "scenario_id": "BRA 0901!", "baseline_year_start": 2023, "baseline_year_end": 2019,\n'
+                                     ' "target_supplier_iso3": ["BRA", "BRA"], "target_hs_codes": ["0901"], "shock_size_pct": 40}')
     r = wi.read_scenarios(spark, str(tmp_path)).first()
-    assert r.scenario_id == "CHN 8542!" and (r.baseline_year_start, r.baseline_year_end) == (2019, 2023)
-    assert r.target_supplier_iso3 == ["CHN"] and r.substitution_mode == "capacity_constrained" and r.maximum_propagation_steps == 1
+    assert r.scenario_id == "BRA 0901!" and (r.baseline_year_start, r.baseline_year_end) == (2019, 2023)
+    assert r.target_supplier_iso3 == ["BRA"] and r.substitution_mode == "capacity_constrained" and r.maximum_propagation_steps == 1
