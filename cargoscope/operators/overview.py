@@ -121,6 +121,18 @@ def balance_distribution(cy: DataFrame) -> DataFrame:
     )
 
 
+def balance_extremes(cy: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` largest surpluses and deficits of each year, beside ``balance_distribution``.
+
+    A year holds one row per economy, a list bounded by the code space; ties go to the smaller code.
+    """
+    bal = E.finite(BALANCE)
+    sides = filter_year(cy).where(bal != 0).withColumn("side", F.when(bal > 0, "surplus").otherwise("deficit"))
+    order = W.partitionBy("year", "side").orderBy(F.desc(F.abs(bal)), "reporter_iso3")
+    return sides.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(
+        "year", "side", "rank", "reporter_iso3", "reporter_name", bal.alias("balance"))
+
+
 def macro_scatter(cy: DataFrame, year: int | None = None, use_log: bool = True) -> tuple[DataFrame, DataFrame]:
     """GDP against trade, and how many rows the log scale leaves out."""
     rows = filter_year(cy, year).select(

@@ -50,6 +50,26 @@ def _(s):
     return dep.links(dep.eligible_imports(s.cube))
 
 
+CTE["chain_own"] = f"""
+SELECT reporter_iso3, partner_iso3, hs_code, {money()} AS v, COUNT(*) AS n FROM cube
+WHERE flow_code = 'M' AND reporter_iso3 <> partner_iso3 AND trade_value_usd >= 5000 AND year BETWEEN 1996 AND 1999 GROUP BY 1, 2, 3
+"""
+CTE["chain_whole"] = "SELECT reporter_iso3, hs_code, CAST(SUM(CAST(v AS DECIMAL(18,2))) AS DOUBLE) AS t FROM chain_own GROUP BY 1, 2"
+
+
+@query("dependency_table", """
+SELECT reporter_iso3, hs_code, partner_iso3, v AS partner_import_value, n AS observation_count, ROUND(v / t, 9) AS partner_share,
+       CAST(row_number() OVER (PARTITION BY reporter_iso3, hs_code ORDER BY v DESC, partner_iso3) AS INT) AS supplier_rank,
+       (SELECT COUNT(*) FROM chain_whole) AS n_groups, CAST(0 AS BIGINT) AS failures FROM chain_own JOIN chain_whole USING (reporter_iso3, hs_code)
+""")
+def _(s):
+    """The chain of filter, links, shares and checks, from the cube, at limits no other query has."""
+    out = dep.dependency_table(s.cube, min_link_value=5000, year_min=1996, year_max=1999)
+    shares = rounded(out.shares.select("reporter_iso3", "hs_code", "partner_iso3", "partner_import_value", "observation_count", "partner_share", "supplier_rank"), "partner_share", digits=9)
+    checks = out.reconciliation.select("n_groups", "failures")
+    return shares.withColumn("_c", checks.select(F.struct("n_groups", "failures")).scalar()).withColumns({c: F.col(f"_c.{c}") for c in checks.columns}).drop("_c")
+
+
 @query("dependency_shares", """
 SELECT reporter_iso3, partner_iso3, hs_code, partner_import_value, reporter_commodity_total, supplier_rank,
        ROUND(partner_share, 9) AS partner_share FROM share_rows

@@ -92,6 +92,15 @@ def _(s):
     return r2(ov.balance_distribution(s.country_year), "median_balance")
 
 
+@query("overview_balance_extremes", """
+SELECT year, side, CAST(row_number() OVER (PARTITION BY year, side ORDER BY abs(balance) DESC, reporter_iso3) AS INT) AS rank, reporter_iso3, reporter_name, ROUND(balance, 2) AS balance
+FROM (SELECT year, reporter_iso3, reporter_name, trade_balance_usd AS balance, CASE WHEN trade_balance_usd > 0 THEN 'surplus' ELSE 'deficit' END AS side FROM cy WHERE trade_balance_usd <> 0)
+QUALIFY rank <= 5
+""")
+def _(s):
+    return r2(ov.balance_extremes(s.country_year), "balance")
+
+
 @query("overview_macro_scatter", """
 SELECT reporter_iso3, reporter_name, year, gdp_current_usd AS gdp, ROUND(total_trade_value_usd, 2) AS total_trade,
        population_total AS population, ROUND(total_trade_pct_gdp, 6) AS trade_pct_gdp
