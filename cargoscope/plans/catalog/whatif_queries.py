@@ -410,9 +410,49 @@ def _(s):
     return rounded(out.select("scenario_id", "reporter_iso3", "map_value"), "map_value", digits=5)
 
 
-@query("whatif_paths")
+# Propagation, depth by depth: the first path in queue order claims a node, which is never expanded again.
+DEPTHS = 3
+NODE = "scenario_id, node, hs_code"
+CTE["wi_front1"] = """
+SELECT e.scenario_id, e.y0, e.y1, k, e.reporter_iso3 AS node, e.hs_code, MIN(CASE WHEN hit THEN supplier_iso3 END) AS shocked, SUM(residual) AS left_over,
+       SUM(residual) AS so_far, concat(e.reporter_iso3, '|', e.hs_code) AS order_key, CAST(NULL AS VARCHAR) AS parent
+FROM wi_edges e JOIN (SELECT scenario_id, k FROM scn WHERE k % 3 <> 2) USING (scenario_id) GROUP BY ALL HAVING SUM(loss) > 0 AND SUM(residual) > 0
+"""
+for _d in range(1, DEPTHS + 1):
+    if _d > 1:
+        CTE[f"wi_front{_d}"] = f"""
+SELECT scenario_id, y0, y1, k, reached AS node, hs_code, shocked, passed AS left_over, so_far + passed AS so_far, path AS order_key, path AS parent
+FROM wi_claimed{_d - 1} WHERE passed >= 10 AND k % 3 = 0
+"""
+    _seen = "".join(f" AND ({NODE}) NOT IN (SELECT ({NODE}) FROM wi_claimed{i})" for i in range(1, _d))
+    CTE[f"wi_claimed{_d}"] = f"""
+SELECT *, LEAST(up * v / SUM(v) OVER n, v) AS passed, concat(order_key, '/', lpad(CAST(row_number() OVER (n ORDER BY v DESC, reached) AS VARCHAR), 12, '0')) AS path
+FROM (SELECT f.*, b.reporter_iso3 AS reached, b.v, b.share FROM
+  (SELECT *, left_over * 0.8 * pow(0.5, {_d - 1}) AS up FROM wi_front{_d} WHERE left_over * 0.8 * pow(0.5, {_d - 1}) >= 10{_seen}
+   QUALIFY row_number() OVER (PARTITION BY {NODE} ORDER BY order_key) = 1) f
+  JOIN wi_base b ON b.y0 = f.y0 AND b.y1 = f.y1 AND b.supplier_iso3 = f.node AND b.hs_code = f.hs_code WHERE b.share >= 0.01) WINDOW n AS (PARTITION BY {NODE})
+"""
+CTE["wi_path"] = " UNION ALL ".join(f"SELECT {_d} AS depth, * FROM wi_claimed{_d} WHERE passed >= 10" for _d in range(1, DEPTHS + 1))
+CTE["wi_after"] = """
+SELECT scenario_id, reporter_iso3, supplier_iso3, hs_code, e.loss + COALESCE(passed, 0) AS loss, e.residual + COALESCE(passed, 0) AS residual,
+       GREATEST(0, e.post - COALESCE(passed, 0)) AS post
+FROM (SELECT scenario_id, reporter_iso3, supplier_iso3, hs_code, loss, residual, post FROM wi_edges
+      UNION ALL SELECT g.scenario_id, b.reporter_iso3, b.supplier_iso3, b.hs_code, 0, 0, b.v
+      FROM (SELECT DISTINCT scenario_id, y0, y1, reached AS reporter_iso3, hs_code FROM wi_path) g JOIN wi_base b USING (y0, y1, reporter_iso3, hs_code)
+      WHERE (g.scenario_id, b.reporter_iso3, b.hs_code) NOT IN (SELECT (scenario_id, reporter_iso3, hs_code) FROM wi_edges)) e
+LEFT JOIN (SELECT scenario_id, node AS supplier_iso3, reached AS reporter_iso3, hs_code, passed FROM wi_path) USING (scenario_id, reporter_iso3, supplier_iso3, hs_code)
+"""
+
+
+@query("whatif_paths", """
+SELECT scenario_id, path AS path_id, parent AS parent_path_id, CAST(depth AS INT) AS depth, shocked AS original_shocked_supplier, node AS source_node,
+       reached AS affected_reporter, hs_code, v AS baseline_edge_value_usd, ROUND(share, 9) AS dependency_share, ROUND(up, 5) AS shock_input_value_usd,
+       CAST(0 AS DOUBLE) AS substitution_allocated_usd, ROUND(passed, 5) AS residual_unmet_value_usd, ROUND(passed, 5) AS propagated_value_usd,
+       ROUND(so_far + passed, 5) AS cumulative_path_value_usd, 'propagated' AS path_status, 'uv_test' AS universe_version FROM wi_path
+""")
 def _(s):
-    return rounded(propagated(s).paths.drop(*wi.PERIOD), "propagated_value_usd", "cumulative_path_value_usd", "shock_input_value_usd", digits=5)
+    out = rounded(propagated(s).paths.drop(*wi.PERIOD), "dependency_share", digits=9)
+    return rounded(out, "propagated_value_usd", "cumulative_path_value_usd", "shock_input_value_usd", "residual_unmet_value_usd", digits=5)
 
 
 @query("whatif_paths_first_order", """
@@ -430,17 +470,24 @@ def _(s):
     return rounded(out, "propagated_value_usd", digits=5)
 
 
-@query("whatif_paths_by_depth")
+@query("whatif_paths_by_depth", """
+SELECT scenario_id, CAST(depth AS INT) AS depth, ROUND(SUM(passed), 5) AS propagated_value_usd, COUNT(*) AS n_paths FROM wi_path GROUP BY ALL
+""")
 def _(s):
     return rounded(wi.value_by_depth(propagated(s).paths), "propagated_value_usd", digits=5)
 
 
-@query("whatif_paths_filtered")
+@query("whatif_paths_filtered", """
+SELECT scenario_id, path AS path_id, CAST(depth AS INT) AS depth, reached AS affected_reporter, hs_code FROM wi_path WHERE depth <= 2 AND passed >= 100
+""")
 def _(s):
     return wi.filter_paths(propagated(s).paths, depth_max=2, min_value=100).select("scenario_id", "path_id", "depth", "affected_reporter", "hs_code")
 
 
-@query("whatif_edges_propagated")
+@query("whatif_edges_propagated", """
+SELECT scenario_id, reporter_iso3, supplier_iso3, hs_code, ROUND(loss, 5) AS direct_disrupted_value_usd, ROUND(residual, 5) AS residual_unmet_value_usd,
+       ROUND(post, 5) AS post_shock_observed_import_value_usd FROM wi_after
+""")
 def _(s):
     names = ["direct_disrupted_value_usd", "residual_unmet_value_usd", "post_shock_observed_import_value_usd"]
     return rounded(propagated(s).edges.select("scenario_id", *wi.EDGE, *names), *names, digits=5)
