@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cargoscope.functions import constants as K
 from cargoscope.functions import expr as E
-from cargoscope.operators import clean
+from cargoscope.operators import clean, quantiles
 from cargoscope.operators.flows import Top, coverage
 from cargoscope.session import scratch_path, stored
 
@@ -418,10 +418,10 @@ def walk(dag: DataFrame, start: DataFrame, at: str, to: str, weight: str | None
 def quartile(df: DataFrame, value: str = "pagerank") -> DataFrame:
     """Quartile bin with equal break points merged; breaks are over the vertex list."""
     v = E.finite(value)
-    cuts = F.array_distinct(F.percentile(v, F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])))
+    cuts = F.array_distinct(quantiles.literal(quantiles.percentiles(df, v, (0.0, 0.25, 0.5, 0.75, 1.0))))
     inner = F.col("_b")
     below = F.size(F.filter(F.slice(inner, 2, F.greatest(F.lit(0), F.size(inner) - 2)), lambda b: b < F.col(value)))
-    return df.withColumn("_b", df.agg(cuts).scalar()).withColumn(
+    return df.withColumn("_b", cuts).withColumn(
         value + "_quantile", F.when(v.isNotNull(), below + 1)).drop("_b")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cargoscope.functions import constants as K
 from cargoscope.functions import expr as E
+from cargoscope.operators import quantiles
 from cargoscope.operators.clean import drop_aggregates
 from cargoscope.operators.macro import latest_first
 
@@ -342,8 +343,8 @@ def global_trend(cy: DataFrame, region: str | None = None, geometry: DataFrame |
 
 def _spread(df: DataFrame, metric: str) -> DataFrame:
     v = metric_value(metric)
-    q = F.percentile(v, F.array(F.lit(0.02), F.lit(0.98)))
-    return df.agg(q.alias("q"), F.max(F.abs(v)).alias("m"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    q = quantiles.literal(quantiles.percentiles(df, v, (0.02, 0.98)))
+    return df.agg(F.max(F.abs(v)).alias("m")).withColumn("q", q)
 
 
 def winsorised_abs_max(df: DataFrame, metric: str) -> DataFrame:
@@ -368,11 +369,11 @@ def value_domain(df: DataFrame, metric: str) -> DataFrame:
 def quantile_breaks(df: DataFrame, metric: str, n: int = 5) -> DataFrame:
     """Distinct n-quantile break points; a single point is widened by one per cent."""
     n = max(2, int(n))
-    probs = F.array(*[F.lit(i / n) for i in range(n + 1)])
-    breaks = F.array_distinct(F.percentile(metric_value(metric), probs))
+    breaks = F.array_distinct(quantiles.literal(quantiles.percentiles(df, metric_value(metric), [i / n for i in range(n + 1)])))
     lone = F.element_at("b", 1)
     step = F.when(lone == 0, 1.0).otherwise(F.abs(lone) * 0.01)
     points = F.when(F.size("b") == 1, F.array(lone, lone + step)).otherwise(F.col("b"))
-    return df.agg(F.coalesce(breaks, F.array(F.lit(0.0), F.lit(1.0))).alias("b")).select(
+    one = df.sparkSession.range(1)
+    return one.select(F.coalesce(breaks, F.array(F.lit(0.0), F.lit(1.0))).alias("b")).select(
         F.posexplode(points).alias("position", "break_value")
     )
