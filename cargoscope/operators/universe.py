@@ -94,18 +94,29 @@ def ranking_year(by_year: DataFrame, prefer: int, min_share: float = 0.85) -> Da
     return rows.orderBy(priority, size, F.desc("year")).limit(1).select("year", "n_reporters", priority.alias("choice"))
 
 
+def members(cube: DataFrame) -> DataFrame:
+    """Rows and latest ingest per year and reporter: what coverage needs to know of a cube."""
+    return cube.groupBy("year", "reporter_iso3").agg(F.count("*").alias("n_rows"), F.max("ingested_at").alias("latest_ingested_at"))
+
+
 def coverage(cube: DataFrame, selected: DataFrame, current_checksum: str | None = None, expected: str | None = None,
              checks: DataFrame | None = None) -> DataFrame:
     """Selected against represented reporters, years, latest ingest and warnings, as one row."""
+    return coverage_of(members(cube), selected, current_checksum, expected, checks)
+
+
+def coverage_of(parts: DataFrame, selected: DataFrame, current_checksum: str | None = None, expected: str | None = None,
+                checks: DataFrame | None = None) -> DataFrame:
+    """``coverage`` from the ``members`` of a cube, which are one row per year and reporter."""
     chosen = selected.select("reporter_iso3").distinct()
-    present = cube.groupBy("reporter_iso3").agg(F.lit(True).alias("present"))
+    present = parts.groupBy("reporter_iso3").agg(F.lit(True).alias("present"))
     sides = chosen.join(present, "reporter_iso3", "left").agg(F.struct(
         F.count("*").alias("selected"), F.count_if(F.col("present").isNull()).alias("missing"),
         F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("present").isNull(), F.col("reporter_iso3"))))).alias("codes")).alias("s")).scalar()
     warned = F.lit(0).cast("bigint") if checks is None else checks.agg(F.count_if(F.col("status") == "warning")).scalar()
-    row = cube.agg(
-        F.count_distinct("reporter_iso3").alias("represented_reporter_count"), F.count("*").alias("n_rows"), F.min("year").alias("year_min"),
-        F.max("year").alias("year_max"), F.max("ingested_at").alias("latest_ingested_at")).withColumn("s", sides)
+    row = parts.agg(
+        F.count_distinct("reporter_iso3").alias("represented_reporter_count"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
+        F.min("year").alias("year_min"), F.max("year").alias("year_max"), F.max("latest_ingested_at").alias("latest_ingested_at")).withColumn("s", sides)
     status = F.when(F.col("represented_reporter_count") == 0, "unavailable").when(
         (F.col("s.missing") == 0) & (F.col("s.selected") > 0), "complete").otherwise("partial")
     stale = F.coalesce(F.lit(current_checksum) != F.lit(expected), F.lit(False)) if current_checksum and expected else F.lit(False)

@@ -556,9 +556,9 @@ def streamed(s):
         for _round in range(2):
             bodies = landing.bodies_stream(s.spark, landed(s), max_files=4)
             landing.cube_stream(
-                bodies, target, session.scratch_path(s.spark, "ckpt"), reporters_.select(F.col("comtrade_code").alias("reporter_code"), F.lit(None).cast("string").alias("reporter_iso3")),
+                bodies, target, session.scratch_path(s.spark, "ckpt"), reporters_.select(F.col("comtrade_code").alias("reporter_code"), F.col("iso3").alias("reporter_iso3")),
                 partners_.select(F.col("comtrade_code").alias("partner_code")), s.cube.select("hs_code").where("hs_code <= '8520'").distinct(),
-                1995, 2001, "uv", cover, ingested_at=F.lit("2002-01-01")).awaitTermination()
+                1995, 2001, "uv", cover, ingested_at=F.lit("2002-01-01"), fold_after=2).awaitTermination()
         return target, cover
 
     return s.memo("streamed", make)
@@ -566,12 +566,20 @@ def streamed(s):
 
 @query("stream_cube", STREAM_CUBE)
 def _(s):
-    return s.spark.read.parquet(streamed(s)[0]).select("year", "reporter_code", "partner_code", "flow_code", "hs_code", "trade_value_usd")
+    return landing.read_cube(s.spark, streamed(s)[0]).select("year", "reporter_code", "partner_code", "flow_code", "hs_code", "trade_value_usd")
 
 
-@query("stream_coverage", "SELECT COUNT(*) AS n_rows, MIN(year) AS year_min, MAX(year) AS year_max FROM stream_cube")
+@query("stream_coverage", """
+SELECT CASE WHEN seen = 0 THEN 'unavailable' WHEN missing = 0 THEN 'complete' ELSE 'partial' END AS production_status, selected AS selected_reporter_count,
+       seen AS represented_reporter_count, missing AS missing_reporter_count, codes AS missing_reporters, true AS checksum_stale, year_min, year_max,
+       '2002-01-01' AS latest_ingested_at, CAST(0 AS BIGINT) AS validation_warnings, n_rows
+FROM (SELECT COUNT(*) AS selected, COUNT(*) FILTER (c IS NULL) AS missing, COALESCE(string_agg(iso3, ',' ORDER BY iso3) FILTER (c IS NULL), '') AS codes
+      FROM economies LEFT JOIN (SELECT DISTINCT reporter_code AS c FROM stream_cube) ON c = CAST(n_nationkey + 100 AS VARCHAR)),
+     (SELECT COUNT(*) AS n_rows, COUNT(DISTINCT reporter_code) AS seen, MIN(year) AS year_min, MAX(year) AS year_max FROM stream_cube)
+""")
 def _(s):
-    return s.spark.read.parquet(streamed(s)[1]).select("n_rows", "year_min", "year_max")
+    chosen = s.economies.select(F.col("iso3").alias("reporter_iso3"))
+    return landing.read_coverage(s.spark, streamed(s)[1], chosen, current_checksum="uv", expected="uv_b")
 
 
 @query("stream_monthly_totals", """
