@@ -281,6 +281,11 @@ def payload_to_global(records: DataFrame) -> DataFrame:
                         F.col("ingested_at"), F.col("trade_value_usd"), F.col("request_id"))
 
 
+# The payload fields that ``payload_to_cube`` reads.
+CUBE_FIELDS = ("period", "ref_year", "reporter_code", "reporter_iso3", "reporter_name", "partner_code", "partner_iso3", "partner_name",
+               "flow_code", "cmd_code", "primary_value")
+
+
 def payload_to_cube(records: DataFrame, reporters: DataFrame, partners: DataFrame, commodities: DataFrame,
                     year_min: int, year_max: int, checksum: str | None = None) -> DataFrame:
     """Payload rows -> bilateral cube restricted to three selected code sets."""

@@ -531,10 +531,13 @@ def _(s):
 # ---- streams ------------------------------------------------------------------------
 
 def landed(s):
-    """All payload documents written to a landing folder, one per line."""
+    """All payload documents written to a landing folder, one per line.
+
+    The files grow with the tables, their number does not: a batch takes a number of files.
+    """
     def make():
         path = session.scratch_path(s.spark, "landing")
-        trade_bodies(s).select("value").write.text(path)
+        trade_bodies(s).select("value").coalesce(24).write.text(path)
         return path
 
     return s.memo("landing", make)

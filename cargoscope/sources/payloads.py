@@ -2,8 +2,8 @@
 
 Every parser takes a table of payload bodies (``request_id``, ``value``), one document
 per row, so it runs on files, on a landing stream or on a column of another table alike.
-Records are read as string maps because their keys come in two spellings that differ
-only in case.
+Keys come in two spellings that differ only in case: records are read as string maps or,
+where the keys are known beforehand, as structs whose fields are then named by number.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORDS = "array<map<string,string>>"
-TRADE_DOCUMENT = f"struct<count:bigint,statusCode:int,message:string,data:{RECORDS},dataset:{RECORDS},_corrupt:string>"
+TRADE_DOCUMENT = "struct<count:bigint,statusCode:int,message:string,data:{0},dataset:{0},_corrupt:string>"
 
 # Output column -> (payload keys by priority, type).
 TRADE_FIELDS = {
@@ -110,11 +110,20 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("request_id"), "value")
 
 
+def _of_map(record: Column, key: str) -> Column:
+    return F.try_element_at(record, F.lit(key))
+
+
+def _numbered(fields: dict) -> dict:
+    """Field of a record struct per key of ``fields``."""
+    return {k: f"k{i}" for i, k in enumerate(dict.fromkeys(k for keys, _kind in fields.values() for k in keys))}
+
+
 def pick(fields: dict) -> list[Column]:
-    """First present key per field, cast; a value that does not parse is NULL."""
+    """Every field of ``r``, cast; a value that does not parse is NULL."""
     out = []
-    for name, (keys, kind) in fields.items():
-        raw = F.coalesce(*[F.try_element_at("r", F.lit(k)) for k in keys])
+    for name, (_keys, kind) in fields.items():
+        raw = F.col(f"r.{name}")
         if kind == "date":
             typed = F.substring(raw, 1, 10).try_cast("date")
         elif kind == "boolean":
@@ -125,13 +134,23 @@ def pick(fields: dict) -> list[Column]:
     return out
 
 
-def trade_documents(bodies: DataFrame) -> DataFrame:
-    """Payloads with their records and counts; malformed documents are flagged."""
-    doc = F.from_json("value", TRADE_DOCUMENT, {"columnNameOfCorruptRecord": "_corrupt"})
+def trade_documents(bodies: DataFrame, fields: dict | None = None) -> DataFrame:
+    """Payloads with their records and counts; malformed documents are flagged.
+
+    With ``fields`` a record is a struct of those fields' keys, by number, and no other key is kept.
+    """
+    def parsed_as(record):
+        return F.from_json("value", TRADE_DOCUMENT.format(record), {"columnNameOfCorruptRecord": "_corrupt"})
+
+    kind, doc = RECORDS, parsed_as(RECORDS)
+    if fields:
+        names = _numbered(fields)
+        kind = f"array<struct<{','.join(f'{n}:string' for n in names.values())}>>"
+        doc = parsed_as(f"array<struct<{','.join(f'`{k}`:string' for k in names)}>>").cast(TRADE_DOCUMENT.format(kind))
     parsed = bodies.select("request_id", doc.alias("d"))
     return parsed.select(
         "request_id", (F.col("d").isNull() | F.col("d._corrupt").isNotNull()).alias("malformed"), F.col("d.statusCode").alias("status_code"),
-        F.coalesce("d.data", "d.dataset", F.array().cast(RECORDS)).alias("records"), F.col("d.count").alias("total"))
+        F.coalesce("d.data", "d.dataset", F.array().cast(kind)).alias("records"), F.col("d.count").alias("total"))
 
 
 def payload_status(documents: DataFrame) -> DataFrame:
@@ -142,13 +161,26 @@ def payload_status(documents: DataFrame) -> DataFrame:
         n.alias("returned_count"), F.coalesce("total", n).alias("total_count"), F.coalesce(F.col("total") > n, F.lit(False)).alias("is_truncated"))
 
 
-def _records(documents: DataFrame) -> DataFrame:
+def _exploded(rows: DataFrame, records, fields: dict, value_of=_of_map) -> DataFrame:
+    """One row per record of an array, as the text of the first present key per field.
+
+    Keys are looked up inside the array: lookups of many fields in one projection make a method
+    that is too long to be compiled.  A filter below the generator would parse each document once
+    per condition, and Spark infers one from a plain ``explode``; none is inferred from the outer form.
+    """
+    found = F.transform(records, lambda r: F.struct(*[F.coalesce(*[value_of(r, k) for k in keys]).alias(name) for name, (keys, _kind) in fields.items()]))
+    return rows.select("request_id", F.posexplode_outer(found).alias("_at", "r")).where(F.col("_at").isNotNull()).drop("_at")
+
+
+def _records(bodies: DataFrame, fields: dict) -> DataFrame:
     usable = ~F.col("malformed") & ~F.coalesce(F.col("status_code") >= 400, F.lit(False))
-    return documents.where(usable).select("request_id", F.explode("records").alias("r"))
+    names = _numbered(fields)
+    return _exploded(trade_documents(bodies, fields), F.when(usable, F.col("records")), fields, lambda r, k: r.getField(names[k]))
 
 
 def trade_records(bodies: DataFrame, fields: dict | None = None) -> DataFrame:
-    return _records(trade_documents(bodies)).select("request_id", *pick(fields or TRADE_FIELDS))
+    """Records of usable payloads; ``fields`` holds the fields to return, every trade field by default."""
+    return _records(bodies, fields or TRADE_FIELDS).select("request_id", *pick(fields or TRADE_FIELDS))
 
 
 def monthly_records(bodies: DataFrame) -> DataFrame:
@@ -156,21 +188,21 @@ def monthly_records(bodies: DataFrame) -> DataFrame:
     return rows.withColumn("year", F.substring("period", 1, 4).try_cast("int")).withColumn("month", F.substring("period", 5, 2).try_cast("int"))
 
 
-def _listed(bodies: DataFrame, keys=("data", "results", "dataset")) -> DataFrame:
+def _listed(bodies: DataFrame, fields: dict, keys=("data", "results", "dataset")) -> DataFrame:
     """Records of the first present key, one level of nesting undone."""
     raw = F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in keys])
     flat, nested = F.from_json(raw, RECORDS), F.flatten(F.from_json(raw, f"array<{RECORDS}>"))
     known = F.filter(flat, lambda r: r.isNotNull() & (F.size(r) > 0))
-    return bodies.select("request_id", F.explode(F.when(F.size(known) > 0, known).otherwise(nested)).alias("r"))
+    return _exploded(bodies, F.when(F.size(known) > 0, known).otherwise(nested), fields)
 
 
 def availability_records(bodies: DataFrame) -> DataFrame:
-    rows = _listed(bodies, ("data", "results")).select(*pick(AVAILABILITY_FIELDS)).where(F.col("reporter_code").isNotNull())
+    rows = _listed(bodies, AVAILABILITY_FIELDS, ("data", "results")).select(*pick(AVAILABILITY_FIELDS)).where(F.col("reporter_code").isNotNull())
     return rows.withColumn("year", F.substring("period", 1, 4).try_cast("int")).withColumn("availability_status", F.lit("available")).drop("period")
 
 
 def reporter_records(bodies: DataFrame) -> DataFrame:
-    return _listed(bodies, ("results", "data", "dataset")).select(*pick(REPORTER_FIELDS))
+    return _listed(bodies, REPORTER_FIELDS, ("results", "data", "dataset")).select(*pick(REPORTER_FIELDS))
 
 
 INDICATOR_ROW = ("array<struct<indicator:struct<id:string,value:string>,country:struct<id:string,value:string>,countryiso3code:string,"

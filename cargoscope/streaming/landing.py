@@ -123,7 +123,10 @@ def cube_stream(bodies: DataFrame, target: str, checkpoint: str, reporters: Data
     ``coverage_path`` the members of the batch's years are counted anew there, other years' stay,
     and ``read_coverage`` makes the coverage row of them.
     """
-    records = payloads.trade_records(bodies).withColumn("ingested_at", F.coalesce(ingested_at, F.current_timestamp().cast("string")) if ingested_at is not None
+    fields = {x: payloads.TRADE_FIELDS[x] for x in clean.CUBE_FIELDS}
+    # The codes are looked up in every batch: they are derived once.
+    reporters, partners, items = stored(reporters, "reporters"), stored(partners, "partners"), stored(items, "items")
+    records = payloads.trade_records(bodies, fields).withColumn("ingested_at", F.coalesce(ingested_at, F.current_timestamp().cast("string")) if ingested_at is not None
                                                         else F.current_timestamp().cast("string"))
 
     def take(batch: DataFrame, batch_id: int) -> None:

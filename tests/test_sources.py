@@ -195,3 +195,35 @@ def test_monthly_stream_revisions(spark, tmp_path):
 def test_stored_keeps_types(spark):
     df = spark.createDataFrame([(1, None, [1.0])], "a int, b string, c array<double>")
     assert session.stored(df).schema.simpleString() == df.schema.simpleString()
+
+
+def test_trade_documents_are_parsed_once(spark):
+    bodies = spark.createDataFrame([(str(i), v) for i, v in enumerate([
+        '{"data":[{"period":"2020","Period":"1999","CmdCode":8501,"other":{"a":1}},null,{}]}', '{"dataset":[{"Period":"2021","cmdCode":"0851","RefYear":"x"}]}',
+        '{"data":[],"dataset":[{"period":"no"}]}', '{"statusCode":429,"data":[{"period":"no"}]}', '{"data":[{"period":', "[]", None])], "request_id string, value string")
+    got = payloads.trade_records(bodies)
+    assert got.columns == ["request_id", *payloads.TRADE_FIELDS]
+    want = [("0", "2020", "8501", None), ("0", None, None, None), ("0", None, None, None), ("1", "2021", "0851", None)]
+    assert sorted(map(str, got.select("request_id", "period", "cmd_code", "ref_year").collect())) == sorted(
+        f"Row(request_id={a!r}, period={b!r}, cmd_code={c!r}, ref_year={d!r})" for a, b, c, d in want)
+    few = payloads.trade_records(bodies, {x: payloads.TRADE_FIELDS[x] for x in ("period", "cmd_code")})
+    assert sorted(map(str, few.collect())) == sorted(map(str, got.select(*few.columns).collect()))
+    plan = got.where("ref_year > 2000 AND cmd_code LIKE '85%'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_stream_derives_its_codes_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    (tmp_path / "land").mkdir()
+    for i in range(3):
+        (tmp_path / "land" / f"{i}.txt").write_text(json.dumps({"data": [{"period": "2020", "reporterCode": 1, "partnerCode": 2, "flowCode": "M", "cmdCode": "8501", "primaryValue": i}]}))
+    dims = [spark.createDataFrame([(x,)], f"{y} string") for x, y in (("1", "reporter_code"), ("2", "partner_code"))]
+    items = spark.createDataFrame([("8501",)], "hs_code string").coalesce(1).mapInArrow(counted, "hs_code string")
+    landing.cube_stream(landing.bodies_stream(spark, str(tmp_path / "land"), max_files=1), str(tmp_path / "cube"), str(tmp_path / "ck"), *dims, items, 2019, 2021).awaitTermination()
+    assert rows(landing.read_cube(spark, str(tmp_path / "cube")), "hs_code") == [("8501",)] and seen.value == 1
