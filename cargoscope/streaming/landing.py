@@ -24,9 +24,9 @@ def bodies_stream(spark: SparkSession, landing: str, whole_files: bool = False,
     return reader.text(landing).select(F.input_file_name().alias("request_id"), "value")
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
+def current(spark: SparkSession, path: str, **options) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return spark.read.options(**options).parquet(path)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -51,9 +51,9 @@ class RevisionLog:
         heads = current(self.spark, f"{self.path}/heads")
         return {} if heads is None else {r[0]: r[1] for r in heads.groupBy(self.partition).agg(F.max("generation")).collect()}
 
-    def _generation(self):
+    def _generation(self, generations: dict):
         out = F.lit(0)
-        for value, generation in self.generations().items():
+        for value, generation in generations.items():
             out = F.when(F.col(self.partition) == value, generation).otherwise(out)
         return out
 
@@ -63,14 +63,23 @@ class RevisionLog:
     def append(self, batch: DataFrame, revision: str) -> None:
         """Add a batch; ``revision`` must name the same batch, and no other, in every stream that writes here."""
         rows = latest_first(batch, self.keys, *self.order)
-        self._write(rows.withColumns({"generation": self._generation(), "revision": F.lit(revision)}))
+        self._write(rows.withColumns({"generation": self._generation(self.generations()), "revision": F.lit(revision)}))
 
     def rows(self, of=None) -> DataFrame | None:
-        """Every row of the committed generations, of some partitions or of all; None before the first batch."""
-        held = current(self.spark, f"{self.path}/log")
+        """Every row of the committed generations, of some partitions or of all; None before the first batch.
+
+        Beside the committed generations only the first one's folders are listed, so a long log costs
+        no more than one that was folded once.
+        """
+        generations = self.generations()
+        if of is None:
+            folders = [f"{self.partition}=*/generation=0", *(f"{self.partition}={v}/generation={g}" for v, g in generations.items())]
+        else:
+            folders = [f"{self.partition}={v}/generation={generations.get(v, 0)}" for v in of]
+        held = current(self.spark, f"{self.path}/log/{{{','.join(folders)}}}", basePath=f"{self.path}/log")
         if held is None:
             return None
-        held = held.where(F.col("generation") == self._generation())
+        held = held.where(F.col("generation") == self._generation(generations))
         return held if of is None else held.where(F.col(self.partition).isin(list(of)))
 
     def read(self, of=None) -> DataFrame | None:
@@ -89,7 +98,8 @@ class RevisionLog:
         many = held.groupBy(self.partition).agg(F.count_distinct("revision").alias("n")).where(F.col("n") > revisions)
         due = [r[0] for r in many.select(self.partition).collect()]
         if due:
-            nxt = {value: g + 1 for value, g in ((v, self.generations().get(v, 0)) for v in due)}
+            held = self.generations()
+            nxt = {value: held.get(value, 0) + 1 for value in due}
             generation = F.coalesce(*[F.when(F.col(self.partition) == value, g) for value, g in nxt.items()])
             self._write(stored(self.read(due), "folded").withColumns({"generation": generation, "revision": F.lit("folded")}))
             heads = self.spark.createDataFrame(list(nxt.items()), f"`{self.partition}` int, generation int")

@@ -212,6 +212,22 @@ def test_trade_documents_are_parsed_once(spark):
     assert plan.count("from_json(") == 1
 
 
+def test_folded_log_leaves_out_files_of_folded_generations(spark, tmp_path):
+    log = landing.cube_log(spark, str(tmp_path / "cube"))
+    for i in range(6):
+        log.append(cube_rows(spark, [(y, f"850{i}", 1.0, "a") for y in (2020, 2021)]), f"s-{i}")
+        if i % 2:
+            log.fold(1)
+    log.append(cube_rows(spark, [(2022, "8501", 2.0, "a")]), "s-6")
+    assert log.generations() == {2020: 3, 2021: 3}
+    for of, years in ((None, {2020, 2021, 2022}), ([2021, 2022, 2030], {2021, 2022})):
+        held = log.rows(of)
+        assert {r.year for r in held.select("year").distinct().collect()} == years
+        listed = held.inputFiles()
+        assert not any(f"generation={g}/" in x for g in (1, 2) for x in listed) and any("generation=3/" in x for x in listed)
+    assert log.read().count() == 13 and log.read([2030]) is None
+
+
 def test_stream_derives_its_codes_once(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
