@@ -62,8 +62,8 @@ SELECT l_orderkey || '-' || l_linenumber AS request_id, strftime(ship_date, '%Y%
        value AS primary_value, CAST(4 AS DOUBLE) AS aggr_level, 'N/A' AS qty_unit FROM lines WHERE k NOT IN (7, 8)
 """)
 def _(s):
-    return payloads.trade_records(trade_bodies(s)).select(
-        "request_id", "period", "ref_year", "reporter_code", "partner_code", "flow_code", "cmd_code", "primary_value", "aggr_level", "qty_unit")
+    shown = ("period", "ref_year", "reporter_code", "partner_code", "flow_code", "cmd_code", "primary_value", "aggr_level", "qty_unit")
+    return payloads.trade_records(trade_bodies(s), {x: payloads.TRADE_FIELDS[x] for x in shown})
 
 
 @query("payload_status", """
